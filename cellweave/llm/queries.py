@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cellweave.llm.exact_dedup import exact_dedup
 from cellweave.llm.mixing import mix_sources
+from cellweave.llm.sentencepiece_codec import encode_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -22,6 +23,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query
+def op7_sentencepiece(spark, sf_dir):
+    return encode_documents(documents(spark, sf_dir), piece_model(), digests=True)
+
+
 @query
 def op9_exact_dedup(spark, sf_dir):
     return exact_dedup(documents(spark, sf_dir))
