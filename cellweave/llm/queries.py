@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cellweave.llm.common import shared_path
 from cellweave.llm.exact_dedup import exact_dedup
 from cellweave.llm.mixing import mix_sources
 from cellweave.llm.sentencepiece_codec import encode_documents
+from cellweave.llm.warc import read_archives, write_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -23,6 +26,27 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query
+def op2_warc(spark, sf_dir):
+    path = shared_path(spark, "archives")
+    write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
+    return read_archives(spark, path).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
+# DuckDB has no base32 and no SHA-1 of bytes, so the digest is spelled from hexadecimal groups of 5 bits.
+ORACLE_SQL["op2_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+b AS (SELECT page_id, strlen(h) AS n, from_hex(sha1(h))::BIT::VARCHAR AS bits FROM p),
+d AS (SELECT page_id, n, list_aggregate(list_transform(range(0, 32), lambda i:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + substr(bits, 5 * i + 1, 5)::BIT::INTEGER, 1)), 'string_agg', '') AS digest FROM b)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = max(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> max(page_id) OVER w THEN max(page_id) OVER w END AS refers_to
+FROM d WINDOW w AS (PARTITION BY digest)
+"""
+
+
 def piece_model() -> str:
     import public_tokenizers
 
