@@ -11,6 +11,7 @@ from cellweave.llm.common import shared_path
 from cellweave.llm.exact_dedup import exact_dedup
 from cellweave.llm.mixing import mix_sources
 from cellweave.llm.sentencepiece_codec import encode_documents
+from cellweave.llm.topk import exact_top_k
 from cellweave.llm.warc import read_archives, write_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +48,23 @@ FROM d WINDOW w AS (PARTITION BY digest)
 """
 
 
+@query
+def op6_exact_top_k(spark, sf_dir):
+    return exact_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+ORACLE_SQL["op6_exact_top_k"] = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def piece_model() -> str:
     import public_tokenizers
 
