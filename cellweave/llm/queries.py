@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cellweave.llm.common import shared_path
 from cellweave.llm.exact_dedup import exact_dedup
+from cellweave.llm.langid import identify_language
 from cellweave.llm.mixing import mix_sources
 from cellweave.llm.sentencepiece_codec import encode_documents
 from cellweave.llm.topk import exact_top_k
@@ -76,6 +77,11 @@ def op7_sentencepiece(spark, sf_dir):
     return encode_documents(documents(spark, sf_dir), piece_model(), digests=True)
 
 
+@query
+def op8_language_id(spark, sf_dir):
+    return identify_language(documents(spark, sf_dir))
+
+
 @query
 def op9_exact_dedup(spark, sf_dir):
     return exact_dedup(documents(spark, sf_dir))
