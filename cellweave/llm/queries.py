@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cellweave.llm.common import shared_path
 from cellweave.llm.exact_dedup import exact_dedup
 from cellweave.llm.langid import identify_language
+from cellweave.llm.line_dedup import line_dedup
 from cellweave.llm.mixing import mix_sources
 from cellweave.llm.sentencepiece_codec import encode_documents
 from cellweave.llm.topk import exact_top_k
@@ -49,6 +50,36 @@ FROM d WINDOW w AS (PARTITION BY digest)
 """
 
 
+@query
+def op4_line_dedup(spark, sf_dir):
+    return line_dedup(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+ORACLE_SQL["op4_line_dedup"] = r"""
+WITH l AS (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents
+), b AS (
+    SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM l
+), n AS (
+    SELECT doc_id, pos, line, words, lead(line, 1) OVER w AS line2, lead(words, 1) OVER w AS words2, lead(pos, 1) OVER w AS pos2,
+           lead(line, 2) OVER w AS line3, lead(pos, 2) OVER w AS pos3
+    FROM b WHERE words > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+), r AS (
+    SELECT doc_id, pos, [pos] AS places, [line] AS lines FROM n WHERE words >= 50
+    UNION ALL SELECT doc_id, pos, [pos, pos2], [line, line2] FROM n WHERE line2 IS NOT NULL AND words + words2 >= 50
+    UNION ALL SELECT doc_id, pos, [pos, pos2, pos3], [line, line2, line3] FROM n WHERE line3 IS NOT NULL
+), f AS (
+    SELECT doc_id, places, row_number() OVER (PARTITION BY lines ORDER BY doc_id, pos) AS k FROM r
+), g AS (SELECT DISTINCT doc_id, unnest(places) AS pos FROM f WHERE k > 1),
+k AS (
+    SELECT doc_id, count(*) AS n_lines, count(g.pos) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (g.pos IS NULL), '') AS kept
+    FROM l LEFT JOIN g USING (doc_id, pos) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN k USING (doc_id)
+"""
+
+
 @query
 def op6_exact_top_k(spark, sf_dir):
     return exact_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
