@@ -12,6 +12,7 @@ from cellweave.llm.exact_dedup import exact_dedup
 from cellweave.llm.langid import identify_language
 from cellweave.llm.line_dedup import line_dedup
 from cellweave.llm.mixing import mix_sources
+from cellweave.llm.quality import quality_classifier
 from cellweave.llm.sentencepiece_codec import encode_documents
 from cellweave.llm.topk import exact_top_k
 from cellweave.llm.warc import read_archives, write_archives
@@ -50,6 +51,12 @@ FROM d WINDOW w AS (PARTITION BY digest)
 """
 
 
+@query
+def op3_quality(spark, sf_dir):
+    scored = quality_classifier(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.select("doc_id", "quality_text", "quality_meta", "quality_score", "quality_keep")
+
+
 @query
 def op4_line_dedup(spark, sf_dir):
     return line_dedup(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
