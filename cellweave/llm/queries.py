@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cellweave.llm.common import shared_path
 from cellweave.llm.exact_dedup import exact_dedup
+from cellweave.llm.jaccard_join import jaccard_components
 from cellweave.llm.langid import identify_language
 from cellweave.llm.line_dedup import line_dedup
 from cellweave.llm.mixing import mix_sources
@@ -30,6 +31,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query
+def op1_jaccard_join(spark, sf_dir):
+    return jaccard_components(documents(spark, sf_dir), words=3, percent=90)
+
+
 @query
 def op2_warc(spark, sf_dir):
     path = shared_path(spark, "archives")
