@@ -15,6 +15,7 @@ from cellweave.llm.line_dedup import line_dedup
 from cellweave.llm.mixing import mix_sources
 from cellweave.llm.quality import quality_classifier
 from cellweave.llm.sentencepiece_codec import encode_documents
+from cellweave.llm.suffix_dedup import substring_dedup
 from cellweave.llm.topk import exact_top_k
 from cellweave.llm.warc import read_archives, write_archives
 
@@ -93,6 +94,11 @@ FROM documents d LEFT JOIN k USING (doc_id)
 """
 
 
+@query
+def op5_suffix_dedup(spark, sf_dir):
+    return substring_dedup(documents(spark, sf_dir))
+
+
 @query
 def op6_exact_top_k(spark, sf_dir):
     return exact_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
