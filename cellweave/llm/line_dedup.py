@@ -54,29 +54,29 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     Returns the columns of ``docs`` with the new text, then ``n_lines`` and ``n_removed``. Columns of these names are replaced.
     """
     docs = docs.drop(*[c for c in ("n_lines", "n_removed") if c in docs.columns and c not in (id_col, text_col)])
-    key = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_id"), F.xxhash64(F.col(text_col)).alias("_of")]
+    key = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("__id"), F.xxhash64(F.col(text_col)).alias("__of")]
     line = lambda x, i: F.struct((i + 1).alias("at"), F.xxhash64(x).alias("h"), F.xxhash64(x, F.lit(SALT)).alias("g"), F.regexp_count(x, F.lit(WORD)).alias("words"))
     hashed = materialize(docs.select(*key, F.filter(F.transform(_lines(F.col(text_col)), line), lambda x: x["words"] > 0).alias("lines")).where(F.size("lines") > 0), "lines")
     every = F.concat(*[_windows(n, min_lines, min_words) for n in range(1, min_lines + 1)])
-    windows = hashed.select("_id", "_of", "lines.at", F.explode(every).alias("w")).select("_id", "_of", "w.*", F.slice("at", F.col("w.start"), F.col("w.size")).alias("at"))
+    windows = hashed.select("__id", "__of", "lines.at", F.explode(every).alias("w")).select("__id", "__of", "w.*", F.slice("at", F.col("w.start"), F.col("w.size")).alias("at"))
 
     # One fingerprint counts once for each place that some window selected it at, however many windows did.
-    prints = windows.groupBy("print").agg(F.min(F.struct("_id", "_of", "start")).alias("first"), F.max(F.struct("_id", "_of", "start")).alias("last"))
+    prints = windows.groupBy("print").agg(F.min(F.struct("__id", "__of", "start")).alias("first"), F.max(F.struct("__id", "__of", "start")).alias("last"))
     shared = prints.where("first <> last").select("print")
-    found = materialize(windows.join(shared, "print", "left_semi").select("_id", "_of", "start", "size", "key", "key2", "at"), "windows")
+    found = materialize(windows.join(shared, "print", "left_semi").select("__id", "__of", "start", "size", "key", "key2", "at"), "windows")
 
     same = ["size", "key", "key2"]
-    first = found.groupBy(*same).agg(F.min(F.struct("_id", "_of", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = found.join(materialize(first, "first"), same).where(F.struct("_id", "_of", "start") > F.col("first"))
-    marked = later.select("_id", "_of", F.explode("at").alias("at")).distinct().groupBy("_id", "_of").agg(F.collect_list("at").alias("_gone"))
+    first = found.groupBy(*same).agg(F.min(F.struct("__id", "__of", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = found.join(materialize(first, "first"), same).where(F.struct("__id", "__of", "start") > F.col("first"))
+    marked = later.select("__id", "__of", F.explode("at").alias("at")).distinct().groupBy("__id", "__of").agg(F.collect_list("at").alias("__gone"))
 
-    joined = docs.withColumns({"_id": key[0], "_of": key[1]}).join(materialize(marked, "marked"), ["_id", "_of"], "left")
+    joined = docs.withColumns({"__id": key[0], "__of": key[1]}).join(materialize(marked, "marked"), ["__id", "__of"], "left")
     lines = _lines(F.col(text_col))
-    gone = F.map_from_arrays("_gone", F.transform("_gone", lambda _: F.lit(True)))
+    gone = F.map_from_arrays("__gone", F.transform("__gone", lambda _: F.lit(True)))
     rest = F.filter(lines, lambda x, i: ~F.map_contains_key(gone, i + 1))
-    columns = [F.when(F.col("_gone").isNull(), F.col(c)).otherwise(F.array_join(rest, "\n")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    columns = [F.when(F.col("__gone").isNull(), F.col(c)).otherwise(F.array_join(rest, "\n")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     return joined.select(
         *columns,
         F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed"),
+        F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("n_removed"),
     )

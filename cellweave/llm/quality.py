@@ -183,14 +183,14 @@ def quality_classifier(
     added = ["quality_text", "quality_meta", "quality_score", "quality_keep"]
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added])
 
-    place = F.shiftrightunsigned(F.xxhash64("_id", F.lit(3)), 11) / F.lit(float(2**53))
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("_y"))
-    ids = docs.select(F.col(id_col).alias("_id")).where("_id IS NOT NULL")
+    place = F.shiftrightunsigned(F.xxhash64("__id", F.lit(3)), 11) / F.lit(float(2**53))
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("__y"))
+    ids = docs.select(F.col(id_col).alias("__id")).where("__id IS NOT NULL")
     n_known, n_ids = known.count(), ids.count()
     # Shares of the two samples; a little under the bound, so that the limits below hardly ever cut.
     take = lambda df, n, most: df.where(place < F.lit(min(1.0, 0.9 * most / max(n, 1)))).limit(most)
-    pool = ids.join(known, "_id", "left_anti").withColumn("_y", F.lit(-1))
-    sample = take(known, n_known, labelled_rows).unionByName(take(pool, n_ids - n_known, pool_rows).select("_id", "_y")).dropDuplicates(["_id"])
+    pool = ids.join(known, "__id", "left_anti").withColumn("__y", F.lit(-1))
+    sample = take(known, n_known, labelled_rows).unionByName(take(pool, n_ids - n_known, pool_rows).select("__id", "__y")).dropDuplicates(["__id"])
 
     def views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         """Features of columns 1 (text) and on (metadata)."""
@@ -203,10 +203,10 @@ def quality_classifier(
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 x, z = (v.astype(np.float16) for v in views(batch))
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r.tobytes() for r in v], pa.binary()) for v in (x, z))], ["_y", "x", "z"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r.tobytes() for r in v], pa.binary()) for v in (x, z))], ["__y", "x", "z"])
 
-    rows = docs.join(F.broadcast(sample), docs[id_col] == sample["_id"]).select("_y", text_col, *meta).mapInArrow(features, "_y int, x binary, z binary").limit(2 * (labelled_rows + pool_rows)).toArrow()
-    y = np.array(rows["_y"].to_pylist(), float)
+    rows = docs.join(F.broadcast(sample), docs[id_col] == sample["__id"]).select("__y", text_col, *meta).mapInArrow(features, "__y int, x binary, z binary").limit(2 * (labelled_rows + pool_rows)).toArrow()
+    y = np.array(rows["__y"].to_pylist(), float)
     x, z = (np.stack([np.frombuffer(v.as_py(), np.float16) for v in rows[c]]).astype(np.float32) if len(y) else np.zeros((0, 1), np.float32) for c in ("x", "z"))
     # The model must not depend on the order in which tasks end.
     order = np.lexsort([x.sum(axis=1), z @ np.arange(z.shape[1], dtype=np.float32), y]) if len(y) else []

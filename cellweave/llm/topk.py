@@ -17,9 +17,14 @@ BLOCK_QUERIES, BLOCK_BYTES = 4096, 32 << 20
 BUCKETS = 4096
 #: Products and sums up to here are exact in float64.
 EXACT = 2**53
+#: Scores end here, either way; larger ones count as this.
+LIMIT = 2**61
 MATRIX_BYTES = 32 << 20
 
 
+_whole = np.vectorize(int, otypes=[object])
+
+
 class _Block:
     """Queries of one block by dimension, and how they are scored."""
 
@@ -42,8 +47,12 @@ class _Block:
                 take = mine[at : at + step]
                 vectors = flat[offsets[take][:, None] + np.arange(dim)]
                 top = (np.abs(matrix).max(initial=0) or 1) * (np.abs(vectors).max(initial=0) or 1) * max(dim, 1)
-                # Beyond float64's exact integers the slower integer product takes over.
-                got = (matrix @ vectors.T).astype(np.int64) if top < EXACT else matrix.astype(np.int64) @ vectors.astype(np.int64).T
+                if top < EXACT:
+                    got = (matrix @ vectors.T).astype(np.int64)
+                elif top < LIMIT:  # beyond float64's exact integers the slower integer product takes over
+                    got = matrix.astype(np.int64) @ vectors.astype(np.int64).T
+                else:
+                    got = np.clip(_whole(matrix) @ _whole(vectors).T, -LIMIT, LIMIT).astype(np.int64)
                 yield rows, ids[take], got, query_ids[:, None] != ids[take][None, :]
 
 
@@ -66,7 +75,7 @@ def exact_top_k(vectors: DataFrame, *, k: int = 10, query_every: int = 100, id_c
     are ranked. No pass sends more than a few numbers per query and task.
 
     Rows whose id is null, or whose vector is null or holds null or non-finite components, take no part; vectors of
-    another length than the query's are no candidates for it. Rows that repeat a query's id are that query (the smallest
+    another length than the query's are no candidates for it. Scores beyond ``LIMIT`` count as ``LIMIT``. Rows that repeat a query's id are that query (the smallest
     vector counts); other repeated rows are candidates each. An empty table gives no rows. Other columns are ignored.
 
     Returns ``query_id, rank, vec_id, score``.
@@ -94,7 +103,7 @@ def _block(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     n = len(held)
     reach = rows.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("r")).first()["r"] or 0.0
     # No score is beyond the product of the two lengths.
-    edge = np.array([int(np.linalg.norm(r["v"]) * reach * (1 + 1e-9)) + 1 for r in held], np.int64).reshape(-1)
+    edge = np.array([min(LIMIT, int(np.linalg.norm(r["v"]) * reach * (1 + 1e-9)) + 1) for r in held], np.int64).reshape(-1)
     low, high, above = -edge, edge, np.zeros(n, np.int64)
 
     while n and (high > low).any():
