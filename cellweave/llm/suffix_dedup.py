@@ -86,66 +86,58 @@ def sampled(raw: bytes, window: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def sampled_again(raw: bytes, window: int, frequent: np.ndarray) -> np.ndarray:
-    """Hashes of the long anchors of those windows whose anchor is frequent."""
-    out = [np.zeros(0, np.uint64)]
-    for _, piece in _pieces(raw, window):
-        hashes = Hashes(piece)
-        grams, at = hashes.anchors(GRAM, window)
-        hot = np.isin(grams[at], frequent)
-        if hot.any():
-            grams, at = hashes.anchors(LONG_GRAM, window)
-            at = at[hot]
-            out.append(grams[at[_changes(at)]])
-    return np.concatenate(out)
+def sampled_again(raw: bytes, window: int) -> np.ndarray:
+    """Hashes of the long anchors of a text, one for each occurrence."""
+    grams, at = Hashes(raw).anchors(LONG_GRAM, window)
+    return grams[at[_changes(at)]]
+
+
+def segments(raw: bytes, window: int, shared: np.ndarray, frequent: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """Level, start and bytes of the stretches whose windows have a shared (level 1) or a frequent anchor (level 2)."""
+    for offset, piece in _pieces(raw, window):
+        grams, at = Hashes(piece).anchors(GRAM, window)
+        found = grams[at]
+        hot = np.isin(found, frequent)
+        for level, wanted in ((1, np.isin(found, shared) & ~hot), (2, hot)):
+            starts = np.flatnonzero(wanted)
+            if len(starts):
+                begin = np.flatnonzero(np.concatenate([[True], np.diff(starts) != 1]))
+                for first, last in zip(starts[begin].tolist(), starts[np.concatenate([begin[1:], [len(starts)]]) - 1].tolist(), strict=True):
+                    yield level, offset + first, piece[first : last + window]
 
 
 class Suffixes:
     """Sampled suffixes as rows of bytes, so that byte order is suffix order.
 
     A row holds: level, text from the anchor on (``window`` bytes, padded), text before it read backwards (padded), and
-    the two lengths. Each row stands for ``count`` windows of one document, the last ``near`` bytes before the anchor.
+    the two lengths. Each row stands for the windows of one document that have this anchor.
     """
 
     def __init__(self, window: int):
         self.window, self.left = window, window - GRAM
         self.width = 1 + window + self.left + 2
 
-    def of(self, raw: bytes, shared: np.ndarray, frequent: np.ndarray, shared_long: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows, hashes that say where they meet, and the first and last window start of each."""
-        rows, meets, spans = [np.zeros((0, self.width), np.uint8)], [np.zeros(0, np.uint64)], [np.zeros((0, 2), np.int64)]
+    def of(self, raw: bytes, level: int, offset: int, shared_long: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of one stretch: rows, hashes that say where they meet, and the first and last window start of each."""
         w = self.window
-        for offset, piece in _pieces(raw, w):
-            hashes = Hashes(piece)
-            grams, at = hashes.anchors(GRAM, w)
-            found = grams[at]
-            hot = np.isin(found, frequent)
-            for level, wanted in ((1, np.isin(found, shared) & ~hot), (2, hot)):
-                if level == 2:
-                    if not hot.any():
-                        continue
-                    grams, at = hashes.anchors(LONG_GRAM, w)
-                    wanted = hot & np.isin(grams[at], shared_long)
-                starts = np.flatnonzero(wanted)
-                if not len(starts):
-                    continue
-                a = at[starts]
-                begin = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (np.diff(starts) != 1)]))
-                first, last = starts[begin], starts[np.concatenate([begin[1:], [len(starts)]]) - 1]
-                anchor = a[begin]
-                right, left = last + w - anchor, anchor - first
-                text = np.frombuffer(piece, np.uint8)
-                out = np.zeros((len(begin), self.width), np.uint8)
-                out[:, 0] = level
-                col = np.arange(w)
-                out[:, 1 : 1 + w] = np.where(col < right[:, None], text[np.minimum(anchor[:, None] + col, len(text) - 1)], 0)
-                col = np.arange(self.left)
-                out[:, 1 + w : -2] = np.where(col < left[:, None], text[np.maximum(anchor[:, None] - 1 - col, 0)], 0)
-                out[:, -2], out[:, -1] = right, left
-                rows.append(out)
-                meets.append(grams[anchor])
-                spans.append(np.stack([first, last], axis=1) + offset)
-        return np.concatenate(rows), np.concatenate(meets), np.concatenate(spans)
+        grams, at = Hashes(raw).anchors(GRAM if level == 1 else LONG_GRAM, w)
+        starts = np.arange(len(at)) if level == 1 else np.flatnonzero(np.isin(grams[at], shared_long))
+        if not len(starts):
+            return np.zeros((0, self.width), np.uint8), np.zeros(0, np.uint64), np.zeros((0, 2), np.int64)
+        a = at[starts]
+        begin = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (np.diff(starts) != 1)]))
+        first, last = starts[begin], starts[np.concatenate([begin[1:], [len(starts)]]) - 1]
+        anchor = a[begin]
+        right, left = last + w - anchor, anchor - first
+        text = np.frombuffer(raw, np.uint8)
+        out = np.zeros((len(begin), self.width), np.uint8)
+        out[:, 0] = level
+        col = np.arange(w)
+        out[:, 1 : 1 + w] = np.where(col < right[:, None], text[np.minimum(anchor[:, None] + col, len(text) - 1)], 0)
+        col = np.arange(self.left)
+        out[:, 1 + w : -2] = np.where(col < left[:, None], text[np.maximum(anchor[:, None] - 1 - col, 0)], 0)
+        out[:, -2], out[:, -1] = right, left
+        return out, grams[anchor], np.stack([first, last], axis=1) + offset
 
     def grouped(self, level: int) -> int:
         """The common prefix from which on two suffixes share their anchor."""
@@ -278,7 +270,7 @@ FIELDS = 4  # id, hash of text, first and last window
 
 
 def make_runs(entries: list[tuple[np.ndarray, np.ndarray, np.ndarray]], suffixes: Suffixes, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """Sorted front-coded runs by bucket; of equal suffixes the earliest stays, the others' bytes come as bucket -1."""
+    """Sorted front-coded runs by bucket; of equal suffixes the earliest stays, the others' bytes come under a negative bucket."""
     rows, meets, meta = (np.concatenate(x) for x in zip(*entries, strict=True))
     bucket = (meets >> np.uint64(7)) % np.uint64(buckets)
     # ranked as big-endian words, the first word weighs most
@@ -290,7 +282,7 @@ def make_runs(entries: list[tuple[np.ndarray, np.ndarray, np.ndarray]], suffixes
     equal = np.concatenate([[False], (rows[1:] == rows[:-1]).all(axis=1) & (bucket[1:] == bucket[:-1])])
     gone = meta[equal]
     if len(gone):
-        yield -1, np.column_stack([gone[:, :3], gone[:, 3] + suffixes.window]).astype("<i8").tobytes()
+        yield -1 - int(gone[0, 1]) % buckets, np.column_stack([gone[:, :3], gone[:, 3] + suffixes.window]).astype("<i8").tobytes()
     rows, meta, bucket = rows[~equal], meta[~equal], bucket[~equal]
     cuts = np.concatenate([_changes(bucket), [len(bucket)]])
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -347,7 +339,7 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Anchors with more than ``FREQUENT`` occurrences (a line in every third document) are sampled again by grams nearly as
     long as the window, which unrelated neighbours of a frequent line don't share, and map tasks send equal suffixes only
-    once. Texts travel once, those with a repeated anchor twice.
+    once. Texts travel twice: once to find the stretches at repeated anchors, which alone are sorted, once to be cut.
 
     Null and empty texts have no bytes; texts shorter than the window stay whole; texts are hashed in pieces, so very
     long ones need no more memory than their bytes and figures; rows of one id and text are one document; null ids count as
@@ -377,20 +369,32 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     counts = materialize(each.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", (F.col("n") > FREQUENT).alias("frequent"), "n"), "counts")
     total = counts.agg(F.sum("n")).first()[0] or 0
     listed = each.join(counts, "anchor").groupBy("id", "of").agg(F.collect_set(F.when(~F.col("frequent"), F.col("anchor"))).alias("shared"), F.collect_set(F.when(F.col("frequent"), F.col("anchor"))).alias("frequent"))
-    texts = materialize(own.select("id", "of", "text").join(materialize(listed, "listed"), ["id", "of"]).dropDuplicates(["id", "of"]), "shared")
 
-    def sample_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                found = [sampled_again(t.as_py(), window, f.values.to_numpy().view(np.uint64)).view(np.int64) for t, f in zip(batch.column(2), batch.column(3), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], ["id", "of", "anchors"])
+                rows = []
+                for i, of, raw, shared, frequent in zip(*whole.slice(at, 500).columns, strict=True):
+                    found = segments(raw.as_py(), window, *(x.values.to_numpy().view(np.uint64) for x in (shared, frequent)))
+                    rows += [(i.as_py(), of.as_py(), *x) for x in found]
+                if rows:
+                    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["id", "of", "level", "start", "bytes"])
 
-    again = materialize(texts.where(F.size("frequent") > 0).select("id", "of", "text", "frequent").mapInArrow(sample_again, "id long, of long, anchors array<long>"), "anchors")
+    listed_texts = own.select("id", "of", "text").join(materialize(listed, "listed"), ["id", "of"]).dropDuplicates(["id", "of"])
+    parts = materialize(listed_texts.select("id", "of", "text", "shared", "frequent").mapInArrow(stretch, "id long, of long, level int, start long, bytes binary"), "stretches")
+
+    def sample_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sampled_again(t.as_py(), window).view(np.int64) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], ["id", "of", "anchors"])
+
+    again = materialize(parts.where("level = 2").select("id", "of", "bytes").mapInArrow(sample_again, "id long, of long, anchors array<long>"), "anchors")
     each = again.select("id", "of", F.explode("anchors").alias("anchor"))
     counts = materialize(each.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "counts")
-    listed = materialize(each.join(counts, "anchor").groupBy("id", "of").agg(F.collect_set("anchor").alias("long")), "listed")
-    placed = texts.join(listed, ["id", "of"], "left").select("id", "of", "text", "shared", "frequent", F.coalesce("long", F.array().cast("array<bigint>")).alias("long"))
+    listed = each.join(counts, "anchor").groupBy("id", "of").agg(F.collect_set("anchor").alias("long"))
+    columns = ["id", "of", "level", "start", "bytes", "long"]
+    placed = parts.where("level = 1").withColumn("long", F.array().cast("array<bigint>")).select(columns).unionByName(parts.where("level = 2").join(materialize(listed, "listed"), ["id", "of"]).select(columns))
 
     suffixes = Suffixes(window)
     row_bytes = 2 * window
@@ -404,11 +408,10 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             return pa.RecordBatch.from_arrays([pa.array([b for b, _ in made], pa.int32()), pa.array([x for _, x in made], pa.binary())], ["bucket", "run"])
 
         for batch in batches:
-            for row in zip(*batch.columns, strict=True):
-                lists = [x.values.to_numpy().view(np.uint64) for x in row[3:]]
-                rows, meets, spans = suffixes.of(row[2].as_py(), *lists)
+            for i, of, level, start, raw, long in zip(*batch.columns, strict=True):
+                rows, meets, spans = suffixes.of(raw.as_py(), level.as_py(), start.as_py(), long.values.to_numpy().view(np.uint64))
                 if len(rows):
-                    owner = np.array([row[0].as_py(), row[1].as_py()], np.int64)
+                    owner = np.array([i.as_py(), of.as_py()], np.int64)
                     entries.append((rows, meets, np.hstack([np.tile(owner, (len(rows), 1)), spans])))
                     n += len(rows)
                 if n >= RUN_ENTRIES:
@@ -417,22 +420,20 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         if entries:
             yield sort()
 
-    exchanged = materialize(placed.mapInArrow(runs, "bucket int, run binary"), "runs")
-
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = [x.as_py() for batch in batches for x in batch.column(0)]
+        blobs = []
+        for batch in batches:
+            for bucket, x in zip(*batch.columns, strict=True):
+                if bucket.as_py() < 0:
+                    yield _triples(np.frombuffer(x.as_py(), "<i8").reshape(-1, 4))
+                else:
+                    blobs.append(x.as_py())
         if blobs:
             for spans in merge_runs(blobs, suffixes):
                 yield _triples(spans)
 
-    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x in batch.column(0):
-                yield _triples(np.frombuffer(x.as_py(), "<i8").reshape(-1, 4))
-
-    kind = "id long, of long, start long, end long"
-    merged = exchanged.where("bucket >= 0").repartition(buckets, "bucket").select("run").mapInArrow(merge, kind)
-    spans = merged.unionByName(exchanged.where("bucket < 0").select("run").mapInArrow(settled, kind))
+    exchanged = placed.mapInArrow(runs, "bucket int, run binary").repartition(buckets, "bucket")
+    spans = exchanged.mapInArrow(merge, "id long, of long, start long, end long")
     removed = materialize(spans.groupBy("id", "of").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")), "removed")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -450,7 +451,7 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 kept.append(hashlib.sha256(np.frombuffer(raw, np.uint8)[~gone].tobytes()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(kept, pa.string())], names)
 
-    results = texts.select("id", "of", "text").join(removed, ["id", "of"]).mapInArrow(cut, "id long, of long, n_removed long, n_spans long, kept string")
+    results = own.select("id", "of", "text").join(removed, ["id", "of"]).dropDuplicates(["id", "of"]).select("id", "of", "text", "starts", "ends").mapInArrow(cut, "id long, of long, n_removed long, n_spans long, kept string")
     results = materialize(results, "results")
     copy = (F.col("id") != F.col("first")) & (F.col("n_bytes") >= window)
     return whose.join(results, ["id", "of"], "left").select(
