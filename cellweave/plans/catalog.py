@@ -2,24 +2,44 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.operators import zonal
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def register(name: str, sql: str | None = None):
-    """Put the decorated ``(spark, sf_dir)`` function into the catalog."""
+#: Added before rounding, as engines differ on which way a decimal tie in binary goes.
+NUDGE = 1e-9
+
+
+def nudged(sql: str) -> str:
+    """``round(x, n)`` becomes ``round(x + NUDGE, n)`` throughout."""
+    out, at = "", 0
+    while (start := sql.find("round(", at)) >= 0:
+        depth, comma, k = 1, None, start + 6
+        while depth:
+            c = sql[k]
+            depth += (c == "(") - (c == ")")
+            if c == "," and depth == 1:
+                comma = k
+            k += 1
+        inner = nudged(sql[start + 6 : comma])
+        out += f"{sql[at:start]}round(({inner}) + {NUDGE}, {sql[comma + 1 : k - 1].strip()})"
+        at = k
+    return out + sql[at:]
+
+
+def register(sql: str | None = None):
+    """Put the decorated ``(spark, sf_dir)`` function into the catalog under its name."""
 
     def put(f):
-        QUERIES[name] = f
+        QUERIES[f.__name__] = f
         if sql:
-            ORACLE_SQL[name] = sql
+            ORACLE_SQL[f.__name__] = nudged(sql)
         return f
 
     return put
@@ -29,15 +49,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@register(
-    "zonal_univar",
-    """
-    SELECT l_suppkey AS zone, count(l_quantity) AS n, count(*) - count(l_quantity) AS null_cells, count(*) AS cells,
-           min(l_quantity) AS min, max(l_quantity) AS max, max(l_quantity) - min(l_quantity) AS range,
-           avg(l_quantity) AS mean, avg(abs(l_quantity)) AS mean_of_abs, sum(l_quantity) AS sum, sum(abs(l_quantity)) AS sum_abs
-    FROM lineitem GROUP BY l_suppkey
-    """,
-)
-def zonal_univar(spark, sf_dir):
-    cells = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("zone"), F.col("l_quantity").alias("value"))
-    return zonal.univar(cells, ["zone"], "value")
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """All doubles rounded, as the last bits of a sum depend on the order of rows; minus zero becomes zero."""
+    return df.select(*[(F.round(F.col(f"`{c}`") + NUDGE, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
+
+
+for _part in ("zonal", "tables", "cellwise", "series", "temporal", "focal", "decision", "graph"):
+    importlib.import_module(f"cellweave.plans.{_part}")
