@@ -25,6 +25,7 @@ def _windows(size: int, min_lines: int, min_words: int) -> Column:
         return F.struct(
             i.alias("start"),
             F.array_min(hashes).alias("print"),
+            (i + F.array_position(hashes, F.array_min(hashes)).cast("int") - 1).alias("place"),
             F.xxhash64(hashes).alias("key"),
             F.xxhash64(F.transform(part, lambda x: x["g"]), F.lit(size)).alias("key2"),
             words.alias("words"),
@@ -32,7 +33,7 @@ def _windows(size: int, min_lines: int, min_words: int) -> Column:
         )
 
     count = F.size("lines") - (size - 1)
-    every = F.when(count > 0, F.transform(F.sequence(F.lit(1), count), window)).otherwise(F.array().cast("array<struct<start:int,print:bigint,key:bigint,key2:bigint,words:int,size:int>>"))
+    every = F.when(count > 0, F.transform(F.sequence(F.lit(1), count), window)).otherwise(F.array().cast("array<struct<start:int,print:bigint,place:int,key:bigint,key2:bigint,words:int,size:int>>"))
     return every if size == min_lines else F.filter(every, lambda x: x["words"] >= min_words)
 
 
@@ -61,16 +62,17 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     windows = hashed.select("__id", "__of", "lines.at", F.explode(every).alias("w")).select("__id", "__of", "w.*", F.slice("at", F.col("w.start"), F.col("w.size")).alias("at"))
 
     # One fingerprint counts once for each place that some window selected it at, however many windows did.
-    prints = windows.groupBy("print").agg(F.min(F.struct("__id", "__of", "start")).alias("first"), F.max(F.struct("__id", "__of", "start")).alias("last"))
-    shared = prints.where("first <> last").select("print")
-    found = materialize(windows.join(shared, "print", "left_semi").select("__id", "__of", "start", "size", "key", "key2", "at"), "windows")
+    place = F.xxhash64("__id", "__of", "place")
+    shared = windows.groupBy("print").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("print")
+    # The sides of these joins grow with the documents, so they're never broadcast.
+    found = materialize(windows.join(shared.hint("merge"), "print", "left_semi").select("__id", "__of", "start", "size", "key", "key2", "at"), "windows")
 
     same = ["size", "key", "key2"]
     first = found.groupBy(*same).agg(F.min(F.struct("__id", "__of", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = found.join(materialize(first, "first"), same).where(F.struct("__id", "__of", "start") > F.col("first"))
+    later = found.join(materialize(first, "first").hint("merge"), same).where(F.struct("__id", "__of", "start") > F.col("first"))
     marked = later.select("__id", "__of", F.explode("at").alias("at")).distinct().groupBy("__id", "__of").agg(F.collect_list("at").alias("__gone"))
 
-    joined = docs.withColumns({"__id": key[0], "__of": key[1]}).join(materialize(marked, "marked"), ["__id", "__of"], "left")
+    joined = docs.withColumns({"__id": key[0], "__of": key[1]}).join(materialize(marked, "marked").hint("merge"), ["__id", "__of"], "left")
     lines = _lines(F.col(text_col))
     gone = F.map_from_arrays("__gone", F.transform("__gone", lambda _: F.lit(True)))
     rest = F.filter(lines, lambda x, i: ~F.map_contains_key(gone, i + 1))
