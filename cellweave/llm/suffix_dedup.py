@@ -381,7 +381,7 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["id", "of", "level", "start", "bytes"])
 
-    listed_texts = own.select("id", "of", "text").join(materialize(listed, "listed"), ["id", "of"]).dropDuplicates(["id", "of"])
+    listed_texts = own.select("id", "of", "text").join(materialize(listed, "listed").hint("merge"), ["id", "of"]).dropDuplicates(["id", "of"])
     parts = materialize(listed_texts.select("id", "of", "text", "shared", "frequent").mapInArrow(stretch, "id long, of long, level int, start long, bytes binary"), "stretches")
 
     def sample_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -451,7 +451,7 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 kept.append(hashlib.sha256(np.frombuffer(raw, np.uint8)[~gone].tobytes()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(kept, pa.string())], names)
 
-    results = own.select("id", "of", "text").join(removed, ["id", "of"]).dropDuplicates(["id", "of"]).select("id", "of", "text", "starts", "ends").mapInArrow(cut, "id long, of long, n_removed long, n_spans long, kept string")
+    results = own.select("id", "of", "text").join(removed.hint("merge"), ["id", "of"]).dropDuplicates(["id", "of"]).select("id", "of", "text", "starts", "ends").mapInArrow(cut, "id long, of long, n_removed long, n_spans long, kept string")
     results = materialize(results, "results")
     copy = (F.col("id") != F.col("first")) & (F.col("n_bytes") >= window)
     return whose.join(results, ["id", "of"], "left").select(
