@@ -1,42 +1,19 @@
-"""What the operators share: the shared folder, written intermediate tables and text expressions."""
+"""What the operators share: written intermediate tables and text expressions."""
 
 from __future__ import annotations
 
-import functools
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cellweave.sources.shared import materialize, shared_path
+
+__all__ = ["UPPER", "WORD", "ascii_lower", "materialize", "n_words", "shared_path"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A word: no space, tab, line feed, vertical tab, form feed or carriage return in it.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-@functools.cache
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="cellweave-")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors see (``spark.checkpoint.dir``); a temporary one only in local mode without that setting."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _own_folder()
-    return f"{base.rstrip('/')}/cellweave/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: cuts lineage, survives lost executors and is computed once."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else; null becomes empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.llm.common import materialize
-from cellweave.llm.components import connected_components
+from cellweave.operators.graph import connected_components
 
 #: Groups of the coarse count vectors; groups within one block of the fine ones.
 COARSE, FINE = 64, 256
