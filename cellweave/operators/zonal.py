@@ -34,7 +34,7 @@ def moments(cells: DataFrame, zones: Sequence[str], value: str) -> DataFrame:
     sums = cells.groupBy(*zones).agg(F.count(v).alias("n"), *[F.sum(F.pow(v, k)).alias(f"s{k}") for k in (1, 2, 3, 4)]).where("n > 0")
     n, s1, s2, s3, s4 = (F.col(c) for c in ("n", "s1", "s2", "s3", "s4"))
     mean = s1 / n
-    variance = F.greatest(F.try_divide(s2 - s1 * mean, n - 1), F.lit(0.0))
+    variance = F.when(n > 1, F.greatest(F.try_divide(s2 - s1 * mean, n - 1), F.lit(0.0)))
     third = s3 / n - 3 * s1 * s2 / (n * n) + 2 * F.pow(mean, 3)
     fourth = s4 / n - 4 * s1 * s3 / (n * n) + 6 * s1 * s1 * s2 / F.pow(n, F.lit(3)) - 3 * F.pow(mean, 4)
     return sums.select(

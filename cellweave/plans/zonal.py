@@ -26,7 +26,7 @@ def zonal_univar(spark, sf_dir):
         SELECT l_suppkey AS zone, count(v) AS n, sum(v) AS s1, sum(v^2) AS s2, sum(v^3) AS s3, sum(v^4) AS s4
         FROM (SELECT l_suppkey, nullif(l_quantity, 1) AS v FROM lineitem) GROUP BY 1
     ), m AS (
-        SELECT *, s1 / n AS mean, greatest((s2 - s1 * s1 / n) / nullif(n - 1, 0), 0) AS var FROM s WHERE n > 0
+        SELECT *, s1 / n AS mean, CASE WHEN n > 1 THEN greatest((s2 - s1 * s1 / n) / nullif(n - 1, 0), 0) END AS var FROM s WHERE n > 0
     )
     SELECT zone, n, round(var, 6) AS variance, round(sqrt(var), 6) AS stddev, round(100 * sqrt(var) / nullif(mean, 0), 6) AS coeff_var,
            round((s3 / n - 3 * s1 * s2 / (n * n) + 2 * mean^3) / nullif(var^1.5, 0), 6) AS skewness,
