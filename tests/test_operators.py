@@ -171,3 +171,53 @@ def test_patches(spark):
     got = {r.clump: r for r in graph.patch_indices(graph.clumps(grid, "c", 4), "c").collect()}
     assert (got[0].area, got[0].perimeter, got[15].area) == (2, 6, 1)
     assert got[15].fractal is None
+
+
+def test_csv_round_trip(spark, tmp_path):
+    from cellweave.sources import files
+
+    (tmp_path / "in.csv").write_text("a b,1x,,n\n x  y ,2,z,5\n , ,,\nq,,w,no\n")
+    df = files.read_csv(spark, f"file://{tmp_path}/in.csv", ints=["n"], reals=["v_1x"])
+    assert df.columns[0] == "a_b"
+    assert [(r["a_b"], r["v_1x"], r["n"]) for r in df.collect()] == [("x y", 2.0, 5), ("q", None, None)]
+    files.write_csv(df.withColumn("l", F.array("n")), f"file://{tmp_path}/out")
+    assert spark.read.option("header", True).csv(f"file://{tmp_path}/out").count() == 2
+
+
+def test_features(spark, tmp_path):
+    from cellweave.sources import files
+
+    p = spark.createDataFrame([(1, 2.0, 3.5), (2, -1.0, 0.0)], "id int, x double, y double")
+    files.write_point_features(p, f"file://{tmp_path}/f", ["id"])
+    got = files.read_point_features(spark, f"file://{tmp_path}/f")
+    assert sorted((r.properties["id"], r.x, r.y) for r in got.collect()) == [("1", 2.0, 3.5), ("2", -1.0, 0.0)]
+    esri = spark.createDataFrame([('{"x":1,"y":2}',), ('{"rings":[[[0,0],[1,0],[1,1]]]}',), (None,), ("{",)], "g string")
+    assert [None if r.vertices is None else len(r.vertices) for r in files.esri_to_points(esri, "g").collect()] == [1, 3, None, None]
+
+
+def test_warehouse(spark):
+    from cellweave.sources import warehouse
+
+    for t in ("cw_one", "cw_one_copy"):
+        spark.sql(f"DROP TABLE IF EXISTS {t}")
+    warehouse.create_table(spark, "cw_one", {"k": "int", "v": "string", "d": "string"}, partitioned=["d"])
+    rows_ = spark.createDataFrame([("x", 1, "p"), ("y", 2, "q")], "v string, k int, d string")
+    warehouse.load(rows_, "cw_one")
+    warehouse.load(rows_.where("k = 1"), "cw_one")
+    assert spark.table("cw_one").count() == 3
+    assert warehouse.copy_matching(spark, "cw_one", "_copy") == ["cw_one_copy"]
+    warehouse.load(rows_.where("k = 1"), "cw_one", overwrite=True)
+    assert (spark.table("cw_one").count(), spark.table("cw_one_copy").count()) == (1, 3)
+    for t in ("cw_one", "cw_one_copy"):
+        spark.sql(f"DROP TABLE {t}")
+
+
+def test_formulas(spark):
+    from cellweave.functions import formulas
+
+    r = spark.range(1).select(
+        formulas.ricker_growth(F.lit(10.0), 0.5, 100, 2), formulas.polynomial(F.lit(2.0), (1, 2, 3)), formulas.net_present_value(F.lit(10.0), F.lit(6.0), 0.0, 2), formulas.disjoint_restrictions(F.lit(3.0), F.lit(None).cast("boolean"), F.lit(True))
+    ).first()
+    n = 10 * math.exp(0.5 * 0.9)
+    assert r[0] == pytest.approx(n * math.exp(0.5 * (1 - n / 100)))
+    assert r[1:] == (17.0, 2.0, 0.0)
