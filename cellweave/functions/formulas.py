@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def exponential_growth(n0: Column, rate: float, steps: int) -> Column:
     """A population after so many steps of unlimited growth."""
-    return n0 * F.pow(F.lit(1.0 + rate), F.lit(steps))
+    return n0 * F.exp(F.lit(float(rate * steps)))
 
 
 def ricker_growth(n0: Column, rate: float, capacity: float, steps: int) -> Column:
