@@ -66,44 +66,77 @@ class Hashes:
         return grams, (best & low).astype(np.int64)
 
 
-def _pieces(raw: bytes, window: int) -> Iterator[tuple[int, bytes]]:
-    """Offsets and pieces; each window of the text starts in exactly one of them and lies wholly in it."""
-    for at in range(0, max(len(raw) - window + 1, 0), PIECE):
-        yield at, raw[at : at + PIECE + window - 1]
-
-
 def _changes(x: np.ndarray) -> np.ndarray:
     """Where runs of equal values begin."""
     return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
 
 
-def sampled(raw: bytes, window: int) -> np.ndarray:
-    """Hashes of the anchors of a text, one for each occurrence."""
-    out = [np.zeros(0, np.uint64)]
-    for _, piece in _pieces(raw, window):
-        grams, at = Hashes(piece).anchors(GRAM, window)
-        out.append(grams[at[_changes(at)]])
-    return np.concatenate(out)
-
-
-def sampled_again(raw: bytes, window: int) -> np.ndarray:
-    """Hashes of the long anchors of a text, one for each occurrence."""
-    grams, at = Hashes(raw).anchors(LONG_GRAM, window)
-    return grams[at[_changes(at)]]
+class Pack:
+    """Texts side by side in one buffer, so that one pass of array operations serves many short ones.
 
+    ``starts`` are the windows that lie wholly in one text, ``row`` and ``offset`` say whose they are and where in it.
+    """
 
-def segments(raw: bytes, window: int, shared: np.ndarray, frequent: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """Level, start and bytes of the stretches whose windows have a shared (level 1) or a frequent anchor (level 2)."""
-    for offset, piece in _pieces(raw, window):
-        grams, at = Hashes(piece).anchors(GRAM, window)
-        found = grams[at]
+    def __init__(self, pieces: list[tuple[int, int, bytes]], window: int):
+        self.raw = b"".join(p for _, _, p in pieces)
+        size = np.array([len(p) for _, _, p in pieces])
+        self.begin = np.cumsum(size) - size
+        whole = size - window + 1
+        piece = np.repeat(np.arange(len(pieces)), whole)
+        first = np.cumsum(whole) - whole
+        self.starts = self.begin[piece] + np.arange(len(piece)) - first[piece]
+        self.row = np.array([r for r, _, _ in pieces])[piece]
+        self.offset = (np.array([o for _, o, _ in pieces]) - self.begin)[piece]
+
+    def runs(self, at: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last of each run of windows, one after the other, with one anchor."""
+        if not len(starts):
+            return starts, starts
+        begin = np.flatnonzero(np.concatenate([[True], (at[starts[1:]] != at[starts[:-1]]) | (np.diff(starts) != 1)]))
+        return begin, np.concatenate([begin[1:], [len(starts)]]) - 1
+
+
+def packs(texts: Iterator[tuple[int, int, bytes]], window: int) -> Iterator[Pack]:
+    """Packs of bounded size; a longer text is cut so that each of its windows lies wholly in one piece."""
+    held, size = [], 0
+    for row, offset, raw in texts:
+        for at in range(0, max(len(raw) - window + 1, 0), PIECE):
+            piece = raw[at : at + PIECE + window - 1]
+            if size + len(piece) > PIECE + window and held:
+                yield Pack(held, window)
+                held, size = [], 0
+            held.append((row, offset + at, piece))
+            size += len(piece)
+    if held:
+        yield Pack(held, window)
+
+
+def sampled(texts: Iterator[tuple[int, int, bytes]], window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and hashes of the anchors of texts, one for each occurrence, rows in order."""
+    rows, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for pack in packs(texts, window):
+        grams, at = Hashes(pack.raw).anchors(gram, window)
+        first, _ = pack.runs(at, pack.starts)
+        rows.append(pack.row[first])
+        hashes.append(grams[at[pack.starts[first]]])
+    return np.concatenate(rows), np.concatenate(hashes)
+
+
+def segments(texts: Iterator[tuple[int, int, bytes]], window: int, shared: np.ndarray, frequent: np.ndarray) -> Iterator[tuple[int, int, int, bytes]]:
+    """Row, level, start and bytes of the stretches whose windows have a shared (level 1) or a frequent anchor (level 2)."""
+    for pack in packs(texts, window):
+        grams, at = Hashes(pack.raw).anchors(GRAM, window)
+        found = grams[at[pack.starts]]
         hot = np.isin(found, frequent)
         for level, wanted in ((1, np.isin(found, shared) & ~hot), (2, hot)):
-            starts = np.flatnonzero(wanted)
+            pick = np.flatnonzero(wanted)
+            starts = pack.starts[pick]
             if len(starts):
                 begin = np.flatnonzero(np.concatenate([[True], np.diff(starts) != 1]))
-                for first, last in zip(starts[begin].tolist(), starts[np.concatenate([begin[1:], [len(starts)]]) - 1].tolist(), strict=True):
-                    yield level, offset + first, piece[first : last + window]
+                end = np.concatenate([begin[1:], [len(starts)]]) - 1
+                who = pick[begin]
+                for row, offset, first, last in zip(pack.row[who].tolist(), pack.offset[who].tolist(), starts[begin].tolist(), starts[end].tolist(), strict=True):
+                    yield row, level, first + offset, pack.raw[first : last + window]
 
 
 class Suffixes:
@@ -117,27 +150,28 @@ class Suffixes:
         self.window, self.left = window, window - GRAM
         self.width = 1 + window + self.left + 2
 
-    def of(self, raw: bytes, level: int, offset: int, shared_long: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of one stretch: rows, hashes that say where they meet, and the first and last window start of each."""
+    def of(self, texts: Iterator[tuple[int, int, bytes]], level: int, shared_long: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of stretches: rows, hashes that say where they meet, whose they are, and the first and last window start of each."""
         w = self.window
-        grams, at = Hashes(raw).anchors(GRAM if level == 1 else LONG_GRAM, w)
-        starts = np.arange(len(at)) if level == 1 else np.flatnonzero(np.isin(grams[at], shared_long))
-        if not len(starts):
-            return np.zeros((0, self.width), np.uint8), np.zeros(0, np.uint64), np.zeros((0, 2), np.int64)
-        a = at[starts]
-        begin = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (np.diff(starts) != 1)]))
-        first, last = starts[begin], starts[np.concatenate([begin[1:], [len(starts)]]) - 1]
-        anchor = a[begin]
-        right, left = last + w - anchor, anchor - first
-        text = np.frombuffer(raw, np.uint8)
-        out = np.zeros((len(begin), self.width), np.uint8)
-        out[:, 0] = level
-        col = np.arange(w)
-        out[:, 1 : 1 + w] = np.where(col < right[:, None], text[np.minimum(anchor[:, None] + col, len(text) - 1)], 0)
-        col = np.arange(self.left)
-        out[:, 1 + w : -2] = np.where(col < left[:, None], text[np.maximum(anchor[:, None] - 1 - col, 0)], 0)
-        out[:, -2], out[:, -1] = right, left
-        return out, grams[anchor], np.stack([first, last], axis=1) + offset
+        for pack in packs(texts, w):
+            grams, at = Hashes(pack.raw).anchors(GRAM if level == 1 else LONG_GRAM, w)
+            pick = np.arange(len(pack.starts)) if level == 1 else np.flatnonzero(np.isin(grams[at[pack.starts]], shared_long))
+            if not len(pick):
+                continue
+            starts = pack.starts[pick]
+            begin, end = pack.runs(at, starts)
+            first, last = starts[begin], starts[end]
+            anchor = at[first]
+            right, left = last + w - anchor, anchor - first
+            text = np.frombuffer(pack.raw, np.uint8)
+            out = np.zeros((len(begin), self.width), np.uint8)
+            out[:, 0] = level
+            col = np.arange(w)
+            out[:, 1 : 1 + w] = np.where(col < right[:, None], text[np.minimum(anchor[:, None] + col, len(text) - 1)], 0)
+            col = np.arange(self.left)
+            out[:, 1 + w : -2] = np.where(col < left[:, None], text[np.maximum(anchor[:, None] - 1 - col, 0)], 0)
+            out[:, -2], out[:, -1] = right, left
+            yield out, grams[anchor], pack.row[pick[begin]], np.stack([first, last], axis=1) + pack.offset[pick[begin]][:, None]
 
     def grouped(self, level: int) -> int:
         """The common prefix from which on two suffixes share their anchor."""
@@ -356,40 +390,42 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     whose = materialize(table.join(materialize(copies, "copies"), ["sha", "n_bytes"]), "firsts")
     firsts = whose.where((F.col("id") == F.col("first")) & (F.col("n_bytes") >= window)).select("id", "of").distinct()
 
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                found = [sampled(t.as_py(), window).view(np.int64) for t in batch.column(2)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], ["id", "of", "anchors"])
+    def sampler(gram: int):
+        def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 1000):
+                    batch = whole.slice(at, 1000)
+                    row, found = sampled(((k, 0, t.as_py()) for k, t in enumerate(batch.column(2))), window, gram)
+                    ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(found.view(np.int64)))], ["id", "of", "anchors"])
+
+        return sample
 
     long_texts = own.where(F.col("n_bytes") >= window).select("id", "of", "text")
-    anchors = materialize(long_texts.mapInArrow(sample, "id long, of long, anchors array<long>"), "anchors")
+    anchors = materialize(long_texts.mapInArrow(sampler(GRAM), "id long, of long, anchors array<long>"), "anchors")
     each = anchors.join(firsts, ["id", "of"], "left_semi").select("id", "of", F.explode("anchors").alias("anchor"))
     counts = materialize(each.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", (F.col("n") > FREQUENT).alias("frequent"), "n"), "counts")
     total = counts.agg(F.sum("n")).first()[0] or 0
     listed = each.join(counts, "anchor").groupBy("id", "of").agg(F.collect_set(F.when(~F.col("frequent"), F.col("anchor"))).alias("shared"), F.collect_set(F.when(F.col("frequent"), F.col("anchor"))).alias("frequent"))
 
+    def hashes(column: pa.ListArray) -> np.ndarray:
+        """All hashes in a column of lists; they hold for the whole table, whichever row brought them."""
+        return np.unique(column.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+
     def stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
-                rows = []
-                for i, of, raw, shared, frequent in zip(*whole.slice(at, 500).columns, strict=True):
-                    found = segments(raw.as_py(), window, *(x.values.to_numpy().view(np.uint64) for x in (shared, frequent)))
-                    rows += [(i.as_py(), of.as_py(), *x) for x in found]
+                batch = whole.slice(at, 500)
+                rows = list(segments(((k, 0, t.as_py()) for k, t in enumerate(batch.column(2))), window, hashes(batch.column(3)), hashes(batch.column(4))))
                 if rows:
-                    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["id", "of", "level", "start", "bytes"])
+                    row, level, start, raw = zip(*rows, strict=True)
+                    columns = [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(level, pa.int32()), pa.array(start, pa.int64()), pa.array(raw, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["id", "of", "level", "start", "bytes"])
 
     listed_texts = own.select("id", "of", "text").join(materialize(listed, "listed").hint("merge"), ["id", "of"]).dropDuplicates(["id", "of"])
     parts = materialize(listed_texts.select("id", "of", "text", "shared", "frequent").mapInArrow(stretch, "id long, of long, level int, start long, bytes binary"), "stretches")
 
-    def sample_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [sampled_again(t.as_py(), window).view(np.int64) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], ["id", "of", "anchors"])
-
-    again = materialize(parts.where("level = 2").select("id", "of", "bytes").mapInArrow(sample_again, "id long, of long, anchors array<long>"), "anchors")
+    again = materialize(parts.where("level = 2").select("id", "of", "bytes").mapInArrow(sampler(LONG_GRAM), "id long, of long, anchors array<long>"), "anchors")
     each = again.select("id", "of", F.explode("anchors").alias("anchor"))
     counts = materialize(each.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "counts")
     listed = each.join(counts, "anchor").groupBy("id", "of").agg(F.collect_set("anchor").alias("long"))
@@ -407,16 +443,19 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             made = list(make_runs(entries, suffixes, buckets))
             return pa.RecordBatch.from_arrays([pa.array([b for b, _ in made], pa.int32()), pa.array([x for _, x in made], pa.binary())], ["bucket", "run"])
 
-        for batch in batches:
-            for i, of, level, start, raw, long in zip(*batch.columns, strict=True):
-                rows, meets, spans = suffixes.of(raw.as_py(), level.as_py(), start.as_py(), long.values.to_numpy().view(np.uint64))
-                if len(rows):
-                    owner = np.array([i.as_py(), of.as_py()], np.int64)
-                    entries.append((rows, meets, np.hstack([np.tile(owner, (len(rows), 1)), spans])))
-                    n += len(rows)
-                if n >= RUN_ENTRIES:
-                    yield sort()
-                    entries, n = [], 0
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                owner = np.column_stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
+                levels, long = batch.column(2).to_numpy(), hashes(batch.column(5))
+                for level in (1, 2):
+                    texts = ((int(k), batch.column(3)[int(k)].as_py(), batch.column(4)[int(k)].as_py()) for k in np.flatnonzero(levels == level))
+                    for rows, meets, who, spans in suffixes.of(texts, level, long):
+                        entries.append((rows, meets, np.hstack([owner[who], spans])))
+                        n += len(rows)
+                        if n >= RUN_ENTRIES:
+                            yield sort()
+                            entries, n = [], 0
         if entries:
             yield sort()
 
