@@ -149,3 +149,48 @@ def order_statistics(streams: DataFrame, order: str, length: str) -> DataFrame:
     s = streams.groupBy(order).agg(F.count(F.lit(1)).alias("n"), F.avg(length).alias("mean_length"), F.coalesce(F.stddev_samp(length), F.lit(0.0)).alias("stddev_length"))
     w = Window.orderBy(order)  # a row per order
     return s.select(order, "n", "mean_length", "stddev_length", F.try_divide(F.lag("n").over(w), "n").alias("bifurcation"), F.try_divide("mean_length", F.lag("mean_length").over(w)).alias("length_ratio"))
+
+
+def patch_distances(clumped: DataFrame, most: int) -> DataFrame:
+    """Least distance between the border cells of each pair of patches ``a < b`` that are no further apart than ``most`` cells.
+
+    Border cells are dealt to squares of that size and look into the squares around, so only cells near each other meet.
+    """
+    near = neighbours(clumped, [(1, 0), (-1, 0), (0, 1), (0, -1)], ["clump"]).where("clump = n_clump").groupBy("x", "y").agg(F.count(F.lit(1)).alias("same"))
+    border = clumped.join(near, ["x", "y"], "left").where("coalesce(same, 0) < 4").select("clump", "x", "y")
+    square = lambda c: F.floor(F.col(c) / most).cast("long")
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    p = border.select(F.col("clump").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), square("x").alias("sx"), square("y").alias("sy"))
+    q = border.select(F.col("clump").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), around.alias("m")).select("b", "bx", "by", (square("bx") + F.col("m.i")).alias("sx"), (square("by") + F.col("m.j")).alias("sy"))
+    d = F.sqrt(F.pow((F.col("ax") - F.col("bx")).cast("double"), 2) + F.pow((F.col("ay") - F.col("by")).cast("double"), 2))
+    return p.join(q, ["sx", "sy"]).where("a < b").withColumn("d", d).where(F.col("d") <= most).groupBy("a", "b").agg(F.min("d").alias("d"))
+
+
+def proximity_index(clumped: DataFrame, most: int, least: float = 0.0) -> DataFrame:
+    """Sum of the neighbouring patches' areas over their distances; 0 for a patch without neighbours."""
+    area = clumped.groupBy("clump").agg(F.count(F.lit(1)).alias("area"))
+    d = patch_distances(clumped, most).where(F.col("d") >= least)
+    both = d.select(F.explode(F.array(F.struct(F.col("a").alias("clump"), F.col("b").alias("other")), F.struct(F.col("b").alias("clump"), F.col("a").alias("other")))).alias("p"), "d").select("p.*", "d")
+    part = both.join(area.select(F.col("clump").alias("other"), "area"), "other").groupBy("clump").agg(F.sum(F.col("area") / F.col("d")).alias("proximity"), F.min("d").alias("nearest"), F.count(F.lit(1)).alias("neighbours"))
+    return area.join(part, "clump", "left").select("clump", "area", F.coalesce("proximity", F.lit(0.0)).alias("proximity"), "nearest", F.coalesce("neighbours", F.lit(0)).alias("neighbours"))
+
+
+def cost_distance(cells: DataFrame, cost: str, sources: DataFrame, rounds: int = 10_000) -> DataFrame:
+    """Least cumulative cost from the sources over 8 neighbours; a step costs the mean of both cells times its length.
+
+    Only cells whose cost fell in a round send to their neighbours in the next; cells without a cost can't be crossed.
+    """
+    moves = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
+    ground = materialize(cells.where(F.col(cost).isNotNull()).select("x", "y", F.col(cost).cast("double").alias("c")), "cost")
+    now = materialize(ground.join(sources.select("x", "y").distinct(), ["x", "y"], "left_semi").withColumns({"d": F.lit(0.0), "hot": F.lit(True)}), "cost")
+    deal = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit((i * i + j * j) ** 0.5).alias("l")) for i, j in moves]))
+    for _ in range(rounds):
+        if not now.where("hot").take(1):
+            return now.select("x", "y", "d")
+        sent = now.where("hot").select("x", "y", F.col("c").alias("_c"), F.col("d").alias("_d"), deal.alias("m")).select((F.col("x") + F.col("m.i")).alias("x"), (F.col("y") + F.col("m.j")).alias("y"), "_c", "_d", F.col("m.l").alias("l"))
+        got = sent.join(ground, ["x", "y"]).groupBy("x", "y").agg(F.max("c").alias("c"), F.min(F.col("_d") + F.col("l") * (F.col("_c") + F.col("c")) / 2).alias("_new"))
+        old = now.select("x", "y", F.col("c").alias("_oc"), "d")
+        both = old.join(got, ["x", "y"], "full")
+        fell = F.col("_new").isNotNull() & (F.col("d").isNull() | (F.col("_new") < F.col("d") - 1e-12))
+        now = materialize(both.select("x", "y", F.coalesce("_oc", "c").alias("c"), F.when(fell, F.col("_new")).otherwise(F.col("d")).alias("d"), fell.alias("hot")), "cost")
+    raise ValueError("more rounds are needed")

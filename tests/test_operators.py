@@ -221,3 +221,38 @@ def test_formulas(spark):
     n = 10 * math.exp(0.5 * 0.9)
     assert r[0] == pytest.approx(n * math.exp(0.5 * (1 - n / 100)))
     assert r[1:] == (17.0, 2.0, 0.0)
+
+
+def test_cost_distance_goes_round_walls(spark):
+    grid = spark.createDataFrame([(x, y, None if (x == 1 and y < 2) else 1.0) for x in range(3) for y in range(3)], "x int, y int, c double")
+    got = {(r.x, r.y): r.d for r in graph.cost_distance(grid, "c", grid.where("x = 0 AND y = 0")).collect()}
+    assert (1, 0) not in got
+    assert got[0, 0] == 0
+    assert got[2, 0] == pytest.approx(2 + 2 * math.sqrt(2))
+
+
+def test_fill_category(spark):
+    from cellweave.operators import fitting
+
+    grid = spark.createDataFrame([(x, y, 9 if 0 < x < 4 and 0 < y < 4 else 1 + (x > 2)) for x in range(5) for y in range(5)], "x int, y int, c int")
+    got = {(r.x, r.y): r.c for r in fitting.fill_category(grid, "c", 9).collect()}
+    assert 9 not in got.values()
+    assert (got[1, 1], got[3, 3]) == (1, 2)
+
+
+def test_demand_falls_back_to_density(spark):
+    from cellweave.operators import fitting
+
+    seen = spark.createDataFrame([(1, y, 100.0 + y, 50.0 - y) for y in range(5)], "r int, year int, pop double, dev double")
+    new = spark.createDataFrame([(1, 6, 208.0)], "r int, year int, pop double")
+    (row,) = fitting.project_demand(seen, new, "r", "year", "pop", "dev").collect()
+    assert (row.method, row.projected) == ("density", pytest.approx(46 / 104 * 208))
+
+
+def test_learners_leave_nulls(spark):
+    from cellweave.operators import learning
+
+    d = spark.createDataFrame([("a" if i % 2 else "b", float(i % 2), float(i)) for i in range(40)] + [("a", None, 1.0)], "k string, u double, v double")
+    got = learning.classify(learning.train_classifier(d, "k", ["u", "v"], "tree"), d).collect()
+    assert sum(r.predicted == r.k for r in got) == 40
+    assert [r.predicted for r in got if r.u is None] == [None]
