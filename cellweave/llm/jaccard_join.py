@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import functools
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ COARSE, FINE = 64, 256
 PAGE = 1024
 LEAF = 32
 WORDS_CACHED = 400_000
+#: Documents from which frequent tokens are learned, and how many of them have a frequent token.
+SAMPLE_DOCS, FREQUENT_IN_SAMPLE = 4000, 8
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -58,11 +62,21 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     return np.unique(out)
 
 
+def _poisson_tail(mean: float, least: int) -> float:
+    """Probability of ``least`` or more where ``mean`` are expected."""
+    return 1 - math.exp(-mean) * sum(mean**k / math.factorial(k) for k in range(least))
+
+
 class Bands:
     """Set sizes in bands so wide that partners are in the same or the next one, and the blocks of each band.
 
-    Sets of sizes s and t link if they differ in at most ``(s + t) * (100 - T) / (100 + T)`` tokens. Tokens fall into two
-    more blocks than the band's largest such number, so linked sets agree wholly in two blocks at least.
+    Sets of sizes s and t link if they differ in at most ``(s + t) * (100 - T) / (100 + T)`` tokens, and so in no more
+    blocks. A set with more than that many rich blocks (at least ``least`` tokens) thus agrees in a rich one with each
+    partner, which makes the contents of rich blocks sufficient keys. Blocks hold rare tokens only, so that a line in
+    every third document makes no key of its own. Sets with too few rich blocks, which the number of blocks makes seldom, get keys of
+    a second family as well, over blocks of all tokens, and if these are too few of a third: there are two more blocks than the
+    largest difference, so partners agree in two of them, and blocks without tokens count in pairs. Of two partners
+    either one has enough rich blocks of a family, or both have keys of the next.
     """
 
     def __init__(self, percent: int):
@@ -71,35 +85,66 @@ class Bands:
         while self.edges[-1] < 2**31:
             self.edges.append(max(self.edges[-1] + 1, -(-self.edges[-1] * 10000 // percent**2)))
         self.starts = np.array(self.edges)
+        self.plans: dict[int, tuple[int, int, int]] = {}
 
     def differ(self, band: int) -> int:
         return 2 * (self.edges[band + 1] - 1) * (100 - self.percent) // (100 + self.percent)
 
+    def plan(self, band: int) -> tuple[int, int, int]:
+        if band not in self.plans:
+            self.plans[band] = self._plan(band)
+        return self.plans[band]
+
+    def _plan(self, band: int) -> tuple[int, int, int]:
+        """Largest difference, tokens that make a block rich, and number of blocks: as rich as few more blocks than needed allow."""
+        d, size = self.differ(band), self.edges[band]
+        for least in (3, 2, 1):
+            for blocks in range(d + 1, int(1.3 * d) + 8):
+                p = _poisson_tail(size / blocks, least)
+                if blocks * p - 3 * math.sqrt(blocks * p * (1 - p)) > d + 1:
+                    return d, least, blocks
+        return d, 1, int(1.3 * d) + 8
+
     def of(self, size: int) -> list[int]:
         band = int(np.searchsorted(self.starts, size, "right")) - 1
         return [band] + [band + 1] * (100 * size >= self.percent * self.edges[band + 1])
 
-    def keys(self, tokens: np.ndarray) -> np.ndarray:
-        """Cell keys: for each block the hash of its count vector; blocks of a token or none only count in pairs."""
-        out = []
+    def _blocks(self, tokens: np.ndarray, blocks: int, band: int, family: int) -> tuple[np.ndarray, np.ndarray]:
+        """A hash of each block's count vector, and its number of tokens."""
+        block = (tokens >> np.uint64(20)) % np.uint64(blocks)
+        group = _mix((tokens & np.uint64(FINE - 1)) + _K[0])
+        order = np.argsort(block, kind="stable")
+        counts = np.bincount(block.astype(np.int64), minlength=blocks)
+        vector = np.zeros(blocks, np.uint64)  # sum over groups of count times the group's random number
+        full = counts > 0
+        if full.any():
+            vector[full] = np.add.reduceat(group[order], (np.cumsum(counts) - counts)[full])
+        place = np.full(blocks, 3 * band + family, np.uint64) * _K[0] + np.arange(blocks, dtype=np.uint64) * _K[2]
+        return _mix(vector * _K[1] + place + counts.astype(np.uint64)), counts
+
+    def keys(self, tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+        """Keys of the cells in which the set meets its partners; sets that only equal ones link with need none."""
+        out = [np.zeros(0, np.uint64)]
+        rare = tokens[~np.isin(tokens, frequent, assume_unique=True)] if len(frequent) else tokens
         for band in self.of(len(tokens)) if len(tokens) else []:
-            d = self.differ(band)
+            d, least, blocks = self.plan(band)
             if not d:
-                continue  # only equal sets link, and those are one set here
-            blocks = d + 2
-            block = (tokens >> np.uint64(20)) % np.uint64(blocks)
-            group = _mix((tokens & np.uint64(FINE - 1)) + _K[0])
-            order = np.argsort(block, kind="stable")
-            counts = np.bincount(block.astype(np.int64), minlength=blocks)
-            vector = np.zeros(blocks, np.uint64)  # sum over groups of count times the group's random number
-            full = counts > 0
-            vector[full] = np.add.reduceat(group[order], (np.cumsum(counts) - counts)[full])
-            key = _mix(vector * _K[1] + np.arange(blocks, dtype=np.uint64) * _K[2] + np.full(blocks, band, np.uint64) * _K[0] + counts.astype(np.uint64))
-            out.append(key[counts > 1])
-            poor = key[counts <= 1]
-            i, j = np.triu_indices(len(poor), 1)
-            out.append(_mix(poor[i] * _K[3] + poor[j]))
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+                continue
+            # of this set to a partner in the band
+            most = (len(tokens) + min(100 * len(tokens) // self.percent, self.edges[band + 1] - 1)) * (100 - self.percent) // (100 + self.percent)
+            for family, content in enumerate((rare, tokens)):
+                key, counts = self._blocks(content, blocks, band, family)
+                rich = key[counts >= least]
+                out.append(rich)
+                if len(rich) > most:
+                    break
+            else:
+                key, counts = self._blocks(tokens, d + 2, band, 2)
+                out.append(key[counts > 0])
+                empty = key[counts == 0]
+                i, j = np.triu_indices(len(empty), 1)
+                out.append(_mix(empty[i] * _K[3] + empty[j]))
+        return np.concatenate(out)
 
 
 def coarse(tokens: np.ndarray) -> np.ndarray:
@@ -139,7 +184,22 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, comp: np.ndarray, side: np
     return out[0], out[1]
 
 
-def _signatures(bands: Bands, n: int):
+def _frequent(docs: DataFrame, n: int) -> np.ndarray:
+    """Sorted tokens that are frequent in a bounded sample of documents. Any choice of tokens gives right results."""
+    count = docs.count()
+    sample = docs.where(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(17)), 11) / F.lit(float(2**53)) < F.lit(min(1.0, SAMPLE_DOCS / max(count, 1))))
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t.as_py(), n).view(np.int64) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64()))], ["tokens"])
+
+    each = sample.select("text").mapInArrow(tokens, "tokens array<long>").select(F.explode("tokens").alias("token"))
+    rows = each.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT_IN_SAMPLE).select("token").toArrow()
+    return np.sort(rows["token"].to_numpy().view(np.uint64))
+
+
+def _signatures(bands: Bands, n: int, frequent: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_shingles", "set1", "set2", "keys", "point"]
         for whole in batches:
@@ -152,7 +212,7 @@ def _signatures(bands: Bands, n: int):
                     sizes.append(len(tokens))
                     one.append(digest[0])
                     two.append(digest[1])
-                    keys.append(bands.keys(tokens).view(np.int64))
+                    keys.append(bands.keys(tokens, frequent.value).view(np.int64))
                     points.append(coarse(tokens).tobytes())
                 long = pa.int64()
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, long), pa.array(one, long), pa.array(two, long), pa.array(keys, pa.list_(long)), pa.array(points, pa.binary())], names)
@@ -252,7 +312,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     Equal sets are one node. A set is a point: its tokens are hashed into groups, and the groups' counts are the
     coordinates; the overlap of two sets is at most the sum of the smaller coordinates. A single R-tree over such points
     prunes little, as unrelated sets lie within a few counts of each other in each coordinate, so the space is first cut into
-    cells: groups are dealt into so many blocks that linked sets agree in the whole coordinates of two blocks at least
+    cells: groups are dealt into so many blocks that linked sets agree in all coordinates of a block with several tokens
     (see ``Bands``), and an exchange brings the points of a cell together. No link can be missed. In a cell each point is
     first held against its smallest node; where that leaves several components, a packed R-tree finds the pairs
     between them that the bound can't rule out, page by page in large cells. Pairs that pass the bound are verified on
@@ -268,7 +328,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     bands = Bands(percent)
-    made = materialize(docs.mapInArrow(_signatures(bands, words), f"doc_id {id_type}, n_shingles long, set1 long, set2 long, keys array<long>, point binary"), "signatures")
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, words))
+    made = materialize(docs.mapInArrow(_signatures(bands, words, frequent), f"doc_id {id_type}, n_shingles long, set1 long, set2 long, keys array<long>, point binary"), "signatures")
     by_set = made.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set1", "set2", F.col("n_shingles").alias("n"))
     sets = materialize(by_set.agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"), F.first("point").alias("point")).withColumn("node", F.monotonically_increasing_id()), "sets")
 
