@@ -35,10 +35,10 @@ def varying_regression(spark, sf_dir):
 @register(
     _sql("""
     , c AS (SELECT x, y, clump FROM classes JOIN k ON k.a = y * 64 + x WHERE clump IN (SELECT clump FROM k GROUP BY clump HAVING count(*) >= 5)),
-    r AS (SELECT clump, count(*) AS area FROM c GROUP BY 1),
+    ar AS (SELECT clump, count(*) AS area FROM c GROUP BY 1),
     d AS (SELECT a.clump, b.clump AS other, min(sqrt((a.x - b.x)^2 + (a.y - b.y)^2)) AS d FROM c a JOIN c b ON a.clump <> b.clump AND abs(a.x - b.x) <= 6 AND abs(a.y - b.y) <= 6 GROUP BY ALL HAVING min(sqrt((a.x - b.x)^2 + (a.y - b.y)^2)) <= 6),
-    p AS (SELECT d.clump, sum(r.area / d) AS proximity, min(d) AS nearest, count(*) AS neighbours FROM d JOIN r ON d.other = r.clump GROUP BY d.clump)
-    SELECT clump, area, round(coalesce(proximity, 0), 5) AS proximity, round(nearest, 5) AS nearest, coalesce(neighbours, 0) AS neighbours FROM r LEFT JOIN p USING (clump)
+    p AS (SELECT d.clump, sum(ar.area / d) AS proximity, min(d) AS nearest, count(*) AS neighbours FROM d JOIN ar ON d.other = ar.clump GROUP BY d.clump)
+    SELECT clump, area, round(coalesce(proximity, 0), 5) AS proximity, round(nearest, 5) AS nearest, coalesce(neighbours, 0) AS neighbours FROM ar LEFT JOIN p USING (clump)
     """)
 )
 def proximity_index(spark, sf_dir):
