@@ -61,7 +61,7 @@ FROM d WINDOW w AS (PARTITION BY digest)
 @query
 def op3_quality(spark, sf_dir):
     scored = quality_classifier(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored.select("doc_id", "quality_text", "quality_meta", "quality_score", "quality_keep")
+    return scored.select("doc_id", "quality_text", "quality_meta", "quality_score", F.col("quality_keep").alias("kept"))
 
 
 @query
