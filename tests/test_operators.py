@@ -256,3 +256,24 @@ def test_learners_leave_nulls(spark):
     got = learning.classify(learning.train_classifier(d, "k", ["u", "v"], "tree"), d).collect()
     assert sum(r.predicted == r.k for r in got) == 40
     assert [r.predicted for r in got if r.u is None] == [None]
+
+
+def test_colours_differ_between_neighbours(spark):
+    from cellweave.operators import convert
+
+    edges = [(i, (i * k) % 23) for i in range(23) for k in (2, 3)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {r.node: r.colour for r in convert.colour(df).collect()}
+    assert all(got[a] != got[b] for a, b in edges if a != b)
+    assert set(got.values()) <= set(range(1, 8))
+
+
+def test_null_values_and_snapping(spark):
+    from cellweave.operators import convert
+
+    d = spark.createDataFrame([(1, 0.0), (2, None), (3, 5.0)], "k int, v double")
+    assert rows(convert.null_values(d, ["v"], (0.0,)), "k") == [(1, None), (2, None), (3, 5.0)]
+    assert rows(convert.null_values(d, ["v"], (), -1.0), "k") == [(1, 0.0), (2, -1.0), (3, 5.0)]
+    grid = spark.createDataFrame([(0, 0, 9.0), (5, 5, 9.0), (2, 2, 1.0)], "x long, y long, v double")
+    p = spark.createDataFrame([(1, 1, 1), (2, 20, 20)], "k int, x long, y long")
+    assert rows(convert.snap(p, grid, "k", "v", 5, 3), "k") == [(1, 0, 0, pytest.approx(math.sqrt(2))), (2, 20, 20, None)]
