@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from cellweave.llm.common import materialize
 from cellweave.operators.graph import connected_components
 
-#: Groups of the coarse count vectors; groups within one block of the fine ones.
+#: Groups of the coarse count vectors; groups within one block.
 COARSE, FINE = 64, 256
+#: Tokens that a group of the sharp count vectors holds on average, at most: more would even out unrelated sets.
+PER_GROUP = 16
 #: Members of a cell that one task compares; larger cells are cut into pages of this size, which meet in pairs.
 PAGE = 1024
 LEAF = 32
@@ -149,7 +151,33 @@ class Bands:
 
 def coarse(tokens: np.ndarray) -> np.ndarray:
     """The set as a point: how many tokens fall into each of ``COARSE`` groups."""
-    return np.bincount(((tokens >> np.uint64(8)) % np.uint64(COARSE)).astype(np.int64), minlength=COARSE).astype("<u4")
+    return _counted(tokens, COARSE)
+
+
+def sharp(tokens: np.ndarray) -> np.ndarray:
+    """The set as a point with as many coordinates, a power of two, as its size needs."""
+    groups = COARSE
+    while groups * PER_GROUP < len(tokens):
+        groups *= 2
+    return _counted(tokens, groups)
+
+
+def _counted(tokens: np.ndarray, groups: int) -> np.ndarray:
+    return np.bincount(((tokens >> np.uint64(8)) % np.uint64(groups)).astype(np.int64), minlength=groups).astype("<u4")
+
+
+def overlaps(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """Summed minima of points, pair by pair; of two resolutions, powers of two, the finer one is folded to the other."""
+    sizes = np.array([[len(a) // 4, len(b) // 4] for a, b in zip(left, right, strict=True)]).reshape(-1, 2)
+    out = np.zeros(len(sizes), np.int64)
+    for a, b in np.unique(sizes, axis=0).tolist():
+        at, groups = np.flatnonzero((sizes == [a, b]).all(axis=1)), min(a, b)
+        step = max(1, (1 << 22) // max(a, b))
+        for k in range(0, len(at), step):
+            # a group's number modulo the smaller count is its group there
+            x, y = (np.frombuffer(b"".join(side[i] for i in at[k : k + step]), "<u4").reshape(-1, n // groups, groups).sum(axis=1) for side, n in ((left, a), (right, b)))
+            out[at[k : k + step]] = np.minimum(x, y).sum(axis=1)
+    return out
 
 
 def needed(s: np.ndarray, t: np.ndarray, percent: int) -> np.ndarray:
@@ -201,11 +229,11 @@ def _frequent(docs: DataFrame, n: int) -> np.ndarray:
 
 def _signatures(bands: Bands, n: int, frequent: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_shingles", "set1", "set2", "keys", "point"]
+        names = ["doc_id", "n_shingles", "set1", "set2", "keys", "point", "sharp"]
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                sizes, one, two, keys, points = [], [], [], [], []
+                sizes, one, two, keys, points, sharps = [], [], [], [], [], []
                 for text in batch.column(1):
                     tokens = shingles(text.as_py(), n)
                     digest = np.frombuffer(xxhash.xxh128_digest(tokens.tobytes()), "<i8")
@@ -214,22 +242,22 @@ def _signatures(bands: Bands, n: int, frequent: Broadcast):
                     two.append(digest[1])
                     keys.append(bands.keys(tokens, frequent.value).view(np.int64))
                     points.append(coarse(tokens).tobytes())
+                    sharps.append(sharp(tokens).tobytes())
                 long = pa.int64()
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, long), pa.array(one, long), pa.array(two, long), pa.array(keys, pa.list_(long)), pa.array(points, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, long), pa.array(one, long), pa.array(two, long), pa.array(keys, pa.list_(long)), pa.array(points, pa.binary()), pa.array(sharps, pa.binary())], names)
 
     return run
 
 
-def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` whose count vectors' summed minima reach the overlap that they need."""
-    point = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("point").alias(f"p{c}"))
+def _bounded(pairs: DataFrame, sets: DataFrame, percent: int, column: str) -> DataFrame:
+    """Pairs ``a, b`` whose count vectors' summed minima reach the overlap that they need; ``column`` has the vectors."""
+    point = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col(column).alias(f"p{c}"))
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, na, nb, pa_, pb = (batch.column(k) for k in range(6))
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(p.to_pylist()), "<u4").reshape(-1, COARSE) for p in (pa_, pb))
-                ok = pa.array(np.minimum(x, y).sum(axis=1) >= needed(na.to_numpy(), nb.to_numpy(), percent))
+                ok = pa.array(overlaps(pa_.to_pylist(), pb.to_pylist()) >= needed(na.to_numpy(), nb.to_numpy(), percent))
                 yield pa.RecordBatch.from_arrays([a.filter(ok), b.filter(ok)], ["a", "b"])
 
     joined = pairs.join(point("a"), "a").join(point("b"), "b").select("a", "b", "na", "nb", "pa", "pb")
@@ -315,8 +343,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     cells: groups are dealt into so many blocks that linked sets agree in all coordinates of a block with several tokens
     (see ``Bands``), and an exchange brings the points of a cell together. No link can be missed. In a cell each point is
     first held against its smallest node; where that leaves several components, a packed R-tree finds the pairs
-    between them that the bound can't rule out, page by page in large cells. Pairs that pass the bound are verified on
-    their exact sets. Nothing is capped: a group of thousands of variants costs a comparison each with the smallest, and
+    between them that the bound can't rule out, page by page in large cells. Pairs that pass the bound meet it once more with
+    points whose number of groups grows with the set, as few groups even out large sets, and are then verified on their exact sets. Nothing is capped: a group of thousands of variants costs a comparison each with the smallest, and
     only what that doesn't link is compared further.
 
     Null and empty texts have an empty set and link with nothing; short texts are one shingle; null ids get a null
@@ -329,21 +357,23 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     id_type = docs.schema["doc_id"].dataType.simpleString()
     bands = Bands(percent)
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, words))
-    made = materialize(docs.mapInArrow(_signatures(bands, words, frequent), f"doc_id {id_type}, n_shingles long, set1 long, set2 long, keys array<long>, point binary"), "signatures")
+    made = materialize(docs.mapInArrow(_signatures(bands, words, frequent), f"doc_id {id_type}, n_shingles long, set1 long, set2 long, keys array<long>, point binary, sharp binary"), "signatures")
     by_set = made.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set1", "set2", F.col("n_shingles").alias("n"))
-    sets = materialize(by_set.agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"), F.first("point").alias("point")).withColumn("node", F.monotonically_increasing_id()), "sets")
+    sets = materialize(by_set.agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"), F.first("point").alias("point"), F.first("sharp").alias("sharp")).withColumn("node", F.monotonically_increasing_id()), "sets")
 
     in_cell = sets.select("node", F.explode("keys").alias("key"))
     cells = materialize(in_cell.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("cell")).where("cell > 1"), "cells")
     members = materialize(in_cell.join(cells, "key").select("key", "cell", "a", "node"), "members")
     firsts = members.where("node <> a").groupBy("a", F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("n")).select("a", "b")
-    links = materialize(_verified(materialize(_bounded(firsts, sets, percent), "pairs"), docs, sets, words, percent), "links")
+    # Most pairs fall to the short vectors, so only the rest carries the long ones, and only what they leave carries sets.
+    likely = materialize(_bounded(materialize(_bounded(firsts, sets, percent, "point"), "pairs"), sets, percent, "sharp"), "pairs")
+    links = materialize(_verified(likely, docs, sets, words, percent), "links")
     roots = materialize(connected_components(links), "roots")
 
     placed = members.where("cell > 2").join(roots, "node", "left").select("key", "cell", "node", F.coalesce("root", "node").alias("root"))
     open_ = materialize(placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key"), "open")
     rest = placed.join(open_, "key").join(sets.select("node", "n", "point"), "node")
-    more = materialize(_cells(rest, percent), "pairs")
+    more = materialize(_bounded(materialize(_cells(rest, percent), "pairs"), sets, percent, "sharp"), "pairs")
     if more.take(1):
         links = links.unionByName(_verified(more, docs, sets, words, percent))
         roots = materialize(connected_components(links), "roots")

@@ -132,6 +132,25 @@ def test_tree_loses_no_pair():
     assert len(found) < len(sets) ** 2 / 8
 
 
+def test_sharp_points_bound_the_overlap():
+    rng = np.random.default_rng(6)
+    pool = rng.integers(0, 2**63, 9000, np.uint64)
+    sets = [np.unique(rng.choice(pool, n, replace=False)) for n in (0, 1, 700, 1000, 1100, 2500, 4000, 8000)]
+    points = [jaccard_join.sharp(s) for s in sets]
+    assert [len(p) for p in points] == [64, 64, 64, 64, 128, 256, 256, 512]
+    a, b = np.divmod(np.arange(len(sets) ** 2), len(sets))
+    got = jaccard_join.overlaps([points[i].tobytes() for i in a], [points[i].tobytes() for i in b])
+    exact = np.array([len(np.intersect1d(sets[i], sets[j])) for i, j in zip(a, b, strict=True)])
+    assert (got >= exact).all()
+    assert (got[a == b] == exact[a == b]).all()
+    # of unrelated large sets the short vectors say nothing, the long ones enough
+    x, y = (np.unique(rng.integers(0, 2**63, 4000, np.uint64)) for _ in range(2))
+    least = jaccard_join.needed(len(x), len(y), 80)
+    assert np.minimum(jaccard_join.coarse(x), jaccard_join.coarse(y)).sum() >= least
+    assert jaccard_join.overlaps([jaccard_join.sharp(x).tobytes()], [jaccard_join.sharp(y).tobytes()])[0] < least
+    assert len(jaccard_join.overlaps([], [])) == 0
+
+
 def test_line_dedup(docs, none):
     out = line_dedup.line_dedup(docs)
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "size", "key", "quality_keep", "odd name", "n_lines", "n_removed"]
