@@ -1,6 +1,7 @@
 """Small exact grids and series, with nulls, ties and empty inputs."""
 
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -277,3 +278,15 @@ def test_null_values_and_snapping(spark):
     grid = spark.createDataFrame([(0, 0, 9.0), (5, 5, 9.0), (2, 2, 1.0)], "x long, y long, v double")
     p = spark.createDataFrame([(1, 1, 1), (2, 20, 20)], "k int, x long, y long")
     assert rows(convert.snap(p, grid, "k", "v", 5, 3), "k") == [(1, 0, 0, pytest.approx(math.sqrt(2))), (2, 20, 20, None)]
+
+
+def test_discard_deletes_intermediate_tables_only(spark, sf_dir):
+    from cellweave.sources.shared import discard, materialize
+
+    table = materialize(spark.range(5).repartition(2), "x")
+    folder = os.path.dirname(table.inputFiles()[0].removeprefix("file://"))
+    assert os.path.isdir(folder)
+    discard(table)
+    assert not os.path.exists(folder)
+    with pytest.raises(ValueError):
+        discard(spark.read.parquet(f"{sf_dir}/region.parquet"))
