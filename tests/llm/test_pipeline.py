@@ -3,7 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline
-from test_operators import frame, plain_components, texts
+from test_text_operators import frame, plain_components, texts
 
 from cellweave.llm.mixing import mix_sources
 from cellweave.llm.sentencepiece_codec import load_codec
