@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cellweave.sources.shared import materialize, shared_path
+from cellweave.sources.shared import discard, materialize, shared_path
 
-__all__ = ["UPPER", "WORD", "ascii_lower", "materialize", "n_words", "shared_path"]
+__all__ = ["UPPER", "WORD", "ascii_lower", "discard", "materialize", "n_words", "shared_path"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A word: no space, tab, line feed, vertical tab, form feed or carriage return in it.

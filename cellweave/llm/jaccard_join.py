@@ -14,7 +14,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import materialize
+from cellweave.llm.common import discard, materialize
 from cellweave.operators.graph import connected_components
 
 #: Groups of the coarse count vectors; groups within one block.
@@ -296,7 +296,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, percen
             ok = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(link, "a long, b long")
+    found = materialize(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(link, "a long, b long"), "links")
+    discard(made)
+    return found
 
 
 def _cells(members: DataFrame, percent: int) -> DataFrame:
@@ -358,22 +360,32 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     bands = Bands(percent)
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, words))
     made = materialize(docs.mapInArrow(_signatures(bands, words, frequent), f"doc_id {id_type}, n_shingles long, set1 long, set2 long, keys array<long>, point binary, sharp binary"), "signatures")
+    ids = materialize(made.select("doc_id", "n_shingles", "set1", "set2"), "ids")
     by_set = made.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set1", "set2", F.col("n_shingles").alias("n"))
     sets = materialize(by_set.agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"), F.first("point").alias("point"), F.first("sharp").alias("sharp")).withColumn("node", F.monotonically_increasing_id()), "sets")
+    discard(made)
 
     in_cell = sets.select("node", F.explode("keys").alias("key"))
     cells = materialize(in_cell.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("cell")).where("cell > 1"), "cells")
     members = materialize(in_cell.join(cells, "key").select("key", "cell", "a", "node"), "members")
+    discard(cells)
+    keyed, sets = sets, materialize(sets.drop("keys"), "sets")
+    discard(keyed)
     firsts = members.where("node <> a").groupBy("a", F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("n")).select("a", "b")
     # Most pairs fall to the short vectors, so only the rest carries the long ones, and only what they leave carries sets.
-    likely = materialize(_bounded(materialize(_bounded(firsts, sets, percent, "point"), "pairs"), sets, percent, "sharp"), "pairs")
-    links = materialize(_verified(likely, docs, sets, words, percent), "links")
+    near = materialize(_bounded(firsts, sets, percent, "point"), "pairs")
+    likely = materialize(_bounded(near, sets, percent, "sharp"), "pairs")
+    discard(near)
+    links = _verified(likely, docs, sets, words, percent)
     roots = materialize(connected_components(links), "roots")
 
     placed = members.where("cell > 2").join(roots, "node", "left").select("key", "cell", "node", F.coalesce("root", "node").alias("root"))
     open_ = materialize(placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key"), "open")
     rest = placed.join(open_, "key").join(sets.select("node", "n", "point"), "node")
-    more = materialize(_bounded(materialize(_cells(rest, percent), "pairs"), sets, percent, "sharp"), "pairs")
+    near = materialize(_cells(rest, percent), "pairs")
+    discard(members)
+    more = materialize(_bounded(near, sets, percent, "sharp"), "pairs")
+    discard(near)
     if more.take(1):
         links = links.unionByName(_verified(more, docs, sets, words, percent))
         roots = materialize(connected_components(links), "roots")
@@ -382,6 +394,6 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     rooted = materialize(rooted, "rooted")
     smallest = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
     of_set = materialize(rooted.join(smallest, "root").select("set1", "set2", "n_shingles", "component_id"), "components")
-    joined = made.select("doc_id", "n_shingles", "set1", "set2").join(of_set, ["set1", "set2", "n_shingles"], "left")
+    joined = ids.join(of_set, ["set1", "set2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"))

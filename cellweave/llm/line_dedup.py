@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import WORD, materialize
+from cellweave.llm.common import WORD, discard, materialize
 
 #: Second hash of a window beside its 64-bit one.
 SALT = 0x5BD1E995
@@ -66,13 +66,17 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     shared = windows.groupBy("print").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("print")
     # The sides of these joins grow with the documents, so they're never broadcast.
     found = materialize(windows.join(shared.hint("merge"), "print", "left_semi").select("__id", "__of", "start", "size", "key", "key2", "at"), "windows")
+    discard(hashed)
 
     same = ["size", "key", "key2"]
     first = found.groupBy(*same).agg(F.min(F.struct("__id", "__of", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = found.join(materialize(first, "first").hint("merge"), same).where(F.struct("__id", "__of", "start") > F.col("first"))
-    marked = later.select("__id", "__of", F.explode("at").alias("at")).distinct().groupBy("__id", "__of").agg(F.collect_list("at").alias("__gone"))
+    first = materialize(first, "first")
+    later = found.join(first.hint("merge"), same).where(F.struct("__id", "__of", "start") > F.col("first"))
+    marked = materialize(later.select("__id", "__of", F.explode("at").alias("at")).distinct().groupBy("__id", "__of").agg(F.collect_list("at").alias("__gone")), "marked")
+    discard(found)
+    discard(first)
 
-    joined = docs.withColumns({"__id": key[0], "__of": key[1]}).join(materialize(marked, "marked").hint("merge"), ["__id", "__of"], "left")
+    joined = docs.withColumns({"__id": key[0], "__of": key[1]}).join(marked.hint("merge"), ["__id", "__of"], "left")
     lines = _lines(F.col(text_col))
     gone = F.map_from_arrays("__gone", F.transform("__gone", lambda _: F.lit(True)))
     rest = F.filter(lines, lambda x, i: ~F.map_contains_key(gone, i + 1))
