@@ -77,6 +77,13 @@ def keep_areas(clumped: DataFrame, least: int | None = None, most: int | None =
     return clumped.join(n.where(ok).select("clump"), "clump", "left_semi")
 
 
+def _places(points: DataFrame, key: str) -> DataFrame:
+    """Points that have a key and finite coordinates."""
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    p = points.select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    return p.where(F.col(key).isNotNull() & finite("x") & finite("y"))
+
+
 def nearest_neighbours(points: DataFrame, key: str, radius: float) -> DataFrame:
     """Each point's nearest other point within ``radius`` (ties to the smallest key), by squares of that size."""
     square = lambda c: F.floor(F.col(c) / radius).cast("long")
@@ -144,6 +151,60 @@ def percolation(edges: DataFrame, thresholds: Sequence[float]) -> DataFrame:
     return out
 
 
+def point_links(points: DataFrame, key: str, reach: float) -> DataFrame:
+    """Edges ``a, b`` that join the same points into groups as all pairs of points no further apart than ``reach`` do.
+
+    Points are dealt to squares whose diagonal is below ``reach``, so a square is one group and hangs on its smallest key. Two
+    squares are linked if any of their points are within reach. Bounding boxes of ever smaller parts decide that, dense squares
+    being split: pairs of parts that lie wholly within reach link their squares, those wholly beyond it are dropped, and
+    points are compared for what stays open.
+    """
+    split, levels = 4, 2
+    side = reach / 2**0.5 * (1 - 1e-6) / split**levels
+    p = _places(points, key).select(F.col(key).alias("k"), "x", "y", F.floor(F.col("x") / side).cast("long").alias("u"), F.floor(F.col("y") / side).cast("long").alias("v"))
+    p = materialize(p, "points")
+    part = lambda c, level: F.floor(F.col(c) / split ** (levels - level)).cast("long")
+    boxes = [
+        p.groupBy(part("u", i).alias("u"), part("v", i).alias("v")).agg(F.min("k").alias("k"), F.min("x").alias("x1"), F.max("x").alias("x2"), F.min("y").alias("y1"), F.max("y").alias("y2")) for i in range(levels + 1)
+    ]
+    squares = boxes[0] = materialize(boxes[0], "squares")
+    star = p.withColumns({"su": part("u", 0), "sv": part("v", 0)}).join(squares.select(F.col("u").alias("su"), F.col("v").alias("sv"), F.col("k").alias("root")), ["su", "sv"])
+    out = star.select(F.col("k").alias("a"), F.col("root").alias("b")).where("a <> b")
+
+    def named(df: DataFrame, end: str) -> DataFrame:
+        return df.select(*[F.col(c).alias(f"{end}_{c}") for c in df.columns])
+
+    length = lambda dx, dy: F.sqrt(F.pow(dx, 2) + F.pow(dy, 2))
+    gap = lambda c: F.greatest(F.col(f"a_{c}1") - F.col(f"b_{c}2"), F.col(f"b_{c}1") - F.col(f"a_{c}2"), F.lit(0.0))
+    most = lambda c: F.greatest(F.col(f"a_{c}2") - F.col(f"b_{c}1"), F.col(f"b_{c}2") - F.col(f"a_{c}1"))
+    ahead = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(3) for j in range(-2, 3) if (i, j) > (0, 0)]))
+    pairs = named(squares, "a").withColumn("m", ahead).withColumns({"b_u": F.col("a_u") + F.col("m.i"), "b_v": F.col("a_v") + F.col("m.j")}).drop("m").join(named(squares, "b"), ["b_u", "b_v"])
+    pairs = pairs.withColumns({"a": F.col("a_k"), "b": F.col("b_k")})
+    for level in range(levels + 1):
+        if level:
+            child = boxes[level].drop("k")
+            for end in "ab":
+                above = named(child, end).withColumns({f"{end}_pu": F.floor(F.col(f"{end}_u") / split).cast("long"), f"{end}_pv": F.floor(F.col(f"{end}_v") / split).cast("long")})
+                pairs = pairs.withColumnsRenamed({f"{end}_u": f"{end}_pu", f"{end}_v": f"{end}_pv"}).join(above, [f"{end}_pu", f"{end}_pv"]).drop(f"{end}_pu", f"{end}_pv")
+        near = pairs.where(length(gap("x"), gap("y")) <= reach).select("a", "b", "a_u", "a_v", "b_u", "b_v", (length(most("x"), most("y")) <= reach).alias("whole"))
+        near = materialize(near, "near")
+        linked = near.where("whole").select("a", "b").distinct()
+        out = out.unionByName(linked)
+        pairs = near.drop("whole").join(linked, ["a", "b"], "left_anti")
+    at = p.select("u", "v", "x", "y").distinct()
+    met = pairs.join(named(at, "a"), ["a_u", "a_v"]).join(named(at, "b"), ["b_u", "b_v"]).where(length(F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y")) <= reach)
+    return out.unionByName(met.select("a", "b").distinct())
+
+
+def point_percolation(points: DataFrame, key: str, thresholds: Sequence[float]) -> DataFrame:
+    """``percolation`` over all pairs of points."""
+    out = None
+    for t in thresholds:
+        row = percolation(point_links(points, key, t).withColumn("d", F.lit(0.0)), [t])
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def order_statistics(streams: DataFrame, order: str, length: str) -> DataFrame:
     """Count, mean and spread of the length by stream order, and the ratios between neighbouring orders."""
     s = streams.groupBy(order).agg(F.count(F.lit(1)).alias("n"), F.avg(length).alias("mean_length"), F.coalesce(F.stddev_samp(length), F.lit(0.0)).alias("stddev_length"))

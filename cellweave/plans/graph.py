@@ -109,6 +109,4 @@ def order_statistics(spark, sf_dir):
 
 @register()
 def percolation(spark, sf_dir):
-    p = _points(spark, sf_dir)
-    near = graph.nearest_neighbours(p, "vec_id", 0.25).select(F.col("vec_id").alias("a"), F.col("nearest").alias("b"), F.col("distance").alias("d"))
-    return graph.percolation(near, [0.002, 0.01, 0.05])
+    return graph.point_percolation(_points(spark, sf_dir), "vec_id", [0.002, 0.01, 0.05])

@@ -1,7 +1,9 @@
 """Small exact grids and series, with nulls, ties and empty inputs."""
 
+import collections
 import math
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -290,3 +292,19 @@ def test_discard_deletes_intermediate_tables_only(spark, sf_dir):
     assert not os.path.exists(folder)
     with pytest.raises(ValueError):
         discard(spark.read.parquet(f"{sf_dir}/region.parquet"))
+
+
+def test_percolation_joins_through_any_near_point(spark):
+    four = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.001, 0.0), (3, 0.031, 0.0), (4, 0.032, 0.0), (5, None, 0.0)], "k long, x double, y double")
+    assert rows(graph.point_percolation(four, "k", [0.002, 0.05]), "threshold") == [(0.002, 2, 2), (0.05, 1, 4)]
+    rng = random.Random(5)
+    places = [(rng.gauss(0, 0.2), rng.gauss(0, 0.2)) for _ in range(250)] + [(-0.1 + i / 4000, 0.05) for i in range(60)] + [(0.9, 0.9)] * 3 + [(0.9 + 0.25, 0.9), (0.9, 0.9 + 0.03125)]
+    got = {r.threshold: (r.groups, r.largest) for r in graph.point_percolation(spark.createDataFrame([(i, *p) for i, p in enumerate(places)], "k long, x double, y double"), "k", [0.01, 0.03125, 0.25]).collect()}
+    for t, found in got.items():
+        root = list(range(len(places)))
+        for i, p in enumerate(places):
+            for j, q in enumerate(places[:i]):
+                if math.hypot(p[0] - q[0], p[1] - q[1]) <= t and root[i] != root[j]:
+                    root = [root[j] if r == root[i] else r for r in root]
+        sizes = [n for n in collections.Counter(root).values() if n > 1]
+        assert found == (len(sizes), max(sizes))
