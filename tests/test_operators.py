@@ -308,3 +308,11 @@ def test_percolation_joins_through_any_near_point(spark):
                     root = [root[j] if r == root[i] else r for r in root]
         sizes = [n for n in collections.Counter(root).values() if n > 1]
         assert found == (len(sizes), max(sizes))
+
+
+def test_cost_distance_query_takes_all_cells(spark, sf_dir):
+    from cellweave.plans import catalog, views
+
+    cells = views.cells(catalog.table(spark, sf_dir, "lineitem")).select("x", "y")
+    got = catalog.QUERIES["cost_distance"](spark, sf_dir)
+    assert got.join(cells, ["x", "y"], "left_semi").where("x >= 24 OR y >= 24").count() > 0
