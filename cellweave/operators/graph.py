@@ -84,24 +84,47 @@ def _places(points: DataFrame, key: str) -> DataFrame:
     return p.where(F.col(key).isNotNull() & finite("x") & finite("y"))
 
 
-def nearest_neighbours(points: DataFrame, key: str, radius: float) -> DataFrame:
-    """Each point's nearest other point within ``radius`` (ties to the smallest key), by squares of that size."""
+def _nearest_within(some: DataFrame, points: DataFrame, key: str, radius: float) -> DataFrame:
+    """The nearest other point of each of ``some`` that has one within ``radius``, by squares of that size."""
     square = lambda c: F.floor(F.col(c) / radius).cast("long")
-    near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    p = points.select(F.col(key).alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), square("x").alias("sx"), square("y").alias("sy"))
-    q = points.select(F.col(key).alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), near.alias("m")).select("b", "bx", "by", (F.floor(F.col("bx") / radius).cast("long") + F.col("m.i")).alias("sx"), (F.floor(F.col("by") / radius).cast("long") + F.col("m.j")).alias("sy"))
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    p = some.select(F.col(key).alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), around.alias("m")).select("a", "ax", "ay", (square("ax") + F.col("m.i")).alias("sx"), (square("ay") + F.col("m.j")).alias("sy"))
+    q = points.select(F.col(key).alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), square("x").alias("sx"), square("y").alias("sy"))
     d = F.sqrt(F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2))
     met = p.join(q, ["sx", "sy"]).where("a <> b").withColumn("d", d).where(F.col("d") <= radius)
     return met.groupBy(F.col("a").alias(key)).agg(F.min(F.struct("d", "b")).alias("m")).select(key, F.col("m.b").alias("nearest"), F.col("m.d").alias("distance"))
 
 
+def nearest_neighbours(points: DataFrame, key: str, radius: float) -> DataFrame:
+    """Each point's nearest other point (ties to the smallest key), by squares of ``radius`` at first.
+
+    Points that have none within the radius are searched again with one twice as large, until none is left or the radius
+    spans all points. Points without finite coordinates take no part.
+    """
+    every = materialize(_places(points, key), "points")
+    span = every.agg((F.max("x") - F.min("x") + F.max("y") - F.min("y")).alias("s")).first()["s"] or 0.0
+    left, out = every, None
+    while True:
+        got = materialize(_nearest_within(left, every, key, radius), "nearest")
+        out = got if out is None else out.unionByName(got)
+        if radius > span:
+            return out
+        left = materialize(left.join(got, key, "left_anti"), "left")
+        if not left.take(1):
+            return out
+        radius *= 2
+
+
 def clark_evans(points: DataFrame, key: str, radius: float, area: float) -> DataFrame:
-    """Mean nearest-neighbour distance against the one expected of random points, and its standard score."""
-    nn = nearest_neighbours(points, key, radius)
+    """Mean nearest-neighbour distance against the one expected of random points, and its standard score, over all points.
+
+    ``radius`` is where the search for neighbours begins.
+    """
+    nn = _places(points, key).select(key).distinct().join(nearest_neighbours(points, key, radius), key, "left")
     n = F.count(F.lit(1))
-    expected = 0.5 / F.sqrt(n / area)
-    error = F.sqrt((4 - F.pi()) / (4 * F.pi() * n * n / area))
-    return nn.agg(n.alias("n"), F.avg("distance").alias("observed"), expected.alias("expected"), (F.avg("distance") / expected).alias("ratio"), ((F.avg("distance") - expected) / error).alias("score"))
+    expected = F.try_divide(F.lit(0.5), F.sqrt(n / area))
+    error = F.sqrt(F.try_divide(4 - F.pi(), 4 * F.pi() * n * n / area))
+    return nn.agg(n.alias("n"), F.avg("distance").alias("observed"), expected.alias("expected"), (F.avg("distance") / expected).alias("ratio"), F.try_divide(F.avg("distance") - expected, error).alias("score"))
 
 
 def stream_orders(streams: DataFrame, key: str, to: str) -> DataFrame:

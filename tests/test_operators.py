@@ -316,3 +316,16 @@ def test_cost_distance_query_takes_all_cells(spark, sf_dir):
     cells = views.cells(catalog.table(spark, sf_dir, "lineitem")).select("x", "y")
     got = catalog.QUERIES["cost_distance"](spark, sf_dir)
     assert got.join(cells, ["x", "y"], "left_semi").where("x >= 24 OR y >= 24").count() > 0
+
+
+def test_isolated_points_have_neighbours(spark):
+    at = [(1, 0.0, 0.0), (2, 0.1, 0.0), (3, 5.0, 0.0), (4, 5.0, 40.0), (5, -300.0, 0.0)]
+    p = spark.createDataFrame([*at, (6, None, 1.0), (7, 1.0, float("nan"))], "k long, x double, y double")
+    want = {k: min((math.hypot(x - u, y - v), j) for j, u, v in at if j != k) for k, x, y in at}
+    got = {r.k: (r.distance, r.nearest) for r in graph.nearest_neighbours(p, "k", 0.25).collect()}
+    assert got == {k: (pytest.approx(d), j) for k, (d, j) in want.items()}
+    (r,) = graph.clark_evans(p, "k", 0.25, 100.0).collect()
+    assert (r.n, r.observed) == (5, pytest.approx(sum(d for d, _ in want.values()) / 5))
+    assert r.ratio == pytest.approx(r.observed / (0.5 / math.sqrt(5 / 100)))
+    assert graph.nearest_neighbours(p.where("k = 1"), "k", 0.25).count() == 0
+    assert graph.clark_evans(p.where("k = 1"), "k", 0.25, 100.0).first().n == 1
