@@ -143,3 +143,9 @@ def match_histograms(pixels: DataFrame, image: str, value: str) -> DataFrame:
     first = target.groupBy(F.col("target").alias("_k")).agg(F.min("to").alias("_first"))
     pick = F.when(F.col("_b").isNull() | (F.abs(F.col("_a.target") - F.col("cdf")) <= F.abs(F.col("_b.target") - F.col("cdf"))), F.col("_a.target")).otherwise(F.col("_b.target"))
     return seen.withColumn("_k", pick).join(F.broadcast(first), "_k").select(image, value, F.col("_first").cast("long").alias("matched"))
+
+
+def to_columns(df: DataFrame, keys: Sequence[str], name: str, value: Column) -> DataFrame:
+    """An aggregate of each key as a column per value of ``name``; the values are taken from the data, in order."""
+    names = [r[0] for r in df.where(F.col(name).isNotNull()).select(name).distinct().orderBy(name).collect()]  # a column each
+    return df.groupBy(*keys).pivot(name, names).agg(value) if names else df.select(*keys).distinct()

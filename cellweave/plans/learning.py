@@ -10,8 +10,9 @@ from cellweave.plans.graph import _classes, _sql
 
 @register()
 def classify_pixels(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"b{i}") for i in range(8)])
-    names = [f"b{i}" for i in range(8)]
+    e = table(spark, sf_dir, "embeddings")
+    names = [f"b{i}" for i in range(e.agg(F.max(F.size("embedding")).alias("n")).first()["n"] or 0)]
+    e = e.select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(names)])
     return learning.classify(learning.train_classifier(e.where("vec_id % 4 <> 0"), "label", names, "tree"), e).select("vec_id", "label", "predicted")
 
 

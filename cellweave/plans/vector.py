@@ -160,3 +160,15 @@ def series_to_columns(spark, sf_dir):
     s = views.series(table(spark, sf_dir, "lineitem")).where("t <= 8")
     out = s.groupBy("x", "y").pivot("t", list(range(1, 9))).agg(F.max("v"))
     return out.toDF("x", "y", *[f"t{t}" for t in range(1, 9)])
+
+
+@register("PIVOT (SELECT l_partkey % 16 AS x, l_suppkey % 16 AS y, concat('c', l_linenumber) AS z FROM lineitem) ON z USING count(*) GROUP BY x, y")
+def voxel_categories_all(spark, sf_dir):
+    v = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 16).alias("x"), (F.col("l_suppkey") % 16).alias("y"), F.concat(F.lit("c"), F.col("l_linenumber").cast("string")).alias("z"))
+    return vector.to_columns(v, ["x", "y"], "z", F.count(F.lit(1))).na.fill(0)
+
+
+@register(views.sql("PIVOT (SELECT x, y, concat('t', t) AS t, v FROM series) ON t USING max(v) GROUP BY x, y"))
+def series_to_columns_all(spark, sf_dir):
+    out = vector.to_columns(views.series(table(spark, sf_dir, "lineitem")), ["x", "y"], "t", F.max("v"))
+    return out.toDF("x", "y", *[f"t{t}" for t in out.columns[2:]])

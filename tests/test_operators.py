@@ -329,3 +329,21 @@ def test_isolated_points_have_neighbours(spark):
     assert r.ratio == pytest.approx(r.observed / (0.5 / math.sqrt(5 / 100)))
     assert graph.nearest_neighbours(p.where("k = 1"), "k", 0.25).count() == 0
     assert graph.clark_evans(p.where("k = 1"), "k", 0.25, 100.0).first().n == 1
+
+
+def test_columns_come_from_the_data(spark):
+    from cellweave.operators import vector
+
+    s = spark.createDataFrame([(0, t, float(t)) for t in (12, 2, 28)] + [(1, 28, 5.0), (2, None, 1.0)], "k int, t int, v double")
+    out = vector.to_columns(s, ["k"], "t", F.max("v"))
+    assert out.columns == ["k", "2", "12", "28"]
+    assert rows(out, "k") == [(0, 2.0, 12.0, 28.0), (1, None, None, 5.0), (2, None, None, None)]
+
+
+def test_classify_pixels_uses_all_components(spark, tmp_path):
+    from cellweave.plans import catalog
+
+    e = spark.createDataFrame([(i, i // 2 % 2, [0.0] * 9 + [float(i // 2 % 2)]) for i in range(80)], "vec_id long, label int, embedding array<double>")
+    e.write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    got = catalog.QUERIES["classify_pixels"](spark, f"file://{tmp_path}").collect()
+    assert all(int(r.predicted) == r.label for r in got)
