@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -44,21 +45,33 @@ def promethee(df: DataFrame, key: str, weights: Mapping[str, float]) -> DataFram
     return got.select(key, "positive", "negative", (F.col("positive") - F.col("negative")).alias("net"))
 
 
-def electre(df: DataFrame, key: str, weights: Mapping[str, float], most: int = 10_000) -> DataFrame:
+def electre(df: DataFrame, key: str, weights: Mapping[str, float], most: int | None = None) -> DataFrame:
     """Concordance and discordance of each alternative against all others.
 
-    The method compares every pair, so the number of alternatives is checked: more than ``most`` is an error.
+    Concordance is a sum of ranks, from histograms of the values. Discordance takes the largest of several gaps for each pair,
+    so pairs of distinct alternatives are compared; their number grows with the square. If ``most`` is given, more
+    alternatives than that are an error.
     """
-    if df.count() > most:
+    if most is not None and df.count() > most:
         raise ValueError(f"more than {most} alternatives; their pairs grow with the square")
     w = _shares(weights)
-    a = df.select(F.col(key).alias("a"), *[F.col(c).cast("double").alias(f"a_{c}") for c in w])
-    b = F.broadcast(df.select(F.col(key).alias("b"), *[F.col(c).cast("double").alias(f"b_{c}") for c in w]))
-    conc = sum((F.when(F.col(f"a_{c}") >= F.col(f"b_{c}"), s).otherwise(0.0) for c, s in w.items()), F.lit(0.0))
-    gaps = [F.greatest(F.col(f"b_{c}") - F.col(f"a_{c}"), F.lit(0.0)) for c in w]
-    pairs = a.join(b, F.col("a").isNotNull() & F.col("b").isNotNull()).select("a", "b", conc.alias("conc"), (F.greatest(*gaps) if len(gaps) > 1 else gaps[0]).alias("disc"))
-    both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias(key), F.col("conc").alias("c"), (-F.col("disc")).alias("d")), F.struct(F.col("b").alias(key), (-F.col("conc")).alias("c"), F.col("disc").alias("d")))).alias("p")).select("p.*")
-    return both.groupBy(key).agg(F.sum("c").alias("concordance"), F.sum("d").alias("discordance"))
+    rows = df.where(F.col(key).isNotNull()).select(key, *[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(w)])
+    names = rows.columns[1:]
+    kinds = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+    long = kinds.select("n", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.lit(s).alias("w"), F.col(c).alias("v")) for c, s in zip(names, w.values(), strict=True)])).alias("p")).select("n", "p.*").where("v IS NOT NULL")
+    values = long.groupBy("c", "w", "v").agg(F.sum("n").alias("n"))
+    below = F.coalesce(F.sum("n").over(Window.partitionBy("c").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = values.withColumns({"below": below, "all": F.sum("n").over(Window.partitionBy("c"))}).select("c", "v", (F.col("w") * (2 * F.col("below") + F.col("n") - F.col("all"))).alias("s"))
+    a, b = (kinds.select(*[F.col(c).alias(f"{e}{c}") for c in names], F.col("n").alias(f"{e}n")) for e in "ab")
+    gap = lambda x, y: F.greatest(F.lit(0.0), *[F.col(f"{x}{c}") - F.col(f"{y}{c}") for c in names])
+    disc = a.crossJoin(b).groupBy(*[f"a{c}" for c in names]).agg(F.sum(F.col("bn") * (gap("a", "b") - gap("b", "a"))).alias("discordance"))
+    same = [F.col(c).eqNullSafe(F.col(f"a{c}")) for c in names]
+    out = rows.join(disc, functools.reduce(lambda p, q: p & q, same))
+    conc = F.lit(0.0)
+    for c in names:
+        out = out.join(ranks.where(F.col("c") == c).select(F.col("v").alias(c), F.col("s").alias(f"s{c}")), c, "left")
+        conc = conc + F.coalesce(f"s{c}", F.lit(0.0))
+    return out.groupBy(key).agg(F.sum(conc).alias("concordance"), F.sum("discordance").alias("discordance"))
 
 
 #: Random consistency of pairwise comparisons by size, fixed values.

@@ -347,3 +347,20 @@ def test_classify_pixels_uses_all_components(spark, tmp_path):
     e.write.parquet(f"file://{tmp_path}/embeddings.parquet")
     got = catalog.QUERIES["classify_pixels"](spark, f"file://{tmp_path}").collect()
     assert all(int(r.predicted) == r.label for r in got)
+
+
+def test_electre_against_all_pairs(spark):
+    rng = random.Random(3)
+    a = [(i, rng.choice([None, *range(6)]), float(rng.randrange(9)), rng.random()) for i in range(40)] + [(None, 1, 2.0, 0.5)]
+    df = spark.createDataFrame(a, "k int, u int, v double, w double")
+    conc = lambda p, q: sum(s for x, y, s in zip(p[1:], q[1:], (0.5, 0.3, 0.2), strict=True) if None not in (x, y) and x >= y)
+    disc = lambda p, q: max(max(y - x, 0.0) if None not in (x, y) else 0.0 for x, y in zip(p[1:], q[1:], strict=True))
+    got = {r.k: (r.concordance, r.discordance) for r in decision.electre(df, "k", {"u": 5, "v": 3, "w": 2}).collect()}
+    assert len(got) == 40
+    for p in a[:-1]:
+        assert got[p[0]] == pytest.approx((sum(conc(p, q) - conc(q, p) for q in a[:-1]), sum(disc(q, p) - disc(p, q) for q in a[:-1])))
+
+
+def test_electre_takes_any_number(spark):
+    df = spark.range(10_001).select("id", (F.col("id") % 50).alias("v"), (F.col("id") % 7).alias("w"))
+    assert decision.electre(df, "id", {"v": 3, "w": 1}).count() == 10_001
