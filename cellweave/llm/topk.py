@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.llm.common import materialize
@@ -17,8 +17,10 @@ BLOCK_QUERIES, BLOCK_BYTES = 4096, 32 << 20
 BUCKETS = 4096
 #: Products and sums up to here are exact in float64.
 EXACT = 2**53
-#: Scores end here, either way; larger ones count as this.
-LIMIT = 2**61
+#: The least and the largest score; beyond them only whether a score is in the result matters, which is an error.
+LEAST, MOST = -(2**63), 2**63 - 1
+#: Below this an integer product can't overflow, rounding of the estimate included.
+SAFE = 2**62
 MATRIX_BYTES = 32 << 20
 
 
@@ -35,8 +37,8 @@ class _Block:
             self.parts.append((dim, rows, ids[rows], np.stack([vectors[i] for i in rows])))
         self.n = len(ids)
 
-    def scores(self, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Query rows, candidate ids, integer scores (queries x candidates) and which of them count."""
+    def scores(self, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Query rows, candidate ids, integer scores (queries x candidates), which of them count and which are beyond a long."""
         ids, offsets = batch.column(0).to_numpy(), batch.column(1).offsets.to_numpy()
         flat = batch.column(1).values.to_numpy(zero_copy_only=False)
         sizes = np.diff(offsets)
@@ -47,20 +49,28 @@ class _Block:
                 take = mine[at : at + step]
                 vectors = flat[offsets[take][:, None] + np.arange(dim)]
                 top = (np.abs(matrix).max(initial=0) or 1) * (np.abs(vectors).max(initial=0) or 1) * max(dim, 1)
+                beyond = np.zeros((len(rows), len(take)), bool)
                 if top < EXACT:
                     got = (matrix @ vectors.T).astype(np.int64)
-                elif top < LIMIT:  # beyond float64's exact integers the slower integer product takes over
+                elif top < SAFE:  # beyond float64's exact integers the slower integer product takes over
                     got = matrix.astype(np.int64) @ vectors.astype(np.int64).T
                 else:
-                    got = np.clip(_whole(matrix) @ _whole(vectors).T, -LIMIT, LIMIT).astype(np.int64)
-                yield rows, ids[take], got, query_ids[:, None] != ids[take][None, :]
+                    exact = _whole(matrix) @ _whole(vectors).T
+                    beyond = ((exact < LEAST) | (exact > MOST)).astype(bool)
+                    got = np.clip(exact, LEAST, MOST).astype(np.int64)
+                yield rows, ids[take], got, query_ids[:, None] != ids[take][None, :], beyond
+
+
+def _floor(x: Column) -> Column:
+    """Floor of a double, which Spark would bound by a long's range; from 2^53 on doubles are whole."""
+    return F.when(F.abs(x) < EXACT, F.floor(x).cast("double")).otherwise(x)
 
 
 def _integers(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
     """Rows that take part: an id and ``floor(scale * x)`` of finite components."""
     x = F.col(vector_col).cast("array<double>")
     ok = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
-    return vectors.where(ok).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale).cast("double")).alias("v"))
+    return vectors.where(ok).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: _floor(c * scale)).alias("v"))
 
 
 def exact_top_k(vectors: DataFrame, *, k: int = 10, query_every: int = 100, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024) -> DataFrame:
@@ -75,7 +85,8 @@ def exact_top_k(vectors: DataFrame, *, k: int = 10, query_every: int = 100, id_c
     are ranked. No pass sends more than a few numbers per query and task.
 
     Rows whose id is null, or whose vector is null or holds null or non-finite components, take no part; vectors of
-    another length than the query's are no candidates for it. Scores beyond ``LIMIT`` count as ``LIMIT``. Rows that repeat a query's id are that query (the smallest
+    another length than the query's are no candidates for it. Scores are exact up to a long's range; one beyond it that would
+    be in the result is an error. Rows that repeat a query's id are that query (the smallest
     vector counts); other repeated rows are candidates each. An empty table gives no rows. Other columns are ignored.
 
     Returns ``query_id, rank, vec_id, score``.
@@ -103,20 +114,23 @@ def _block(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     n = len(held)
     reach = rows.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("r")).first()["r"] or 0.0
     # No score is beyond the product of the two lengths.
-    edge = np.array([min(LIMIT, int(np.linalg.norm(r["v"]) * reach * (1 + 1e-9)) + 1) for r in held], np.int64).reshape(-1)
-    low, high, above = -edge, edge, np.zeros(n, np.int64)
+    edge = [int(min(np.linalg.norm(r["v"]) * reach * (1 + 1e-9) + 1, 2.0**63)) for r in held]
+    low, high = (np.array(v, np.int64).reshape(-1) for v in ([max(LEAST, -e) for e in edge], [min(MOST, e) for e in edge]))
+    above = np.zeros(n, np.int64)
 
     while n and (high > low).any():
-        width = np.maximum(1, -((low - high - 1) // BUCKETS))
+        width = np.array([max(1, -((int(a) - int(b) - 1) // BUCKETS)) for a, b in zip(low, high, strict=True)], np.int64)
         state = spark.sparkContext.broadcast((low, high, width, above))
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low, high, width, above = state.value
             kept = [np.zeros(0, np.int64)] * block.value.n  # the highest buckets that this task has seen, k of them
             for batch in batches:
-                for at, _, got, ok in block.value.scores(batch):
-                    bucket = (got - low[at][:, None]) // width[at][:, None]
-                    bucket[~ok | (bucket < 0) | (got > high[at][:, None])] = -1
+                for at, _, got, ok, _ in block.value.scores(batch):
+                    # A difference of longs may exceed one, but wraps to the right unsigned number where it isn't negative.
+                    over = got.view(np.uint64) - low[at].view(np.uint64)[:, None]
+                    bucket = (over // width[at].view(np.uint64)[:, None]).astype(np.int64)
+                    bucket[~ok | (got < low[at][:, None]) | (got > high[at][:, None])] = -1
                     if bucket.shape[1] > k:
                         bucket = np.partition(bucket, bucket.shape[1] - k, axis=1)[:, -k:]
                     for i, q in enumerate(at):
@@ -140,8 +154,8 @@ def _block(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 high[q] = low[q]
                 continue
             above[q] += r["upto"] - r["n"]
-            low[q] += r["bucket"] * width[q]
-            high[q] = min(high[q], low[q] + width[q] - 1)
+            low[q] = int(low[q]) + r["bucket"] * int(width[q])
+            high[q] = min(int(high[q]), int(low[q]) + int(width[q]) - 1)
         high[~seen] = low[~seen]
         state.unpersist()
 
@@ -152,12 +166,14 @@ def _block(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         held = [np.zeros((0, 2), np.int64)] * block.value.n
         ids = np.zeros(block.value.n, np.int64)
         for batch in batches:
-            for at, vec_ids, got, ok in block.value.scores(batch):
+            for at, vec_ids, got, ok, beyond in block.value.scores(batch):
                 ok &= got >= floor.value[at][:, None]
+                if (ok & beyond).any():
+                    raise OverflowError("a score among the highest is beyond the range of a long")
                 for i in np.flatnonzero(ok.any(axis=1)):
                     c = np.flatnonzero(ok[i])
                     new = np.concatenate([held[at[i]], np.stack([vec_ids[c], got[i, c]], axis=1)])
-                    held[at[i]] = new[np.lexsort((new[:, 0], -new[:, 1]))[:k]]
+                    held[at[i]] = new[np.lexsort((new[:, 0], ~new[:, 1]))[:k]]
         for _, at, query_ids, _ in block.value.parts:
             ids[at] = query_ids
         flat = np.concatenate([*held, np.zeros((0, 2), np.int64)])

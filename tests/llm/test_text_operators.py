@@ -357,3 +357,19 @@ def test_quality(spark, sf_dir, docs, none):
     assert {r.quality_score for r in quality.quality_classifier(docs, marks.limit(0)).collect()} == {0.5}
     assert {r.quality_score for r in quality.quality_classifier(docs, marks.where("quality = 1")).collect()} == {1.0}
     assert quality.quality_classifier(none, marks).count() == 0
+
+
+def test_top_k_is_exact_up_to_long(spark):
+    big = [(0, [2.0**30, 0.0]), (100, [-(2.0**30), 0.0])]
+    rows = big + [(i, [x / 1024, 0.0]) for i, x in ((1, 2**22 + 1), (2, 2**22 + 2), (3, 2**22 + 3), (4, 2**23 - 1), (5, 5), (6, -(2**23) + 1), (7, -(2**22)))]
+    want = []
+    for q, v in big:
+        whole = lambda u: [int(1024 * x) for x in u]
+        scored = sorted((-sum(a * b for a, b in zip(whole(v), whole(u), strict=True)), i) for i, u in rows if i != q)
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored) if n < 4]
+    assert max(s for *_, s in want) > 2**62
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert [tuple(r) for r in topk.exact_top_k(df, k=4).orderBy("query_id", "rank").collect()] == want
+    past = spark.createDataFrame([*rows, (8, [2.0**30, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="beyond the range of a long"):
+        topk.exact_top_k(past, k=4).collect()
