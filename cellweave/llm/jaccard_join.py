@@ -1,10 +1,9 @@
-"""N-gram Jaccard join with count vectors of hashed token groups."""
+"""N-gram Jaccard join: count vectors of hashed token groups in packed R-trees."""
 
 from __future__ import annotations
 
 import functools
 import itertools
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,16 +16,17 @@ from pyspark.sql import functions as F
 from cellweave.llm.common import discard, materialize
 from cellweave.operators.graph import connected_components
 
-#: Groups of the coarse count vectors; groups within one block.
-COARSE, FINE = 64, 256
-#: Tokens that a group of the sharp count vectors holds on average, at most: more would even out unrelated sets.
-PER_GROUP = 16
-#: Members of a cell that one task compares; larger cells are cut into pages of this size, which meet in pairs.
-PAGE = 1024
+#: Tokens that a group of the count vectors holds on average, at most; more would even out unrelated sets.
+PER_GROUP, LEAST_GROUPS = 2, 16
+#: Members of a cell, and tokens in them, that one task holds; larger cells are cut into pages, which meet in pairs.
+PAGE, PAGE_TOKENS = 1024, 500_000
 LEAF = 32
 WORDS_CACHED = 400_000
-#: Documents from which frequent tokens are learned, and how many of them have a frequent token.
-SAMPLE_DOCS, FREQUENT_IN_SAMPLE = 4000, 8
+#: Documents from which frequent tokens are learned, how many of them have a frequent token, and how many tokens are told apart at most.
+SAMPLE_DOCS, FREQUENT_IN_SAMPLE, FREQUENT_TOKENS = 16_000, 8, 500_000
+#: The top bits of a token say how frequent it is, the others are its hash.
+CLASS_BITS = 3
+HASH_MASK = np.uint64(2 ** (64 - CLASS_BITS) - 1)
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -52,7 +52,7 @@ def _words() -> _Words:
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's ``n``-word shingles, A-Z lower-cased; fewer words are one shingle."""
+    """Sorted distinct 61-bit hashes of the text's ``n``-word shingles, A-Z lower-cased; fewer words are one shingle."""
     words = (text or "").encode().lower().split()  # bytes: A-Z only, and just the six ASCII blanks part words
     if not words:
         return np.zeros(0, np.uint64)
@@ -61,122 +61,56 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     out = np.full(len(h) - size + 1, size, np.uint64)
     for k in range(size):
         out = _mix(out * _K[0] + h[k : len(h) - size + 1 + k] * _K[1] + _K[2])
-    return np.unique(out)
+    return np.unique(out & HASH_MASK)
 
 
-def _poisson_tail(mean: float, least: int) -> float:
-    """Probability of ``least`` or more where ``mean`` are expected."""
-    return 1 - math.exp(-mean) * sum(mean**k / math.factorial(k) for k in range(least))
+def ordered(tokens: np.ndarray, frequent: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """The tokens with their class of frequency in the top bits, sorted: rare ones first, by hash within a class."""
+    if not len(frequent) or not len(tokens):
+        return tokens
+    at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
+    known = frequent[at] == tokens
+    return np.sort(tokens | np.where(known, classes[at], np.uint64(0)) << np.uint64(64 - CLASS_BITS))
 
 
-class Bands:
-    """Set sizes in bands so wide that partners are in the same or the next one, and the blocks of each band.
+def prefix(tokens: np.ndarray, percent: int) -> np.ndarray:
+    """The first tokens, one more than may be missing in a partner: the first common token of two linked sets is in both prefixes.
 
-    Sets of sizes s and t link if they differ in at most ``(s + t) * (100 - T) / (100 + T)`` tokens, and so in no more
-    blocks. A set with more than that many rich blocks (at least ``least`` tokens) thus agrees in a rich one with each
-    partner, which makes the contents of rich blocks sufficient keys. Blocks hold rare tokens only, so that a line in
-    every third document makes no key of its own. Sets with too few rich blocks, which the number of blocks makes seldom, get keys of
-    a second family as well, over blocks of all tokens, and if these are too few of a third: there are two more blocks than the
-    largest difference, so partners agree in two of them, and blocks without tokens count in pairs. Of two partners
-    either one has enough rich blocks of a family, or both have keys of the next.
+    A set so small that only equal ones link with it needs none.
     """
+    size = len(tokens)
+    if size * (100 - percent) < percent:
+        return tokens[:0]
+    return tokens[: size + 1 + -percent * size // 100]
 
-    def __init__(self, percent: int):
-        self.percent = percent
-        self.edges = [1]
-        while self.edges[-1] < 2**31:
-            self.edges.append(max(self.edges[-1] + 1, -(-self.edges[-1] * 10000 // percent**2)))
-        self.starts = np.array(self.edges)
-        self.plans: dict[int, tuple[int, int, int]] = {}
-
-    def differ(self, band: int) -> int:
-        return 2 * (self.edges[band + 1] - 1) * (100 - self.percent) // (100 + self.percent)
-
-    def plan(self, band: int) -> tuple[int, int, int]:
-        if band not in self.plans:
-            self.plans[band] = self._plan(band)
-        return self.plans[band]
-
-    def _plan(self, band: int) -> tuple[int, int, int]:
-        """Largest difference, tokens that make a block rich, and number of blocks: as rich as few more blocks than needed allow."""
-        d, size = self.differ(band), self.edges[band]
-        for least in (3, 2, 1):
-            for blocks in range(d + 1, int(1.3 * d) + 8):
-                p = _poisson_tail(size / blocks, least)
-                if blocks * p - 3 * math.sqrt(blocks * p * (1 - p)) > d + 1:
-                    return d, least, blocks
-        return d, 1, int(1.3 * d) + 8
-
-    def of(self, size: int) -> list[int]:
-        band = int(np.searchsorted(self.starts, size, "right")) - 1
-        return [band] + [band + 1] * (100 * size >= self.percent * self.edges[band + 1])
-
-    def _blocks(self, tokens: np.ndarray, blocks: int, band: int, family: int) -> tuple[np.ndarray, np.ndarray]:
-        """A hash of each block's count vector, and its number of tokens."""
-        block = (tokens >> np.uint64(20)) % np.uint64(blocks)
-        group = _mix((tokens & np.uint64(FINE - 1)) + _K[0])
-        order = np.argsort(block, kind="stable")
-        counts = np.bincount(block.astype(np.int64), minlength=blocks)
-        vector = np.zeros(blocks, np.uint64)  # sum over groups of count times the group's random number
-        full = counts > 0
-        if full.any():
-            vector[full] = np.add.reduceat(group[order], (np.cumsum(counts) - counts)[full])
-        place = np.full(blocks, 3 * band + family, np.uint64) * _K[0] + np.arange(blocks, dtype=np.uint64) * _K[2]
-        return _mix(vector * _K[1] + place + counts.astype(np.uint64)), counts
-
-    def keys(self, tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-        """Keys of the cells in which the set meets its partners; sets that only equal ones link with need none."""
-        out = [np.zeros(0, np.uint64)]
-        rare = tokens[~np.isin(tokens, frequent, assume_unique=True)] if len(frequent) else tokens
-        for band in self.of(len(tokens)) if len(tokens) else []:
-            d, least, blocks = self.plan(band)
-            if not d:
-                continue
-            # of this set to a partner in the band
-            most = (len(tokens) + min(100 * len(tokens) // self.percent, self.edges[band + 1] - 1)) * (100 - self.percent) // (100 + self.percent)
-            for family, content in enumerate((rare, tokens)):
-                key, counts = self._blocks(content, blocks, band, family)
-                rich = key[counts >= least]
-                out.append(rich)
-                if len(rich) > most:
-                    break
-            else:
-                key, counts = self._blocks(tokens, d + 2, band, 2)
-                out.append(key[counts > 0])
-                empty = key[counts == 0]
-                i, j = np.triu_indices(len(empty), 1)
-                out.append(_mix(empty[i] * _K[3] + empty[j]))
-        return np.concatenate(out)
-
-
-def coarse(tokens: np.ndarray) -> np.ndarray:
-    """The set as a point: how many tokens fall into each of ``COARSE`` groups."""
-    return _counted(tokens, COARSE)
-
-
-def sharp(tokens: np.ndarray) -> np.ndarray:
-    """The set as a point with as many coordinates, a power of two, as its size needs."""
-    groups = COARSE
+
+def point(tokens: np.ndarray) -> np.ndarray:
+    """The set as a point: how many tokens fall into each of as many groups, a power of two, as its size needs.
+
+    With two tokens a group on average a count above 255 does not occur.
+    """
+    groups = LEAST_GROUPS
     while groups * PER_GROUP < len(tokens):
         groups *= 2
-    return _counted(tokens, groups)
+    counts = np.bincount(((tokens >> np.uint64(8)) & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    return np.minimum(counts, 255).astype(np.uint8)
 
 
-def _counted(tokens: np.ndarray, groups: int) -> np.ndarray:
-    return np.bincount(((tokens >> np.uint64(8)) % np.uint64(groups)).astype(np.int64), minlength=groups).astype("<u4")
+def folded(points: np.ndarray, groups: int) -> np.ndarray:
+    """Points, a row each, in fewer coordinates: a group's number modulo the smaller count is its group there."""
+    return points if points.shape[1] == groups else np.minimum(points.reshape(len(points), -1, groups).sum(axis=1), 255).astype(np.uint8)
 
 
 def overlaps(left: list[bytes], right: list[bytes]) -> np.ndarray:
-    """Summed minima of points, pair by pair; of two resolutions, powers of two, the finer one is folded to the other."""
-    sizes = np.array([[len(a) // 4, len(b) // 4] for a, b in zip(left, right, strict=True)]).reshape(-1, 2)
+    """Summed minima of points, pair by pair; of two resolutions the finer one is folded to the other."""
+    sizes = np.array([[len(a), len(b)] for a, b in zip(left, right, strict=True)]).reshape(-1, 2)
     out = np.zeros(len(sizes), np.int64)
     for a, b in np.unique(sizes, axis=0).tolist():
         at, groups = np.flatnonzero((sizes == [a, b]).all(axis=1)), min(a, b)
         step = max(1, (1 << 22) // max(a, b))
         for k in range(0, len(at), step):
-            # a group's number modulo the smaller count is its group there
-            x, y = (np.frombuffer(b"".join(side[i] for i in at[k : k + step]), "<u4").reshape(-1, n // groups, groups).sum(axis=1) for side, n in ((left, a), (right, b)))
-            out[at[k : k + step]] = np.minimum(x, y).sum(axis=1)
+            x, y = (folded(np.frombuffer(b"".join(side[i] for i in at[k : k + step]), np.uint8).reshape(-1, n), groups) for side, n in ((left, a), (right, b)))
+            out[at[k : k + step]] = np.minimum(x, y).sum(axis=1, dtype=np.int64)
     return out
 
 
@@ -188,70 +122,141 @@ def needed(s: np.ndarray, t: np.ndarray, percent: int) -> np.ndarray:
 def tree_pairs(points: np.ndarray, sizes: np.ndarray, comp: np.ndarray, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs that a packed R-tree over count vectors can't rule out.
 
-    Leaves hold points of like size and counts; a pair of nodes is dropped if the summed minima of their largest coordinates
-    stay below the overlap that their smallest members need, then pairs of points likewise. ``side`` 2 belongs to both pages; pairs
-    within one component, or within side 0 or 1 of a pair of pages, are not wanted.
+    Leaves hold points of one component or of like size; a pair of leaves is dropped if the summed minima of their largest
+    coordinates stay below the overlap that their smallest members need, or if it holds one component only, then pairs of points
+    likewise. ``side`` 2 belongs to both pages; pairs within one component, or within side 0 or 1 of a pair of pages, are not wanted.
     """
-    order = np.lexsort([points.argmax(axis=1), points[:, 0], sizes])
-    points, sizes, comp, side = points[order].astype(np.int64), sizes[order], comp[order], side[order]
+    order = np.lexsort([sizes, comp])
+    points, sizes, comp, side = points[order], sizes[order].astype(np.int64), comp[order], side[order]
     starts = np.arange(0, len(points), LEAF)
+    if not len(starts):
+        return order, order
     top, least = np.maximum.reduceat(points, starts, axis=0), np.minimum.reduceat(sizes, starts)
+    low, high = np.minimum.reduceat(comp, starts), np.maximum.reduceat(comp, starts)
     found = []
     for i, a in enumerate(starts):
-        bound = np.minimum(top[i], top[i:]).sum(axis=1)
-        for j in np.flatnonzero(bound >= needed(least[i], least[i:], percent)) + i:
+        bound = np.minimum(top[i], top[i:]).sum(axis=1, dtype=np.int64)
+        ok = (bound >= needed(least[i], least[i:], percent)) & ((low[i] != high[i:]) | (high[i] != low[i:]))
+        for j in np.flatnonzero(ok) + i:
             b = starts[j]
-            pa_, pb = points[a : a + LEAF], points[b : b + LEAF]
-            over = np.minimum(pa_[:, None], pb[None]).sum(axis=2)
-            sa, sb = sizes[a : a + LEAF, None], sizes[None, b : b + LEAF]
-            ok = (over >= needed(sa, sb, percent)) & (comp[a : a + LEAF, None] != comp[None, b : b + LEAF])
+            over = np.minimum(points[a : a + LEAF, None], points[None, b : b + LEAF]).sum(axis=2, dtype=np.int64)
+            ok = (over >= needed(sizes[a : a + LEAF, None], sizes[None, b : b + LEAF], percent)) & (comp[a : a + LEAF, None] != comp[None, b : b + LEAF])
             ok &= (side[a : a + LEAF, None] == 2) | (side[a : a + LEAF, None] != side[None, b : b + LEAF])
+            if i == j:
+                ok = np.triu(ok, 1)
             x, y = np.nonzero(ok)
             found.append(np.stack([order[a + x], order[b + y]]))
     out = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
     return out[0], out[1]
 
 
-def _frequent(docs: DataFrame, n: int) -> np.ndarray:
-    """Sorted tokens that are frequent in a bounded sample of documents. Any choice of tokens gives right results."""
+def forest_pairs(points: list[np.ndarray], sizes: np.ndarray, comp: np.ndarray, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """``tree_pairs`` over points of several resolutions: one tree for each resolution and the next finer one folded to it."""
+    width = np.array([len(p) for p in points])
+    found = [np.zeros((2, 0), np.int64)]
+    for groups in np.unique(width):
+        at = np.flatnonzero((width == groups) | (width == 2 * groups))
+        finer = width[at] > groups
+        same = np.empty((len(at), groups), np.uint8)
+        for part, n in ((~finer, groups), (finer, 2 * groups)):
+            if part.any():
+                same[part] = folded(np.stack([points[i] for i in at[part]]).reshape(-1, n), groups)
+        x, y = tree_pairs(same, sizes[at], comp[at], side[at], percent)
+        fine = finer[x] & finer[y]  # these have a tree of their own
+        found.append(np.stack([at[x[~fine]], at[y[~fine]]]))
+    out = np.concatenate(found, axis=1)
+    return out[0], out[1]
+
+
+def links_of(x: int, others: list[int], sets: list[np.ndarray], key: int, percent: int) -> list[int]:
+    """Those of ``others`` whose sets link with that of ``x`` and have ``key`` as first common token."""
+    whole = np.concatenate([sets[y] for y in others])
+    sizes = np.array([len(sets[y]) for y in others])
+    starts = np.cumsum(sizes) - sizes
+    at = np.minimum(np.searchsorted(sets[x], whole), len(sets[x]) - 1)
+    common = sets[x][at] == whole
+    same = np.add.reduceat(common, starts, dtype=np.int64)
+    first = np.minimum.reduceat(np.where(common, whole, np.uint64(2**64 - 1)), starts)
+    ok = (100 * same >= percent * (len(sets[x]) + sizes - same)) & (first == np.uint64(key))
+    return [y for y, good in zip(others, ok, strict=True) if good]
+
+
+def spanning_links(key: int, sets: list[np.ndarray], comp: list[int], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between members of a cell of which none closes a circle, fewer than members; each pair counts in its first common cell.
+
+    Pairs come from the R-trees, pairs that are connected by then are skipped, and the others are held against their exact sets.
+    """
+    root = {c: c for c in comp}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    sizes = np.array([len(s) for s in sets])
+    before = [frozenset(s[: np.searchsorted(s, np.uint64(key))].tolist()) for s in sets]
+    a, b = forest_pairs([point(s) for s in sets], sizes, np.array(comp), side, percent)
+    order = np.argsort(a, kind="stable")
+    out = []
+    for x, pairs in itertools.groupby(zip(a[order].tolist(), b[order].tolist(), strict=True), key=lambda p: p[0]):
+        rest = [y for _, y in pairs if before[x].isdisjoint(before[y])]
+        for at in range(0, len(rest), 256):
+            some = [y for y in rest[at : at + 256] if find(comp[y]) != find(comp[x])]
+            for y in links_of(x, some, sets, key, percent) if some else []:
+                if find(comp[y]) != find(comp[x]):
+                    root[find(comp[y])] = find(comp[x])
+                    out.append((x, y))
+    return out
+
+
+def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted frequent tokens, and a class for each, from a bounded sample of documents. Any choice gives right results."""
     count = docs.count()
     sample = docs.where(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(17)), 11) / F.lit(float(2**53)) < F.lit(min(1.0, SAMPLE_DOCS / max(count, 1))))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(t.as_py(), n).view(np.int64) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64()))], ["tokens"])
+            for t in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py(), n).view(np.int64))], ["token"])
 
-    each = sample.select("text").mapInArrow(tokens, "tokens array<long>").select(F.explode("tokens").alias("token"))
-    rows = each.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT_IN_SAMPLE).select("token").toArrow()
-    return np.sort(rows["token"].to_numpy().view(np.uint64))
+    each = sample.select("text").mapInArrow(tokens, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT_IN_SAMPLE)
+    rows = each.orderBy(F.desc("n"), "token").limit(FREQUENT_TOKENS).toArrow()
+    found, n = rows["token"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+    order = np.argsort(found)
+    classes = np.minimum(np.log2(np.maximum(n[order] / FREQUENT_IN_SAMPLE, 1)).astype(np.uint64) // np.uint64(2) + np.uint64(1), np.uint64(2**CLASS_BITS - 1))
+    return found[order], classes
 
 
-def _signatures(bands: Bands, n: int, frequent: Broadcast):
+def _signatures(n: int, percent: int, frequent: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_shingles", "set1", "set2", "keys", "point", "sharp"]
+        names = ["doc_id", "n_shingles", "set1", "set2", "keys", "point"]
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                sizes, one, two, keys, points, sharps = [], [], [], [], [], []
+                sizes, one, two, keys, points = [], [], [], [], []
                 for text in batch.column(1):
-                    tokens = shingles(text.as_py(), n)
+                    tokens = ordered(shingles(text.as_py(), n), *frequent.value)
                     digest = np.frombuffer(xxhash.xxh128_digest(tokens.tobytes()), "<i8")
                     sizes.append(len(tokens))
                     one.append(digest[0])
                     two.append(digest[1])
-                    keys.append(bands.keys(tokens, frequent.value).view(np.int64))
-                    points.append(coarse(tokens).tobytes())
-                    sharps.append(sharp(tokens).tobytes())
+                    keys.append(prefix(tokens, percent).view(np.int64))
+                    points.append(point(tokens).tobytes())
                 long = pa.int64()
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, long), pa.array(one, long), pa.array(two, long), pa.array(keys, pa.list_(long)), pa.array(points, pa.binary()), pa.array(sharps, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, long), pa.array(one, long), pa.array(two, long), pa.array(keys, pa.list_(long)), pa.array(points, pa.binary())], names)
 
     return run
 
 
-def _bounded(pairs: DataFrame, sets: DataFrame, percent: int, column: str) -> DataFrame:
-    """Pairs ``a, b`` whose count vectors' summed minima reach the overlap that they need; ``column`` has the vectors."""
-    point = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col(column).alias(f"p{c}"))
+def _met(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join of two sides that grow with the documents, which is never broadcast."""
+    return left.join(right.hint("merge"), on, how)
+
+
+def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` whose points' summed minima reach the overlap that they need."""
+    end = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("point").alias(f"p{c}"))
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,29 +265,33 @@ def _bounded(pairs: DataFrame, sets: DataFrame, percent: int, column: str) -> Da
                 ok = pa.array(overlaps(pa_.to_pylist(), pb.to_pylist()) >= needed(na.to_numpy(), nb.to_numpy(), percent))
                 yield pa.RecordBatch.from_arrays([a.filter(ok), b.filter(ok)], ["a", "b"])
 
-    joined = pairs.join(point("a"), "a").join(point("b"), "b").select("a", "b", "na", "nb", "pa", "pb")
+    joined = _met(_met(pairs, end("a"), "a"), end("b"), "b").select("a", "b", "na", "nb", "pa", "pb")
     sized = joined.where((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na")))
     return sized.mapInArrow(bound, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
-    """Of the pairs those whose sets, made again from the texts, link."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node", "first", "set1", "set2"), "node")
-    texts = docs.join(wanted, docs["doc_id"] == wanted["first"]).select("node", "text", "set1", "set2")
+def _tokens(nodes: DataFrame, docs: DataFrame, sets: DataFrame, n: int, frequent: Broadcast) -> DataFrame:
+    """``node, tokens`` of the nodes, made again from their texts."""
+    wanted = _met(nodes, sets.select("node", F.col("first").alias("doc_id"), "set1", "set2"), "node")
+    texts = _met(docs.where("text IS NOT NULL"), wanted, "doc_id").select("node", "text", "set1", "set2")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
-                batch, nodes, out = whole.slice(at, 500), [], []
+                batch, found, out = whole.slice(at, 500), [], []
                 for node, text, one, two in zip(*batch.columns, strict=True):
-                    raw = shingles(text.as_py(), n).tobytes()
+                    raw = ordered(shingles(text.as_py(), n), *frequent.value).tobytes()
                     if np.frombuffer(xxhash.xxh128_digest(raw), "<i8").tolist() == [one.as_py(), two.as_py()]:  # ids may repeat with other texts
-                        nodes.append(node.as_py())
+                        found.append(node.as_py())
                         out.append(raw)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(out, pa.binary())], ["node", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(out, pa.binary())], ["node", "tokens"])
 
-    made = materialize(texts.mapInArrow(tokens, "node long, tokens binary").dropDuplicates(["node"]), "tokens")
-    side = lambda c: made.select(F.col("node").alias(c), F.col("tokens").alias(f"t{c}"))
+    return texts.mapInArrow(tokens, "node long, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens"))
+
+
+def _verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs those whose exact sets link."""
+    side = lambda c: tokens.select(F.col("node").alias(c), F.col("tokens").alias(f"t{c}"))
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,104 +305,154 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, percen
             ok = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
 
-    found = materialize(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(link, "a long, b long"), "links")
-    discard(made)
-    return found
+    return _met(_met(pairs, side("b"), "b"), side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(link, "a long, b long")
+
 
+def _paged(members: DataFrame, cells: DataFrame) -> DataFrame:
+    """Members ``key, node, n, root`` of the cells, once for each pair of pages ``low, high`` in which they meet others.
 
-def _cells(members: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs within cells ``key, cell`` (its size), between components; cells beyond a page meet page by page."""
-    pages = F.ceil(F.col("cell") / PAGE).cast("int")
-    paged = members.withColumn("pages", pages).withColumn("page", F.pmod(F.xxhash64("node"), "pages").cast("int"))
-    met = paged.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pages") - 1))).select(
+    A cell that one task can hold is one page. In larger ones the members of the component with most of them get pages of
+    their own, which do not meet each other, so that a group of copies in which most is connected travels about twice at most.
+    """
+    count = lambda members, tokens: F.greatest(F.ceil(members / PAGE), F.ceil(tokens / PAGE_TOKENS)).cast("int")
+    small = (F.col("members") <= PAGE) & (F.col("tokens") <= PAGE_TOKENS)
+    cells = cells.select(
         "key",
-        F.least("page", "other").alias("low"),
-        F.greatest("page", "other").alias("high"),
+        F.when(~small, F.col("top.root")).alias("top"),
+        F.when(small, 0).otherwise(count(F.col("top.members"), F.col("top.tokens"))).alias("tops"),
+        F.when(small, 1).otherwise(count(F.col("members") - F.col("top.members"), F.col("tokens") - F.col("top.tokens"))).alias("others"),
+    )
+    in_top = F.coalesce(F.col("root") == F.col("top"), F.lit(False))
+    spread = F.xxhash64("node")
+    page = F.when(in_top, F.pmod(spread, "tops")).otherwise(F.col("tops") + F.pmod(spread, "others")).cast("int")
+    meets = F.sequence(F.when(in_top, F.col("tops")).otherwise(0), F.col("tops") + F.col("others") - 1)
+    met = _met(members, cells, "key").withColumn("page", page).withColumn("other", F.explode(meets))
+    return met.select(
+        "key", F.least("page", "other").alias("low"), F.greatest("page", "other").alias("high"),
         # the page that meets itself is whole; of two pages only pairs across count
         F.when(F.col("page") == F.col("other"), 2).otherwise((F.col("page") > F.col("other")).cast("int")).alias("side"),
-        "node", "n", "root", "point",
+        "node", "n", "root",
     )
-    sorted_ = met.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((tuple(r[k] for k in ("key", "low", "high")), r) for batch in batches for r in batch.to_pylist())
-        left, right = [], []
-        for _, group in itertools.groupby(rows, key=lambda x: x[0]):
-            held = [r for _, r in group]
-            points = np.stack([np.frombuffer(r["point"], "<u4") for r in held])
+
+
+def _by_cell(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").select("key", "low", "high", *columns)
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int], list[dict]]]:
+    rows = (r for batch in batches for r in batch.to_pylist())
+    for place, group in itertools.groupby(rows, key=lambda r: (r["key"], r["low"], r["high"])):
+        yield place, list(group)
+
+
+def _near(members: DataFrame, percent: int) -> DataFrame:
+    """The members that have a partner of another component in their cell which the bound can't rule out: a row or none for each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for place, held in _groups(batches):
             column = lambda c: np.array([r[c] for r in held], np.int64)  # noqa: B023, E731
-            x, y = tree_pairs(points, column("n"), column("root"), column("side"), percent)
-            node = column("node")
-            left.append(node[x])
-            right.append(node[y])
-            if sum(map(len, left)) > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
-                left, right = [], []
-        if left:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+            x, y = forest_pairs([np.frombuffer(r["point"], np.uint8) for r in held], column("n"), column("root"), column("side"), percent)
+            near = np.unique(np.concatenate([x, y]))
+            if len(near):
+                side = column("side").astype(np.int32)[near]
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(near), v, t)) for v, t in zip(place, (np.int64, np.int32, np.int32), strict=True)), pa.array(side), pa.array(column("node")[near]), pa.array(column("root")[near])], ["key", "low", "high", "side", "node", "root"])
 
-    found = sorted_.select("key", "low", "high", "side", "node", "n", "root", "point").mapInArrow(pairs, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    return _by_cell(members, ["side", "node", "n", "root", "point"]).mapInArrow(run, "key long, low int, high int, side int, node long, root long")
+
+
+def _spanning(near: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """Links between components, fewer than members in each cell or pair of pages, that connect all that links there connect."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, *_), held in _groups(batches):
+            sets = [np.frombuffer(r["tokens"], np.uint64) for r in held]
+            found = spanning_links(key % 2**64, sets, [r["root"] for r in held], np.array([r["side"] for r in held]), percent)
+            yield pa.RecordBatch.from_arrays([pa.array([held[p[k]]["node"] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return _by_cell(_met(near, tokens, "node"), ["side", "node", "root", "tokens"]).mapInArrow(run, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """Documents whose sets of ``words``-word shingles have a Jaccard similarity of ``percent`` or more, as components.
 
-    Equal sets are one node. A set is a point: its tokens are hashed into groups, and the groups' counts are the
-    coordinates; the overlap of two sets is at most the sum of the smaller coordinates. A single R-tree over such points
-    prunes little, as unrelated sets lie within a few counts of each other in each coordinate, so the space is first cut into
-    cells: groups are dealt into so many blocks that linked sets agree in all coordinates of a block with several tokens
-    (see ``Bands``), and an exchange brings the points of a cell together. No link can be missed. In a cell each point is
-    first held against its smallest node; where that leaves several components, a packed R-tree finds the pairs
-    between them that the bound can't rule out, page by page in large cells. Pairs that pass the bound meet it once more with
-    points whose number of groups grows with the set, as few groups even out large sets, and are then verified on their exact sets. Nothing is capped: a group of thousands of variants costs a comparison each with the smallest, and
-    only what that doesn't link is compared further.
+    Equal sets are one node. A set is a point: its tokens are hashed into groups, as many as its size needs, and the groups'
+    counts are the coordinates; the overlap of two sets is at most the sum of the smaller coordinates. A single R-tree over
+    all points would prune little, as unrelated sets lie within a few counts of each other in each coordinate, and would have to
+    meet itself as a whole; so the trees are built in cells that an exchange brings together: the sets that have one of each
+    other's first tokens, in an order with rare tokens first, as many as a partner may lack and one more (``prefix``). No link
+    can be missed, whatever the order.
+
+    In a cell each point is first held against that of the smallest node, and pairs that pass the bound are verified on their
+    exact sets, made again from the texts: one pair for each node, then those that this leaves unconnected. Cells that still
+    hold several components build packed R-trees over the points of all members; members with a partner in another component
+    that the bound can't rule out get their exact sets, and the cell's task then verifies pairs, skips connected ones, and
+    returns links without circles. So no step makes more rows than members of cells, however many pairs link, and large
+    cells are dealt to pages (``_paged``). Nothing is capped.
 
     Null and empty texts have an empty set and link with nothing; short texts are one shingle; null ids get a null
     component and link with nothing; rows of one id and text are one document; an empty table gives no rows. Other columns
-    are ignored.
+    are ignored. Shingles are compared by 61 bits of hash.
 
     Returns ``doc_id, n_shingles, component_id`` (the smallest id that links reach).
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(docs[f"`{id_col}`"].alias("doc_id"), docs[f"`{text_col}`"].alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    bands = Bands(percent)
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, words))
-    made = materialize(docs.mapInArrow(_signatures(bands, words, frequent), f"doc_id {id_type}, n_shingles long, set1 long, set2 long, keys array<long>, point binary, sharp binary"), "signatures")
+    made = materialize(docs.mapInArrow(_signatures(words, percent, frequent), f"doc_id {id_type}, n_shingles long, set1 long, set2 long, keys array<long>, point binary"), "signatures")
     ids = materialize(made.select("doc_id", "n_shingles", "set1", "set2"), "ids")
     by_set = made.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set1", "set2", F.col("n_shingles").alias("n"))
-    sets = materialize(by_set.agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"), F.first("point").alias("point"), F.first("sharp").alias("sharp")).withColumn("node", F.monotonically_increasing_id()), "sets")
+    sets = materialize(by_set.agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"), F.first("point").alias("point")).withColumn("node", F.monotonically_increasing_id()), "sets")
     discard(made)
 
     in_cell = sets.select("node", F.explode("keys").alias("key"))
     cells = materialize(in_cell.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("cell")).where("cell > 1"), "cells")
-    members = materialize(in_cell.join(cells, "key").select("key", "cell", "a", "node"), "members")
+    members = materialize(_met(in_cell, cells, "key").select("key", "cell", "a", "node"), "members")
     discard(cells)
-    keyed, sets = sets, materialize(sets.drop("keys"), "sets")
-    discard(keyed)
     firsts = members.where("node <> a").groupBy("a", F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("n")).select("a", "b")
-    # Most pairs fall to the short vectors, so only the rest carries the long ones, and only what they leave carries sets.
-    near = materialize(_bounded(firsts, sets, percent, "point"), "pairs")
-    likely = materialize(_bounded(near, sets, percent, "sharp"), "pairs")
-    discard(near)
-    links = _verified(likely, docs, sets, words, percent)
-    roots = materialize(connected_components(links), "roots")
-
-    placed = members.where("cell > 2").join(roots, "node", "left").select("key", "cell", "node", F.coalesce("root", "node").alias("root"))
-    open_ = materialize(placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key"), "open")
-    rest = placed.join(open_, "key").join(sets.select("node", "n", "point"), "node")
-    near = materialize(_cells(rest, percent), "pairs")
+    likely = materialize(_bounded(firsts, sets, percent), "likely")
+    tokens = materialize(_tokens(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), docs, sets, words, frequent), "tokens")
+    links = materialize(_verified(likely.groupBy("b").agg(F.min("a").alias("a")), tokens, percent), "links")
+
+    def rooted() -> DataFrame:
+        roots = connected_components(links)
+        out = materialize(_met(sets.select("node", "n"), roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root")), "rooted")
+        discard(roots)
+        return out
+
+    now = rooted()
+    end = lambda c: now.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    apart = materialize(_met(_met(likely, end("a"), "a"), end("b"), "b").where("ra <> rb").select("a", "b"), "apart")
+    discard(likely)
+    if apart.take(1):
+        links = materialize(links.unionByName(_verified(apart, tokens, percent)), "links")
+        discard(now)
+        now = rooted()
+    discard(apart)
+
+    # Pairs with a cell's smallest node are settled now.
+    placed = _met(members.where("cell > 2 AND node <> a").select("key", "node"), now, "node")
+    each = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("tokens"))
+    most = F.max(F.struct("members", "tokens", "root")).alias("top")
+    open_ = materialize(each.groupBy("key").agg(F.sum("members").alias("members"), F.sum("tokens").alias("tokens"), most, F.count(F.lit(1)).alias("roots")).where("roots > 1"), "open")
+    near = materialize(_near(_met(_paged(placed, open_), sets.select("node", "point"), "node"), percent), "near")
     discard(members)
-    more = materialize(_bounded(near, sets, percent, "sharp"), "pairs")
+    discard(open_)
+    if near.take(1):
+        known = tokens
+        more = _met(near.select("node").distinct(), known.select("node"), "node", "left_anti")
+        tokens = materialize(_tokens(more, docs, sets, words, frequent), "tokens").unionByName(known)
+        links = materialize(links.unionByName(_spanning(near, tokens, percent)), "links")
+        discard(now)
+        now = rooted()
+    discard(tokens)
     discard(near)
-    if more.take(1):
-        links = links.unionByName(_verified(more, docs, sets, words, percent))
-        roots = materialize(connected_components(links), "roots")
-
-    rooted = sets.join(roots, "node", "left").select("set1", "set2", F.col("n").alias("n_shingles"), "first", F.coalesce("root", "node").alias("root"))
-    rooted = materialize(rooted, "rooted")
-    smallest = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
-    of_set = materialize(rooted.join(smallest, "root").select("set1", "set2", "n_shingles", "component_id"), "components")
-    joined = ids.join(of_set, ["set1", "set2", "n_shingles"], "left")
+
+    smallest = _met(now, sets.select("node", "first"), "node").groupBy("root").agg(F.min("first").alias("component_id"))
+    smallest = materialize(smallest, "smallest")
+    of_node = _met(now.select("node", "root"), smallest, "root").select("node", "component_id")
+    of_set = materialize(_met(sets.select("node", "set1", "set2", F.col("n").alias("n_shingles")), of_node, "node").drop("node"), "components")
+    for table in (sets, now, smallest):
+        discard(table)
+    joined = ids.join(of_set.hint("merge"), ["set1", "set2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"))

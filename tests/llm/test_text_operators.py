@@ -132,25 +132,76 @@ def test_tree_loses_no_pair():
     assert len(found) < len(sets) ** 2 / 8
 
 
-def test_sharp_points_bound_the_overlap():
+def test_points_bound_the_overlap():
     rng = np.random.default_rng(6)
-    pool = rng.integers(0, 2**63, 9000, np.uint64)
+    pool = rng.integers(0, 2**61, 9000, np.uint64)
     sets = [np.unique(rng.choice(pool, n, replace=False)) for n in (0, 1, 700, 1000, 1100, 2500, 4000, 8000)]
-    points = [jaccard_join.sharp(s) for s in sets]
-    assert [len(p) for p in points] == [64, 64, 64, 64, 128, 256, 256, 512]
+    points = [jaccard_join.point(s) for s in sets]
+    assert [len(p) for p in points] == [16, 16, 512, 512, 1024, 2048, 2048, 4096]
     a, b = np.divmod(np.arange(len(sets) ** 2), len(sets))
     got = jaccard_join.overlaps([points[i].tobytes() for i in a], [points[i].tobytes() for i in b])
     exact = np.array([len(np.intersect1d(sets[i], sets[j])) for i, j in zip(a, b, strict=True)])
     assert (got >= exact).all()
     assert (got[a == b] == exact[a == b]).all()
-    # of unrelated large sets the short vectors say nothing, the long ones enough
-    x, y = (np.unique(rng.integers(0, 2**63, 4000, np.uint64)) for _ in range(2))
-    least = jaccard_join.needed(len(x), len(y), 80)
-    assert np.minimum(jaccard_join.coarse(x), jaccard_join.coarse(y)).sum() >= least
-    assert jaccard_join.overlaps([jaccard_join.sharp(x).tobytes()], [jaccard_join.sharp(y).tobytes()])[0] < least
+    # unrelated large sets are ruled out
+    x, y = (np.unique(rng.integers(0, 2**61, 4000, np.uint64)) for _ in range(2))
+    assert jaccard_join.overlaps([jaccard_join.point(x).tobytes()], [jaccard_join.point(y).tobytes()])[0] < jaccard_join.needed(len(x), len(y), 80)
     assert len(jaccard_join.overlaps([], [])) == 0
 
 
+def variants(n, size, changes, seed=3):
+    rng, out = np.random.default_rng(seed), []
+    base = np.unique(rng.integers(0, 2**61, size, np.uint64))
+    for _ in range(n):
+        own = base.copy()
+        own[rng.choice(len(base), rng.integers(0, changes), replace=False)] = rng.integers(0, 2**61)
+        out.append(np.unique(own))
+    return out
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_linked_sets_share_their_first_common_token(percent):
+    sets = variants(60, 90, 18) + variants(60, 12, 4) + variants(20, 9, 2)
+    for i, x in enumerate(sets):
+        for y in sets[:i]:
+            both = np.intersect1d(x, y)
+            if len(both) < len(np.union1d(x, y)) and 100 * len(both) >= percent * len(np.union1d(x, y)):
+                assert both[0] in jaccard_join.prefix(x, percent)
+                assert both[0] in jaccard_join.prefix(y, percent)
+
+
+def test_spanning_links_are_fewer_than_members():
+    """A group of variants has thousands of links; a cell returns a forest that connects the same, each pair in its first common cell."""
+    sets = variants(150, 200, 24)
+    sides = np.full(len(sets), 2)
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 90 * len(np.union1d(sets[i], sets[j]))]
+    assert len(links) > 1000
+    found, emitted = [], {}
+    for key in np.unique(np.concatenate([jaccard_join.prefix(s, 90) for s in sets])).tolist():
+        at = [i for i, s in enumerate(sets) if key in jaccard_join.prefix(s, 90).tolist()]
+        got = jaccard_join.spanning_links(key, [sets[i] for i in at], at, sides[: len(at)], 90)
+        assert len(got) < len(at)
+        emitted[key] = len(got)
+        found += [(at[x], at[y]) for x, y in got]
+    assert {tuple(sorted(p)) for p in found} <= {tuple(sorted(p)) for p in links}
+    assert groups(found, len(sets)) == groups(links, len(sets))
+    assert jaccard_join.spanning_links(key, [sets[i] for i in at], [7] * len(at), sides[: len(at)], 90) == []
+
+
+def groups(links, n):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(n)]
+
+
 def test_line_dedup(docs, none):
     out = line_dedup.line_dedup(docs)
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "size", "key", "quality_keep", "odd name", "n_lines", "n_removed"]
