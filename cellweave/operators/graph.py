@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.operators.focal import neighbours
-from cellweave.sources.shared import materialize
+from cellweave.sources.shared import discard, materialize
 
 ROWS_PER_TASK, LEAST_TASKS = 100_000, 8
 
@@ -30,11 +30,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
         tasks = max(LEAST_TASKS, mark[0] // ROWS_PER_TASK)  # a few edges don't need a file for each shuffle partition
         step = lambda df, name: materialize(df.coalesce(tasks), name)  # noqa: B023, E731
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = step(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-        large = step(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        higher = step(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = step(both.join(higher, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
         least = step(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        now = step(small.where("u <> v").distinct(), "small")
+        last, now = now, step(small.where("u <> v").distinct(), "small")
+        for table in (last, higher, large, least):
+            discard(table)
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
