@@ -17,13 +17,13 @@ from cellweave.llm.common import discard, materialize
 from cellweave.operators.graph import connected_components
 
 #: Tokens that a group of the count vectors holds on average, at most; more would even out unrelated sets.
-PER_GROUP, LEAST_GROUPS = 2, 16
-#: Members of a cell, and tokens in them, that one task holds; larger cells are cut into pages, which meet in pairs.
-PAGE, PAGE_TOKENS = 1024, 500_000
+PER_GROUP, LEAST_GROUPS = 4, 16
+#: Members of a cell or cluster, and tokens in them, that one task holds; larger cells are cut into pages, which meet in pairs.
+PAGE, PAGE_TOKENS = 1024, 1_000_000
 LEAF = 32
 WORDS_CACHED = 400_000
 #: Documents from which frequent tokens are learned, how many of them have a frequent token, and how many tokens are told apart at most.
-SAMPLE_DOCS, FREQUENT_IN_SAMPLE, FREQUENT_TOKENS = 16_000, 8, 500_000
+SAMPLE_DOCS, FREQUENT_IN_SAMPLE, FREQUENT_TOKENS = 16_000, 4, 500_000
 #: The top bits of a token say how frequent it is, the others are its hash.
 CLASS_BITS = 3
 HASH_MASK = np.uint64(2 ** (64 - CLASS_BITS) - 1)
@@ -87,7 +87,7 @@ def prefix(tokens: np.ndarray, percent: int) -> np.ndarray:
 def point(tokens: np.ndarray) -> np.ndarray:
     """The set as a point: how many tokens fall into each of as many groups, a power of two, as its size needs.
 
-    With two tokens a group on average a count above 255 does not occur.
+    With four tokens a group on average a count above 255 does not occur.
     """
     groups = LEAST_GROUPS
     while groups * PER_GROUP < len(tokens):
@@ -168,21 +168,19 @@ def forest_pairs(points: list[np.ndarray], sizes: np.ndarray, comp: np.ndarray,
     return out[0], out[1]
 
 
-def links_of(x: int, others: list[int], sets: list[np.ndarray], key: int, percent: int) -> list[int]:
-    """Those of ``others`` whose sets link with that of ``x`` and have ``key`` as first common token."""
+def links_of(x: int, others: list[int], sets: list[np.ndarray], percent: int) -> list[int]:
+    """Those of ``others`` whose sets link with that of ``x``."""
     whole = np.concatenate([sets[y] for y in others])
     sizes = np.array([len(sets[y]) for y in others])
     starts = np.cumsum(sizes) - sizes
     at = np.minimum(np.searchsorted(sets[x], whole), len(sets[x]) - 1)
-    common = sets[x][at] == whole
-    same = np.add.reduceat(common, starts, dtype=np.int64)
-    first = np.minimum.reduceat(np.where(common, whole, np.uint64(2**64 - 1)), starts)
-    ok = (100 * same >= percent * (len(sets[x]) + sizes - same)) & (first == np.uint64(key))
+    same = np.add.reduceat(sets[x][at] == whole, starts, dtype=np.int64)
+    ok = 100 * same >= percent * (len(sets[x]) + sizes - same)
     return [y for y, good in zip(others, ok, strict=True) if good]
 
 
-def spanning_links(key: int, sets: list[np.ndarray], comp: list[int], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links between members of a cell of which none closes a circle, fewer than members; each pair counts in its first common cell.
+def spanning_links(key: int | None, sets: list[np.ndarray], comp: list[int], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between members of a cell or cluster of which none closes a circle, so fewer than members; with a key, pairs that it is the first common token of.
 
     Pairs come from the R-trees, pairs that are connected by then are skipped, and the others are held against their exact sets.
     """
@@ -195,7 +193,7 @@ def spanning_links(key: int, sets: list[np.ndarray], comp: list[int], side: np.n
         return c
 
     sizes = np.array([len(s) for s in sets])
-    before = [frozenset(s[: np.searchsorted(s, np.uint64(key))].tolist()) for s in sets]
+    before = [frozenset(() if key is None else s[: np.searchsorted(s, np.uint64(key))].tolist()) for s in sets]
     a, b = forest_pairs([point(s) for s in sets], sizes, np.array(comp), side, percent)
     order = np.argsort(a, kind="stable")
     out = []
@@ -203,7 +201,7 @@ def spanning_links(key: int, sets: list[np.ndarray], comp: list[int], side: np.n
         rest = [y for _, y in pairs if before[x].isdisjoint(before[y])]
         for at in range(0, len(rest), 256):
             some = [y for y in rest[at : at + 256] if find(comp[y]) != find(comp[x])]
-            for y in links_of(x, some, sets, key, percent) if some else []:
+            for y in links_of(x, some, sets, percent) if some else []:
                 if find(comp[y]) != find(comp[x]):
                     root[find(comp[y])] = find(comp[x])
                     out.append((x, y))
@@ -345,28 +343,68 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int,
         yield place, list(group)
 
 
+def labels(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each of ``n`` places the smallest one that the pairs ``x, y`` connect it with."""
+    out = np.arange(n)
+    while True:
+        low = np.minimum(out[x], out[y])
+        new = out.copy()
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        new = new[new]
+        if (new == out).all():
+            return out
+        out = new
+
+
 def _near(members: DataFrame, percent: int) -> DataFrame:
-    """The members that have a partner of another component in their cell which the bound can't rule out: a row or none for each."""
+    """The members that have a partner of another component in their cell which the bound can't rule out: a row or none for each.
+
+    ``label`` is a member that such pairs connect it with, the same one for all that are connected.
+    """
+    names = ["key", "low", "high", "side", "node", "root", "label"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for place, held in _groups(batches):
             column = lambda c: np.array([r[c] for r in held], np.int64)  # noqa: B023, E731
+            node = column("node")
             x, y = forest_pairs([np.frombuffer(r["point"], np.uint8) for r in held], column("n"), column("root"), column("side"), percent)
             near = np.unique(np.concatenate([x, y]))
             if len(near):
-                side = column("side").astype(np.int32)[near]
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(near), v, t)) for v, t in zip(place, (np.int64, np.int32, np.int32), strict=True)), pa.array(side), pa.array(column("node")[near]), pa.array(column("root")[near])], ["key", "low", "high", "side", "node", "root"])
+                fixed = [np.full(len(near), v, t) for v, t in zip(place, (np.int64, np.int32, np.int32), strict=True)]
+                found = [*fixed, column("side").astype(np.int32)[near], node[near], column("root")[near], node[labels(len(held), x, y)][near]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names)
 
-    return _by_cell(members, ["side", "node", "n", "root", "point"]).mapInArrow(run, "key long, low int, high int, side int, node long, root long")
+    return _by_cell(members, ["side", "node", "n", "root", "point"]).mapInArrow(run, "key long, low int, high int, side int, node long, root long, label long")
+
+
+def _gathered(near: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of ``near``, with those of clusters that one task can hold once for each node instead of once for each cell.
+
+    A cluster is what possible pairs connect over all cells. Larger clusters stay in their cells; ``low`` is -1 for a cluster.
+    """
+    clusters = connected_components(near.select(F.col("node").alias("a"), F.col("label").alias("b")))
+    named = materialize(_met(clusters.select("node", F.col("root").alias("cluster")), sets.select("node", "n"), "node"), "clusters")
+    discard(clusters)
+    small = named.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("tokens")).where((F.col("members") <= PAGE) & (F.col("tokens") <= PAGE_TOKENS))
+    held = _met(named, small.select("cluster", F.lit(True).alias("small")), "cluster", "left").select("node", F.when(F.col("small"), F.col("cluster")).alias("cluster"))
+    once = F.col("cluster").isNotNull()
+    return _met(near, held, "node").select(
+        F.when(once, F.col("cluster")).otherwise(F.col("key")).alias("key"),
+        *(F.when(once, -1).otherwise(F.col(c)).alias(c) for c in ("low", "high")),
+        F.when(once, 2).otherwise(F.col("side")).alias("side"),
+        "node",
+        "root",
+    ).distinct()
 
 
 def _spanning(near: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """Links between components, fewer than members in each cell or pair of pages, that connect all that links there connect."""
+    """Links between components, fewer than members in each cluster, cell or pair of pages, that connect all that links there connect."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (key, *_), held in _groups(batches):
+        for (key, low, _), held in _groups(batches):
             sets = [np.frombuffer(r["tokens"], np.uint64) for r in held]
-            found = spanning_links(key % 2**64, sets, [r["root"] for r in held], np.array([r["side"] for r in held]), percent)
+            found = spanning_links(None if low < 0 else key % 2**64, sets, [r["root"] for r in held], np.array([r["side"] for r in held]), percent)
             yield pa.RecordBatch.from_arrays([pa.array([held[p[k]]["node"] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return _by_cell(_met(near, tokens, "node"), ["side", "node", "root", "tokens"]).mapInArrow(run, "a long, b long")
@@ -384,9 +422,10 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     In a cell each point is first held against that of the smallest node, and pairs that pass the bound are verified on their
     exact sets, made again from the texts: one pair for each node, then those that this leaves unconnected. Cells that still
-    hold several components build packed R-trees over the points of all members; members with a partner in another component
-    that the bound can't rule out get their exact sets, and the cell's task then verifies pairs, skips connected ones, and
-    returns links without circles. So no step makes more rows than members of cells, however many pairs link, and large
+    hold several components build packed R-trees over the points of all members. Members with a partner in another component
+    that the bound can't rule out are gathered by what such pairs connect and get their exact sets once; a task for each such
+    cluster (for each cell where a cluster is too large for one task) builds trees again, verifies pairs, skips connected ones,
+    and returns links without circles. So no step makes more rows than members of cells, however many pairs link, and large
     cells are dealt to pages (``_paged``). Nothing is capped.
 
     Null and empty texts have an empty set and link with nothing; short texts are one shingle; null ids get a null
@@ -438,7 +477,9 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     discard(members)
     discard(open_)
     if near.take(1):
-        known = tokens
+        found, known = near, tokens
+        near = materialize(_gathered(found, sets), "near")
+        discard(found)
         more = _met(near.select("node").distinct(), known.select("node"), "node", "left_anti")
         tokens = materialize(_tokens(more, docs, sets, words, frequent), "tokens").unionByName(known)
         links = materialize(links.unionByName(_spanning(near, tokens, percent)), "links")

@@ -137,7 +137,7 @@ def test_points_bound_the_overlap():
     pool = rng.integers(0, 2**61, 9000, np.uint64)
     sets = [np.unique(rng.choice(pool, n, replace=False)) for n in (0, 1, 700, 1000, 1100, 2500, 4000, 8000)]
     points = [jaccard_join.point(s) for s in sets]
-    assert [len(p) for p in points] == [16, 16, 512, 512, 1024, 2048, 2048, 4096]
+    assert [len(p) for p in points] == [16, 16, 256, 256, 512, 1024, 1024, 2048]
     a, b = np.divmod(np.arange(len(sets) ** 2), len(sets))
     got = jaccard_join.overlaps([points[i].tobytes() for i in a], [points[i].tobytes() for i in b])
     exact = np.array([len(np.intersect1d(sets[i], sets[j])) for i, j in zip(a, b, strict=True)])
@@ -186,6 +186,11 @@ def test_spanning_links_are_fewer_than_members():
     assert {tuple(sorted(p)) for p in found} <= {tuple(sorted(p)) for p in links}
     assert groups(found, len(sets)) == groups(links, len(sets))
     assert jaccard_join.spanning_links(key, [sets[i] for i in at], [7] * len(at), sides[: len(at)], 90) == []
+    whole = jaccard_join.spanning_links(None, sets, list(range(len(sets))), sides, 90)
+    assert len(whole) < len(sets)
+    assert groups(whole, len(sets)) == groups(links, len(sets))
+    x, y = np.array([3, 1, 5]), np.array([1, 0, 6])
+    assert jaccard_join.labels(7, x, y).tolist() == [0, 0, 2, 0, 4, 5, 5]
 
 
 def groups(links, n):
