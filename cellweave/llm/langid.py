@@ -107,7 +107,7 @@ def identify_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """Trains on rows outside the held-out fold and predicts the language of every row from its whole text.
 
     Each language has a codeword, each bit of it a binary n-gram classifier; a text gets the language whose codeword has
-    the least weighted logistic loss against the bits' margins. The score is that language's share after a softmax over
+    the least weighted logistic loss against the bits' margins, the first one by code point if several have. The score is that language's share after a softmax over
     the losses; ``ambiguous`` marks scores under 0.75. Training uses a bounded sample: for each
     language about ``sample_per_language`` rows with letters (twice that at most), chosen by a hash of the id, with their
     n-gram shares computed by the tasks. The model, whose size depends on the number of languages only, travels to
@@ -120,7 +120,7 @@ def identify_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     Returns ``doc_id, held_out, lang_pred, score, ambiguous``.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), held_out_fold(F.col(id_col)).alias("held_out"))
+    base = docs.select(docs[f"`{id_col}`"].alias("doc_id"), docs[f"`{text_col}`"].alias("text"), docs[f"`{lang_col}`"].alias("lang"), held_out_fold(docs[f"`{id_col}`"]).alias("held_out"))
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     usable = base.where(~F.col("held_out") & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & letters)
     totals = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -156,10 +156,11 @@ def _fit(spark, usable: DataFrame, totals: dict[str, int], per_language: int) ->
 
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [counts(t.as_py()).astype(np.float16).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary())], ["lang", "x"])
+            x = [counts(t.as_py()).astype(np.float16).tobytes() for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary())], ["lang", "place", "x"])
 
-    rows = taken.select("lang", "text").mapInArrow(shares, "lang string, x binary").limit(2 * per_language * len(languages)).toArrow()
+    # In an order that doesn't depend on which task ends first: reruns learn the same.
+    rows = taken.select("lang", F.xxhash64("doc_id", "text").alias("place"), "text").mapInArrow(shares, "lang string, place long, x binary").orderBy("place", "lang", "x").limit(2 * per_language * len(languages)).toArrow()
     x = np.stack([np.frombuffer(v.as_py(), np.float16) for v in rows["x"]]).astype(np.float32)
     place = {v: i for i, v in enumerate(languages)}
     y = np.array([place[v.as_py()] for v in rows["lang"]])

@@ -51,8 +51,8 @@ def mix_sources(
     Returns ``doc_id, size, source_size, target, taken, passes``; ``taken`` is ``passes * size``.
     """
     spark = docs.sparkSession
-    place = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
-    sized = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), place.alias("place")), "sizes")
+    place = F.conv(F.substring(F.md5(F.coalesce(docs[f"`{id_col}`"].cast("string"), F.lit("")).cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
+    sized = materialize(docs.select(docs[f"`{id_col}`"].alias("doc_id"), docs[f"`{source_col}`"].alias("source"), n_words(docs[f"`{text_col}`"]).alias("size"), place.alias("place")), "sizes")
     per_source = [(r["source"], r["size"]) for r in sized.groupBy("source").agg(F.sum("size").alias("size")).collect()]
     target = targets(per_source, weights, share, cap)
 
@@ -70,7 +70,7 @@ def mix_sources(
         open_ = spark.createDataFrame([(s, x[2], float(x[1])) for s, x in state.items()], kinds)
         bits = F.shiftright("place", shift)
         inside = sized.join(small(open_), sized["source"].eqNullSafe(open_["source"]) & (F.shiftright(bits, LEVEL_BITS) == open_["first"]))
-        histogram = inside.groupBy(open_["source"], "rest", bits.alias("bucket")).agg(F.sum("size").alias("size"), F.countDistinct("place").alias("places"))
+        histogram = inside.groupBy(open_["source"], "rest", bits.alias("bucket")).agg(F.sum("size").alias("size"), (F.min("place") == F.max("place")).alias("single"))
         before = F.sum("size").over(Window.partitionBy("source").orderBy("bucket")) - F.col("size")
         ends = histogram.withColumn("before", before).where("size > 0 and before + size > rest and before <= rest")
         found = {r["source"]: r for r in ends.collect()}
@@ -79,7 +79,7 @@ def mix_sources(
             if r is None:  # the rest is 0 words of an empty source, or rounding left just above all of them
                 done[s] = [passes, (state[s][2] + 1) * 2 ** (shift + LEVEL_BITS) - 1 if rest > 0 else -1]
                 del state[s]
-            elif r["places"] == 1 or not shift:
+            elif r["single"] or not shift:
                 enters = 2 * (rest - r["before"]) >= r["size"]
                 done[s] = [passes, (r["bucket"] + enters) * 2**shift - 1]
                 del state[s]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -159,6 +159,43 @@ def co_train(x: np.ndarray, z: np.ndarray, y: np.ndarray, *, rounds: int = ROUND
     return model
 
 
+def views(texts: list[str | None], fields: list[list[object]]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of texts, and of the metadata fields of each."""
+    return np.stack([text_view(t) for t in texts]), np.stack([meta_view(f) for f in fields])
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", meta_cols: Sequence[str] = (), labelled_rows: int = LABELLED_ROWS, pool_rows: int = POOL_ROWS) -> CoTrained:
+    """The model of ``quality_classifier``, learned from two bounded samples; the same rows in any order give the same one."""
+    docs = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text"), *[docs[f"`{c}`"].alias(f"m{k}") for k, c in enumerate(meta_cols)])
+    of, label = labels[f"`{id_col}`"], labels[f"`{label_col}`"]
+    known = labels.where(of.isNotNull() & label.isNotNull()).select(of.alias("id"), label.alias("label")).groupBy("id").agg((F.avg("label") >= 0.5).cast("int").alias("y"))
+    ids = docs.select("id").where("id IS NOT NULL")
+    n_known, n_ids = known.count(), ids.count()
+    place = F.shiftrightunsigned(F.xxhash64("id", F.lit(3)), 11) / F.lit(float(2**53))
+    # Shares of the two samples; a little under the bound, so that the limits hardly ever cut.
+    take = lambda df, n, most: df.withColumn("place", place).where(F.col("place") < F.lit(min(1.0, 0.9 * most / max(n, 1)))).orderBy("place", "id").limit(most).select("id", "y")
+    pool = ids.join(known, "id", "left_anti").distinct().withColumn("y", F.lit(-1))
+    sample = take(known, n_known, labelled_rows).unionByName(take(pool, n_ids - n_known, pool_rows)).dropDuplicates(["id"])
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                if not batch.num_rows:
+                    continue
+                fields = [list(row) for row in zip(*(c.to_pylist() for c in batch.columns[3:]), strict=True)] or [[]] * batch.num_rows
+                x, z = (v.astype(np.float16) for v in views(batch.column(2).to_pylist(), fields))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r.tobytes() for r in v], pa.binary()) for v in (x, z))], ["y", "place", "x", "z"])
+
+    meta = [f"m{k}" for k in range(len(meta_cols))]
+    chosen = docs.join(F.broadcast(sample), "id").select("y", F.xxhash64("id", "text", F.lit(5)).alias("place"), "text", *meta)
+    rows = chosen.mapInArrow(features, "y int, place long, x binary, z binary").orderBy("place", "x", "z").limit(2 * (labelled_rows + pool_rows)).toArrow()
+    y = np.array(rows["y"].to_pylist(), float)
+    if not len(y):
+        return CoTrained(0.5)
+    return co_train(*(np.stack([np.frombuffer(v.as_py(), np.float16) for v in rows[c]]).astype(np.float32) for c in ("x", "z")), y)
+
+
 def quality_classifier(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", meta_cols: tuple[str, ...] = ("lang", "source", "n_chars"), labelled_rows: int = LABELLED_ROWS, pool_rows: int = POOL_ROWS
 ) -> DataFrame:
@@ -178,50 +215,25 @@ def quality_classifier(
 
     Returns the columns of ``docs`` and ``quality_text, quality_meta, quality_score, quality_keep`` (score of 0.5 or more).
     """
-    spark = docs.sparkSession
     meta = [c for c in meta_cols if c in docs.columns]
     added = ["quality_text", "quality_meta", "quality_score", "quality_keep"]
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added])
-
-    place = F.shiftrightunsigned(F.xxhash64("__id", F.lit(3)), 11) / F.lit(float(2**53))
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("__y"))
-    ids = docs.select(F.col(id_col).alias("__id")).where("__id IS NOT NULL")
-    n_known, n_ids = known.count(), ids.count()
-    # Shares of the two samples; a little under the bound, so that the limits below hardly ever cut.
-    take = lambda df, n, most: df.where(place < F.lit(min(1.0, 0.9 * most / max(n, 1)))).limit(most)
-    pool = ids.join(known, "__id", "left_anti").withColumn("__y", F.lit(-1))
-    sample = take(known, n_known, labelled_rows).unionByName(take(pool, n_ids - n_known, pool_rows).select("__id", "__y")).dropDuplicates(["__id"])
-
-    def views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        """Features of columns 1 (text) and on (metadata)."""
-        x = np.stack([text_view(t.as_py()) for t in batch.column(1)])
-        z = np.stack([meta_view([v.as_py() for v in row]) for row in zip(*batch.columns[2:], strict=True)]) if batch.num_columns > 2 else np.zeros((batch.num_rows, META_BUCKETS), np.float32)
-        return x, z
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                x, z = (v.astype(np.float16) for v in views(batch))
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r.tobytes() for r in v], pa.binary()) for v in (x, z))], ["__y", "x", "z"])
-
-    rows = docs.join(F.broadcast(sample), docs[id_col] == sample["__id"]).select("__y", text_col, *meta).mapInArrow(features, "__y int, x binary, z binary").limit(2 * (labelled_rows + pool_rows)).toArrow()
-    y = np.array(rows["__y"].to_pylist(), float)
-    x, z = (np.stack([np.frombuffer(v.as_py(), np.float16) for v in rows[c]]).astype(np.float32) if len(y) else np.zeros((0, 1), np.float32) for c in ("x", "z"))
-    # The model must not depend on the order in which tasks end.
-    order = np.lexsort([x.sum(axis=1), z @ np.arange(z.shape[1], dtype=np.float32), y]) if len(y) else []
-    model = spark.sparkContext.broadcast(co_train(x[order], z[order], y[order]) if len(y) else CoTrained(0.5))
+    docs = docs.select(*[docs[f"`{c}`"] for c in docs.columns if c not in added])
+    model = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, meta_cols=meta, labelled_rows=labelled_rows, pool_rows=pool_rows))
 
     kinds = docs.schema
-    out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds.fields) + ", quality_text double, quality_meta double, quality_score double, quality_keep boolean"
+    # Columns go through the tasks by place, under names that need no quotes.
+    plain = [f"c{k}" for k in range(len(kinds.fields))]
+    out_schema = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(plain, kinds.fields, strict=True)) + ", quality_text double, quality_meta double, quality_score double, quality_keep boolean"
     at_text, at_meta = docs.columns.index(text_col), [docs.columns.index(c) for c in meta]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                part = pa.RecordBatch.from_arrays([batch.column(at_text), batch.column(at_text), *(batch.column(i) for i in at_meta)], [str(i) for i in range(2 + len(at_meta))])
-                a, b, c = model.value.score(*views(part))
+                if not batch.num_rows:
+                    continue
+                fields = [list(row) for row in zip(*(batch.column(i).to_pylist() for i in at_meta), strict=True)] or [[]] * batch.num_rows
+                a, b, c = model.value.score(*views(batch.column(at_text).to_pylist(), fields))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(a, pa.float64()), pa.array(b, pa.float64()), pa.array(c, pa.float64()), pa.array(c >= 0.5)], [*batch.schema.names, *added])
 
-    return docs.mapInArrow(score, out_schema)
+    return docs.toDF(*plain).mapInArrow(score, out_schema).toDF(*docs.columns, *added)

@@ -10,7 +10,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 SPACE = "▁".encode()
 #: Texts whose results are held at once before they go back to Spark.
@@ -105,20 +104,26 @@ class Codec:
         self.normalize = Normalizer(proto.normalizer_spec)
         self.unknown = self.lib.unk_id()
         control = {3, 5}  # control and unused pieces stand for no text
-        self.width = np.array([0 if p.type in control else 1 if p.type == 6 else len(p.piece.encode()) for p in proto.pieces], np.int64)
+        #: What each piece stands for in normalised bytes; byte pieces are named <0x00> to <0xFF>.
+        self.stands = [b"" if p.type in control else bytes([int(p.piece[3:5], 16)]) if p.type == 6 else p.piece.encode() for p in proto.pieces]
+        self.width = np.array([len(p) for p in self.stands], np.int64)
 
     def encode(self, text: str, bos: bool, eos: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Ids, and for each the ``[start, end)`` bytes of ``text`` that it stands for."""
+        """Ids, and for each the ``[start, end)`` bytes of ``text`` that it stands for.
+
+        The pieces, put together, must be the text as this class normalises it.
+        """
         ids = np.array(self.lib.encode(text, add_bos=bos, add_eos=eos), np.int64)
         raw = text.encode()
         norm, source = self.normalize(raw)
-        width = self.width[ids] if len(ids) else ids
-        if (ids == self.unknown).any():
-            pieces = [len(p.piece.encode()) for p in self.lib.encode(text, out_type="immutable_proto").pieces]
-            width = np.array([0] * bos + pieces + [0] * eos, np.int64)
+        width, stands = self.width[ids] if len(ids) else ids, map(self.stands.__getitem__, ids.tolist())
+        if (ids == self.unknown).any():  # what it stands for is told with the text only
+            pieces = [p.piece.encode() if p.id == self.unknown else self.stands[p.id] for p in self.lib.encode(text, out_type="immutable_proto").pieces]
+            stands = [b""] * bos + pieces + [b""] * eos
+            width = np.array([len(p) for p in stands], np.int64)
+        if b"".join(stands) != norm:
+            raise ValueError("the pieces are not the normalised text")
         ends = np.cumsum(width)
-        if len(ends) and ends[-1] != len(norm):
-            raise ValueError(f"pieces cover {ends[-1]} of {len(norm)} normalised bytes")
         # A piece ends where the next normalised byte begins; bytes of one source character share it.
         return ids, np.stack([source[ends - width], source[ends]], axis=1) if len(ids) else np.zeros((0, 2), np.int64)
 
@@ -137,17 +142,17 @@ def encode_documents(docs: DataFrame, model: str, *, id_col: str = "doc_id", tex
     """Encodes each text and decodes the ids again; no shuffle, one text at a time in memory.
 
     Texts are normalised by the longest prefix that the compiled character map knows, with the source position of each
-    byte, and each piece of the encoding is projected onto the original bytes; a text whose pieces don't cover its
-    normalised form exactly raises an error, so a wrong alignment can't pass unseen. Null texts count as empty, which
+    byte, and each piece of the encoding is projected onto the original bytes; a text whose pieces, put together, differ from its
+    normalised form in any byte raises an error, so a wrong alignment can't pass unseen. Null texts count as empty, which
     give the begin and end ids only. Rows, repeats and ties included, stay as they are; null ids pass through.
 
     Returns ``doc_id, ids array<int>, starts array<int>, ends array<int>, decoded``, without starts and ends if ``spans``
-    is false; with ``digests`` instead ``doc_id, n_tokens, ids_sha256, decoded_sha256, covered_bytes``, which keeps
-    the output small.
+    is false; with ``digests`` instead ``doc_id, n_tokens, ids_sha256, decoded_sha256, spans_sha256`` (of starts and ends in turn, as
+    unsigned 32-bit integers), which keeps the output small.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     if digests:
-        schema = f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string, covered_bytes long"
+        schema = f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string"
     else:
         schema = f"doc_id {id_type}, ids array<int>" + ", starts array<int>, ends array<int>" * spans + ", decoded string"
 
@@ -155,13 +160,12 @@ def encode_documents(docs: DataFrame, model: str, *, id_col: str = "doc_id", tex
         ids, span = codec.encode(text or "", bos, eos)
         decoded = codec.decode(ids)
         if digests:
-            hashes = (hashlib.sha256(x).hexdigest() for x in (ids.astype("<u4").tobytes(), decoded.encode()))
-            return len(ids), *hashes, int((span[:, 1] - span[:, 0]).sum())
+            return len(ids), *(hashlib.sha256(x).hexdigest() for x in (ids.astype("<u4").tobytes(), decoded.encode(), span.astype("<u4").tobytes()))
         return ids, *((span[:, 0], span[:, 1]) if spans else ()), decoded
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = load_codec(model)
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64()] if digests else [pa.list_(pa.int32())] * (1 + 2 * spans) + [pa.string()]
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.string()] if digests else [pa.list_(pa.int32())] * (1 + 2 * spans) + [pa.string()]
         names = [x.split()[0] for x in schema.split(", ")]
         for whole in batches:
             for at in range(0, whole.num_rows, OUT_ROWS):
@@ -169,4 +173,4 @@ def encode_documents(docs: DataFrame, model: str, *, id_col: str = "doc_id", tex
                 columns = zip(*(row(codec, text.as_py()) for text in batch.column(1)), strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], names)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, schema)
+    return docs.select(docs[f"`{id_col}`"].alias("doc_id"), docs[f"`{text_col}`"].alias("text")).mapInArrow(encode, schema)

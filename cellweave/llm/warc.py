@@ -24,6 +24,8 @@ VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: A dictionary is trained on an archive's first records, up to so many bytes of them.
 TRAIN_BYTES, DICTIONARY_BYTES = 1 << 20, 16 << 10
+#: Compressed bytes at which a new archive begins; a reader holds one archive at a time.
+ARCHIVE_BYTES = 32 << 20
 
 
 def payload_digest(payload: bytes) -> str:
@@ -132,8 +134,8 @@ def read_frames(data: bytes) -> Iterator[bytes]:
         at = end
 
 
-def _compress(records: Iterator[bytes], level: int) -> Iterator[bytes]:
-    """A dictionary frame, then one frame for each record."""
+def _compress(records: Iterator[bytes], level: int, most: float = float("inf")) -> Iterator[bytes]:
+    """A dictionary frame, then one frame for each record, until the frames have ``most`` bytes; what it trains on is always written."""
     first, size = [], 0
     for r in records:
         first.append(r)
@@ -149,26 +151,31 @@ def _compress(records: Iterator[bytes], level: int) -> Iterator[bytes]:
     body = dictionary.as_bytes()
     yield DICTIONARY_FRAME.to_bytes(4, "little") + len(body).to_bytes(4, "little") + body
     writer = zstandard.ZstdCompressor(level=level, dict_data=dictionary, write_checksum=True)
+    size = len(body)
     for r in first:
-        yield writer.compress(r)
-    for r in records:
-        yield writer.compress(r)
+        frame = writer.compress(r)
+        size += len(frame)
+        yield frame
+    while size < most and (r := next(records, None)) is not None:
+        frame = writer.compress(r)
+        size += len(frame)
+        yield frame
 
 
-def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", level: int = 6) -> None:
-    """Writes a WARC record for each page into Zstandard archives under ``path``, one archive per partition.
+def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", level: int = 6, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Writes a WARC record for each page into Zstandard archives under ``path``; a new one begins at ``archive_bytes`` bytes.
 
     Of pages with equal payloads of at least ``min_bytes`` bytes the one with the largest id becomes a response and the
     others revisit it. Digests are computed in one narrow pass and pre-aggregated, so a payload that fills a third of
     the table is one row per partition; the pages themselves are shuffled once, by digest, in a join whose hot
-    partitions adaptive execution splits. Spark's own text writer stores the frames, so any file system that Spark knows
+    partitions adaptive execution splits. Spark's own text writer stores each archive as a file of one row, so any file system that Spark knows
     will do and a lost task leaves no half archive.
 
     Null html is an empty payload, a null url an empty one; null ids rank below all others. Rows that share id and
     payload are all responses if that id is the largest. Other columns are ignored. An empty table writes no records.
     """
-    payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    keyed = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("sha1", F.sha1("payload"))
+    payload = F.coalesce(pages[f"`{html_col}`"], F.lit("")).cast("binary")
+    keyed = pages.select(pages[f"`{id_col}`"].alias("page_id"), pages[f"`{url_col}`"].alias("url"), payload.alias("payload")).withColumn("sha1", F.sha1("payload"))
     first = materialize(keyed.groupBy("sha1").agg(F.max("page_id").alias("first")), "payloads")
     joined = keyed.join(first, "sha1").select("page_id", "url", "payload", "first")
 
@@ -180,17 +187,11 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
                     revisit = len(body) >= min_bytes and page_id != first_id
                     yield make_record(page_id, url.as_py(), body, payload_digest(body), revisit, first_id, date)
 
-        held, size = [], 0
-        for frame in _compress(records(), level):
-            held.append(frame)
-            size += len(frame)
-            if size >= 1 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["frame"])
-                held, size = [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["frame"])
-
-    joined.mapInArrow(archive, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).option("compression", "none").text(path)
+        rest = records()
+        while whole := b"".join(_compress(rest, level, archive_bytes)):
+            yield pa.RecordBatch.from_arrays([pa.array([whole], pa.binary())], ["frames"])
+
+    joined.mapInArrow(archive, "frames binary").select(F.col("frames").cast("string").alias("value")).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", 1).option("compression", "none").text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import pathlib
 import random
 from collections import defaultdict
 
@@ -68,6 +69,24 @@ def test_exact_dedup(docs, none):
     assert exact_dedup.exact_dedup(none).count() == 0
 
 
+def test_sorted_runs_merge():
+    rng = random.Random(2)
+    entries = [(bytes([rng.randrange(6)]), rng.randrange(2), rng.choice([None, *range(9)]), k, 1) for k in range(300)]
+    runs = []
+    for k in range(5):
+        held = {}
+        for e in entries[k::5]:
+            held.setdefault(e[:2], []).append(e)
+        runs.append(iter([(*key, *max(((x[2], x[3]) for x in v), key=lambda y: (y[0] is not None, y[0] or 0, y[1])), len(v)) for key, v in sorted(held.items())]))
+    out = list(exact_dedup.merged(runs))
+    assert [e[:2] for e in out] == sorted({e[:2] for e in entries})
+    for digest, n_bytes, doc_id, row, n in out:
+        same = [e for e in entries if e[:2] == (digest, n_bytes)]
+        assert n == len(same)
+        assert doc_id == max((e[2] for e in same if e[2] is not None), default=None)
+        assert any(e[2:4] == (doc_id, row) for e in same)
+
+
 def plain_components(rows, n, percent):
     sets = {}
     for i, t in rows:
@@ -228,6 +247,25 @@ def test_line_dedup(docs, none):
         assert (r.text, r.n_removed) == (want, len(cut)), r.doc_id
     assert sum(r.n_removed for r in got) > 5
     assert line_dedup.line_dedup(none).count() == 0
+    names = ["__id", "__of", "__gone", "__lines", "a.b"]
+    clash = line_dedup.line_dedup(docs.select("doc_id", "text", *[F.lit(c).alias(c) for c in names]))
+    assert clash.columns == ["doc_id", "text", *names, "n_lines", "n_removed"]
+    assert {tuple(r[c] for c in names) for r in clash.collect()} == {tuple(names)}
+    assert sorted((str(r.doc_id), str(r.text)) for r in clash.collect()) == sorted((str(r.doc_id), str(r.text)) for r in got)
+
+
+def test_line_dedup_of_long_runs(spark):
+    """A passage of many lines, shifted, in several texts: its first place stays whole, later ones go whole."""
+    rng = random.Random(8)
+    line = lambda: " ".join(rng.choice(WORDS) for _ in range(rng.randrange(3, 7)))
+    passage = [line() for _ in range(40)]
+    rows = [(i, "\n".join([*(line() for _ in range(i)), *passage[i % 5 :], "", *(line() for _ in range(7 - i % 3))])) for i in range(1, 30)]
+    got = {r.doc_id: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    for i, text in rows:
+        own = text.split("\n")
+        at = {k for k in range(i, i + 40 - i % 5)} if i > 1 and not (i == 5) else set(range(6, 45)) if i == 5 else set()
+        assert got[i].n_removed == len(at), i
+        assert got[i].text == "\n".join(x for k, x in enumerate(own) if k not in at)
 
 
 def plain_substrings(rows, w):
@@ -324,6 +362,8 @@ def test_sentencepiece(docs, none):
         assert b"".join(raw[a:b] for a, b in zip(r.starts, r.ends, strict=True)) == raw
     digests = sentencepiece_codec.encode_documents(docs, piece_model(), digests=True).collect()
     assert sorted(r.ids_sha256 for r in digests) == sorted(hashlib.sha256(np.array(r.ids, "<u4").tobytes()).hexdigest() for r in got)
+    flat = lambda r: hashlib.sha256(np.stack([r.starts, r.ends], axis=1).astype("<u4").tobytes() if r.ids else b"").hexdigest()
+    assert sorted(r.spans_sha256 for r in digests) == sorted(flat(r) for r in got)
     assert sentencepiece_codec.encode_documents(none, piece_model()).count() == 0
 
 
@@ -365,6 +405,18 @@ def test_warc(spark, tmp_path):
     assert warc.read_archives(spark, f"file://{tmp_path}/none").count() == 0
 
 
+def test_archives_roll(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, "u", "".join(rng.choice("abcdefgh") for _ in range(20_000))) for i in range(300)]
+    path = f"{tmp_path}/rolled"
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), f"file://{path}", archive_bytes=200_000)
+    sizes = [p.stat().st_size for p in pathlib.Path(path).glob("part-*")]
+    assert len(sizes) >= 4
+    assert max(sizes) < 1_000_000  # an archive holds the records its dictionary is trained on, whatever its size
+    got = {r.record_id: bytes(r.payload).decode() for r in warc.read_archives(spark, f"file://{path}").collect()}
+    assert got == {f"<urn:page:{i}>": html for i, _, html in rows}
+
+
 def test_warc_rejects_damage():
     good = warc.make_record(1, "u", b"body", warc.payload_digest(b"body"), False, None, "2024-01-01T00:00:00Z")
     assert warc.parse_http(*warc.parse_record(good)) == (b"body", 4)
@@ -401,9 +453,20 @@ def test_codewords_are_apart():
 
 
 def test_quality(spark, sf_dir, docs, none):
-    real, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    scored = quality.quality_classifier(real, labels).join(labels, "doc_id").collect()
+    real, labels = (spark.read.parquet(f"{sf_dir[: -len('0.001')]}0.01/{t}.parquet") for t in ("documents", "labels"))
+    aside = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    everything = quality.quality_classifier(real, labels.where(~aside))
+    scored = everything.join(labels.where(aside), "doc_id").collect()
+    assert len(scored) > 100
     assert np.mean([r.quality_keep == bool(r.quality) for r in scored]) > 0.9
+    model = quality.fit_quality(real.repartition(7), labels.where(~aside), meta_cols=("lang", "source", "n_chars"))
+    (a1, a0), (b1, b0), (c1, c2, c0) = model.scale
+    for r in everything.orderBy("doc_id").limit(60).collect():
+        a, b = (sum(float(w) * float(x) for w, x in zip(weights, [*view, 1.0], strict=True)) for weights, view in ((model.text, quality.text_view(r.text)), (model.meta, quality.meta_view([r.lang, r.source, r.n_chars]))))
+        want = [1 / (1 + np.exp(-z)) for z in (a1 * a + a0, b1 * b + b0, c1 * a + c2 * b + c0)]
+        assert [r.quality_text, r.quality_meta, r.quality_score] == pytest.approx(want, abs=1e-3)
+    odd = docs.withColumns({"__y": F.lit(5), "__id": F.lit("z"), "a.b": F.lit(1)})
+    assert {(r["__y"], r["__id"]) for r in quality.quality_classifier(odd, labels).collect()} == {(5, "z")}
     marks = spark.createDataFrame([(1, 1), (1, 1), (3, 1), (7, 0), (8, 0), (9, 0), (10, 1), (11, None), (None, 0), (99, 1), (14, 0)], "doc_id long, quality int")
     out = quality.quality_classifier(docs, marks)
     assert out.columns == [c for c in docs.columns if c != "quality_keep"] + ["quality_text", "quality_meta", "quality_score", "quality_keep"]
@@ -415,6 +478,44 @@ def test_quality(spark, sf_dir, docs, none):
     assert quality.quality_classifier(none, marks).count() == 0
 
 
+def test_views_exchange_confident_labels():
+    """One round by hand: a view's confident rows, and only they, are what the other one learns from."""
+    rng = np.random.default_rng(3)
+    y = rng.integers(0, 2, 400)
+    x = (y[:, None] * 2 - 1) * 1.5 + rng.normal(size=(400, 3))
+    z = (y[:, None] * 2 - 1) * 1.0 + rng.normal(size=(400, 2))
+    seen = np.where(np.arange(400) < 80, y, -1).astype(float)
+    one, none = (quality.co_train(x.astype(np.float32), z.astype(np.float32), seen, rounds=r) for r in (1, 0))
+    a, b, _ = none.score(x[80:], z[80:])
+    sure = [int(((p >= quality.CONFIDENT) | (p <= 1 - quality.CONFIDENT)).sum()) for p in (a, b)]
+    assert one.exchanged == [tuple(sure)]
+    assert min(sure) > 0
+    train = np.setdiff1d(np.arange(80), np.concatenate([np.flatnonzero(seen == c)[quality.CALIBRATE - 1 :: quality.CALIBRATE] for c in (0, 1)]))
+    given = 80 + np.flatnonzero((a >= quality.CONFIDENT) | (a <= 1 - quality.CONFIDENT))
+    labels = np.concatenate([seen[train], (a[given - 80] > 0.5).astype(float)])
+    want = quality.fit_logistic(z[[*train, *given]].astype(np.float32), labels.astype(np.float32), np.concatenate([np.ones(len(train)), np.full(len(given), 0.5)]).astype(np.float32))
+    assert one.meta == pytest.approx(want, abs=1e-4)
+    assert np.mean((one.score(x, z)[2] > 0.5) == y) > 0.9
+
+
+def test_codewords_are_decoded_by_least_weighted_loss():
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 4, 300)
+    x = np.abs(rng.normal(size=(300, 12)) * 0.05 + np.eye(4)[y].repeat(3, axis=1)).astype(np.float32)
+    model = langid.train(x, y, ["a", "b", "c", "d"], steps=60, rate=1.0)
+    best, score, unsure = model.predict(x)
+    for i in range(40):
+        losses = []
+        for word in model.code.tolist():
+            margins = [sum(float(v) * float(w) for v, w in zip(x[i], model.weights[:, k], strict=True)) + float(model.bias[k]) for k in range(len(word))]
+            losses.append(sum(float(u) * np.log1p(np.exp(-m * c)) for u, m, c in zip(model.bit_weight, margins, word, strict=True)))
+        p = 1 / sum(np.exp(min(losses) - v) for v in losses)
+        assert best[i] == losses.index(min(losses))
+        assert score[i] == pytest.approx(p, abs=1e-3)
+        assert unsure[i] == (p < 0.75) or abs(p - 0.75) < 1e-3
+    assert np.mean(best == y) > 0.95
+
+
 def test_top_k_is_exact_up_to_long(spark):
     big = [(0, [2.0**30, 0.0]), (100, [-(2.0**30), 0.0])]
     rows = big + [(i, [x / 1024, 0.0]) for i, x in ((1, 2**22 + 1), (2, 2**22 + 2), (3, 2**22 + 3), (4, 2**23 - 1), (5, 5), (6, -(2**23) + 1), (7, -(2**22)))]
