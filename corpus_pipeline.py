@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import materialize
+from cellweave.llm.common import materialize, unused
 from cellweave.llm.jaccard_join import jaccard_components
 from cellweave.llm.line_dedup import line_dedup
 from cellweave.llm.mixing import mix_sources
@@ -17,30 +17,38 @@ from cellweave.llm.sentencepiece_codec import encode_documents
 ORACLE_SQL = None
 
 
+def columns_of(docs: DataFrame) -> list[str]:
+    """The columns' names in quotes, so that any name will do."""
+    return [f"`{c}`" for c in docs.columns]
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier rejects go."""
     scored = quality_classifier(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored.where("quality_keep").select(*docs.columns)
+    return scored.where("quality_keep").select(*columns_of(docs))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeated runs of lines go from the texts; ``n_chars`` follows. Every document stays, if with an empty text."""
-    return line_dedup(docs).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    cut = line_dedup(docs)
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return cut.select(*[n_chars.alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that near-duplicate links (five words, 0.8) connect, the one with the smallest id stays."""
     found = jaccard_components(docs, words=5, percent=80)
     gone = materialize(found.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*columns_of(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; one without words, which counts nowhere, once."""
-    passes = F.max(F.when(F.col("size") > 0, F.col("passes")).otherwise(1)).alias("__passes")
-    taken = materialize(mix_sources(docs).groupBy(F.col("doc_id").alias("__id")).agg(passes), "taken")
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id"))).where("__passes > 0")
-    return rows.withColumn("__pass", F.explode(F.sequence(F.lit(1), "__passes"))).select(*docs.columns)
+    id_, passes, copy = unused(docs.columns, "id", "passes", "copy")
+    most = F.max(F.when(F.col("size") > 0, F.col("passes")).otherwise(1)).alias(passes)
+    taken = materialize(mix_sources(docs).groupBy(F.col("doc_id").alias(id_)).agg(most), "taken")
+    rows = docs.join(taken.hint("merge"), F.col("doc_id").eqNullSafe(F.col(id_))).where(F.col(passes) > 0)
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), passes))).select(*columns_of(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
