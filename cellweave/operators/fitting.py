@@ -118,14 +118,14 @@ def class_statistics(df: DataFrame, cls: str, a: object, b: object, features: Se
     return m.join(ks, "feature").withColumn("t", F.try_divide(F.col("mean_a") - F.col("mean_b"), error))
 
 
-def fill_category(cells: DataFrame, cls: str, category: int, rounds: int = 100) -> DataFrame:
-    """Cells of a category take the most frequent class round them (ties to the smallest), round by round from the outside in."""
+def fill_category(cells: DataFrame, cls: str, category: int) -> DataFrame:
+    """Cells of a category take the most frequent class round them (ties to the smallest), round by round from the outside in, until none is left that other classes reach."""
     from cellweave.operators.focal import neighbours, offsets
     from cellweave.sources.shared import materialize
 
     now = materialize(cells.select("x", "y", F.when(F.col(cls) != category, F.col(cls)).alias(cls), F.col(cls).isNotNull().alias("_in")), "fill")
     left = None
-    for _ in range(rounds):
+    while True:
         count = now.where(F.col(cls).isNull() & F.col("_in")).count()
         if count == 0 or count == left:
             break

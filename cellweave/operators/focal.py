@@ -24,19 +24,18 @@ def neighbours(cells: DataFrame, moves: Sequence[tuple[int, int]], columns: Sequ
 
 
 def focal(cells: DataFrame, value: str, radius: int, circle: bool = False) -> DataFrame:
-    """Statistics of the window round each cell; a square window's partial sums run along rows, then columns.
+    """Statistics of the window round each cell, over the cells that exist; grids may have holes.
 
-    A circle meets its cells by offset, (2r+1)^2 rows for each. A square takes one window over the sums by row and
-    another over those by column, whatever its size.
+    A circle meets its cells by offset, (2r+1)^2 rows for each. A square deals each cell along its row and sums there, then deals
+    the sums along their columns, 2(2r+1) rows for each; both sums are partial before they travel.
     """
     if circle:
         near = neighbours(cells, offsets(radius, True), [value])
         return near.groupBy("x", "y").agg(F.sum(f"n_{value}").alias("sum"), F.count(f"n_{value}").alias("n"), F.avg(f"n_{value}").alias("mean"), F.min(f"n_{value}").alias("min"), F.max(f"n_{value}").alias("max"))
-    row = Window.partitionBy("y").orderBy("x").rangeBetween(-radius, radius)
-    col = Window.partitionBy("x").orderBy("y").rangeBetween(-radius, radius)
-    # every cell position of the window's columns exists in the table only where the grid has one; a sparse grid needs its empty cells
-    part = cells.withColumns({"_s": F.sum(value).over(row), "_n": F.count(value).over(row), "_lo": F.min(value).over(row), "_hi": F.max(value).over(row)})
-    return part.select("x", "y", F.sum("_s").over(col).alias("sum"), F.sum("_n").over(col).alias("n"), F.min("_lo").over(col).alias("min"), F.max("_hi").over(col).alias("max")).withColumn("mean", F.try_divide("sum", "n"))
+    reach = lambda c: F.explode(F.sequence(F.col(c) - radius, F.col(c) + radius)).alias(c)
+    row = cells.select(reach("x"), "y", F.col(value).alias("v")).groupBy("x", "y").agg(F.sum("v").alias("s"), F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    both = row.select("x", reach("y"), "s", "n", "lo", "hi").groupBy("x", "y").agg(F.sum("s").alias("sum"), F.sum("n").alias("n"), F.min("lo").alias("min"), F.max("hi").alias("max"))
+    return cells.select("x", "y").join(both, ["x", "y"]).withColumn("mean", F.try_divide("sum", "n"))
 
 
 def adjacency(cells: DataFrame, zone: str, diagonal: bool = False) -> DataFrame:

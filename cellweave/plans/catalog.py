@@ -14,10 +14,12 @@ ORACLE_SQL: dict[str, str] = {}
 
 #: Added before rounding, as engines differ on which way a decimal tie in binary goes.
 NUDGE = 1e-9
+#: Digits to which values are rounded to be compared, where the nudge would decide.
+COMPARED = 9
 
 
 def nudged(sql: str) -> str:
-    """``round(x, n)`` becomes ``round(x + NUDGE, n)`` throughout."""
+    """``round(x, n)`` becomes ``round(x + NUDGE, n)``, but not where it rounds to ``COMPARED`` digits, which only comparisons do."""
     out, at = "", 0
     while (start := sql.find("round(", at)) >= 0:
         depth, comma, k = 1, None, start + 6
@@ -28,7 +30,8 @@ def nudged(sql: str) -> str:
                 comma = k
             k += 1
         inner = nudged(sql[start + 6 : comma])
-        out += f"{sql[at:start]}round(({inner}) + {NUDGE}, {sql[comma + 1 : k - 1].strip()})"
+        digits = sql[comma + 1 : k - 1].strip()
+        out += f"{sql[at:start]}round({inner}, {digits})" if int(digits) >= COMPARED else f"{sql[at:start]}round(({inner}) + {NUDGE}, {digits})"
         at = k
     return out + sql[at:]
 
@@ -54,5 +57,5 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[(F.round(F.col(f"`{c}`") + NUDGE, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
-for _part in ("zonal", "tables", "cellwise", "series", "temporal", "focal", "decision", "graph", "terrain", "vector", "climate", "fitting", "learning", "convert"):
+for _part in ("zonal", "tables", "cellwise", "series", "temporal", "focal", "decision", "graph", "terrain", "vector", "climate", "fitting", "learning", "convert", "surface"):
     importlib.import_module(f"cellweave.plans.{_part}")

@@ -51,11 +51,13 @@ def write_point_features(df: DataFrame, path: str, properties: Sequence[str]) ->
 
 
 def esri_to_points(df: DataFrame, column: str) -> DataFrame:
-    """Adds the vertices of an Esri geometry's first ring or path, or its point, as an array ``vertices``."""
+    """Adds the vertices of an Esri geometry's rings or paths, all parts in order, or its point, as an array ``vertices``, and each one's part as ``parts``."""
     g = F.from_json(column, "x double, y double, rings array<array<array<double>>>, paths array<array<array<double>>>")
-    part = F.coalesce(F.get(g["rings"], F.lit(0)), F.get(g["paths"], F.lit(0)))
-    pairs = F.transform(part, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
-    return df.withColumn("vertices", F.coalesce(pairs, F.when(g["x"].isNotNull(), F.array(F.struct(g["x"].alias("x"), g["y"].alias("y"))))))
+    every = F.coalesce(g["rings"], g["paths"])
+    pairs = F.transform(F.flatten(every), lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    part = F.flatten(F.transform(every, lambda p, k: F.transform(p, lambda _: k)))
+    point = g["x"].isNotNull()
+    return df.withColumns({"vertices": F.coalesce(pairs, F.when(point, F.array(F.struct(g["x"].alias("x"), g["y"].alias("y"))))), "parts": F.coalesce(part, F.when(point, F.array(F.lit(0))))})
 
 
 def split_by_code(df: DataFrame, code: str, path: str) -> None:

@@ -9,7 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellweave.functions import fuzzy, indices
-from cellweave.operators import decision, focal, graph, series, tables, temporal, zonal
+from cellweave.operators import decision, focal, graph, series, surface, tables, temporal, zonal
+from cellweave.plans import catalog
+from cellweave.sources import files
 
 
 def rows(df, *order):
@@ -364,3 +366,33 @@ def test_electre_against_all_pairs(spark):
 def test_electre_takes_any_number(spark):
     df = spark.range(10_001).select("id", (F.col("id") % 50).alias("v"), (F.col("id") % 7).alias("w"))
     assert decision.electre(df, "id", {"v": 3, "w": 1}).count() == 10_001
+
+
+def test_focal_square_on_a_grid_with_holes(spark):
+    cells = [(0, 0, 1.0), (1, 1, 10.0), (4, 0, 5.0), (5, 2, None), (9, 9, 2.0)]
+    got = {(r.x, r.y): (r.sum, r.n, r.min, r.max, r.mean) for r in focal.focal(spark.createDataFrame(cells, "x int, y int, v double"), "v", 2).collect()}
+    assert len(got) == len(cells)
+    for x, y, _ in cells:
+        near = [v for a, b, v in cells if abs(a - x) <= 2 and abs(b - y) <= 2 and v is not None]
+        assert got[x, y] == ((sum(near), len(near), min(near), max(near), sum(near) / len(near)) if near else (None, 0, None, None, None))
+
+
+def test_esri_keeps_every_part(spark):
+    rings = '{"rings":[[[0,0],[1,0],[1,1]],[[5,5],[6,5]]]}'
+    (row,) = files.esri_to_points(spark.createDataFrame([(rings,)], "g string"), "g").collect()
+    assert [(v.x, v.y) for v in row.vertices] == [(0, 0), (1, 0), (1, 1), (5, 5), (6, 5)]
+    assert row.parts == [0, 0, 0, 1, 1]
+
+
+def test_points_in_areas(spark):
+    """A ring with a bay and one that overlaps it; points in the bay and outside belong to none or one."""
+    ring = lambda *p: [{"x": float(a), "y": float(b)} for a, b in (*p, p[0])]
+    areas = spark.createDataFrame([("u", ring((0, 0), (9, 0), (9, 9), (6, 9), (6, 3), (3, 3), (3, 9), (0, 9))), ("s", ring((5, 5), (12, 5), (12, 12), (5, 12))), ("line", ring((0, 0), (5, 5)))], "name string, ring array<struct<x:double,y:double>>")
+    points = spark.createDataFrame([(1, 1.5, 1.5), (2, 4.5, 6.5), (3, 7.5, 7.5), (4, 11.5, 11.5), (5, -1.0, 4.0), (6, 5.5, 5.5)], "id int, x double, y double")
+    got = sorted((r.id, r.name) for r in surface.points_in_areas(points, areas, "ring", 2.5).collect())
+    assert got == [(1, "u"), (3, "s"), (3, "u"), (4, "s"), (6, "s")]
+    assert {(r.a, r.b) for r in surface.overlapping_boxes(areas, "name", "ring", 2.5).collect()} == {("s", "u"), ("line", "s"), ("line", "u")}
+
+
+def test_rounds_for_comparison_are_not_nudged():
+    assert catalog.nudged("round(a - b, 9) + round(round(c, 6), 2)") == "round(a - b, 9) + round((round((c) + 1e-09, 6)) + 1e-09, 2)"
