@@ -368,8 +368,8 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     runs, front-coded (length of the prefix shared with the row before, and what follows it) and exchanged
     by the hash of their anchor. Merging tasks combine the runs with a loser tree that never compares a known common prefix
     again; equal suffixes end up side by side, where all but the earliest go, and so do suffixes of the same anchor,
-    whose windows are compared one by one. Results are exact: byte rows, not hashes, decide what is the same suffix, and window hashes
-    are compared only within one anchor's group.
+    whose windows are compared one by one. Byte rows decide what is the same suffix; whether two windows round the same anchor are
+    equal is decided by a 64-bit hash of their bytes, not by the bytes themselves.
 
     Anchors with more than ``FREQUENT`` occurrences (a line in every third document) are sampled again by grams nearly as
     long as the window, which unrelated neighbours of a frequent line don't share, and map tasks send equal suffixes only
