@@ -187,3 +187,30 @@ def volume_profile(voxels: DataFrame, value: str, start: Sequence[float], end: S
     at = {c: F.floor(F.lit(float(s)) + F.col("_t") * (e - s)).cast("long") for c, s, e in zip("xyz", start, end, strict=True)}
     places = line.withColumns(at).select(F.col("id").alias("step"), (F.col("_t") * math.dist(start, end)).alias("distance"), "x", "y", "z")
     return places.join(voxels.select(*[F.col(c).cast("long").alias(c) for c in "xyz"], value), ["x", "y", "z"], "left").select("step", "distance", value)
+
+
+def lunar_content(name: str, first: Column, second: Column) -> Column:
+    """Iron or titanium oxide, or optical maturity, of the Moon from two bands: reflectance at 750 nm and at 950 nm (415 nm for titanium)."""
+    ratio = F.try_divide(second, first)
+    step = F.try_divide(-(ratio - 1.22), first - 0.04)
+    # fixed values of the published calibrations
+    return {
+        "feo_lucey_2000": lambda: 17.427 * -F.atan2(ratio - 1.19, first - 0.08) - 7.565,
+        "feo_lawrence_2002": lambda: 5.7 * (-0.147 + 0.372 * step - 0.036 * step * step) + 2.15,
+        "feo_wilcox_2005": lambda: -137.97 * (0.9834 * first + 0.1813 * ratio) + 57.46,
+        "feo_zhang_2013": lambda: 17.83 * -F.atan2(ratio - 1.26, first - 0.01) - 6.82,
+        "omat_lucey_2000": lambda: F.sqrt((first - 0.08) * (first - 0.08) + (ratio - 1.19) * (ratio - 1.19)),
+        "omat_wilcox_2005": lambda: 0.1813 * first - 0.9834 * ratio,
+        "tio2_lucey_2000": lambda: 3.708 * F.pow(F.atan2(ratio - 0.42, first), F.lit(5.979)),
+    }[name]()
+
+
+def green_vegetation(blue: Column, green: Column, red: Column, nir: Column, swir1: Column, swir2: Column) -> Column:
+    """Greenness component of the tasselled cap; -1 where red and near infrared add up to 0."""
+    # fixed values, by band
+    return F.when(red + nir == 0, F.lit(-1.0)).otherwise(-0.2848 * blue - 0.2435 * green - 0.5436 * red + 0.7243 * nir + 0.0840 * swir1 - 0.1800 * swir2)
+
+
+def perpendicular_vegetation(red: Column, nir: Column) -> Column:
+    """Near infrared over red, each by its side of a soil line at an angle of 1; -1 where both add up to 0, null without red."""
+    return F.when(red + nir == 0, F.lit(-1.0)).otherwise(F.try_divide(math.sin(1.0) * nir, math.cos(1.0) * red))

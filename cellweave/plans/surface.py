@@ -216,3 +216,39 @@ def scatter_trends(spark, sf_dir):
 def volume_profile(spark, sf_dir):
     v = table(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") % 16).alias("x"), (F.col("l_suppkey") % 16).alias("y"), F.col("l_linenumber").alias("z")).agg(F.avg("l_quantity").alias("v"))
     return rounded(surface.volume_profile(v, "v", (1.1, 2.2, 1.3), (15.1, 11.2, 7.3), 50))
+
+
+_LUNAR = {
+    "feo_lucey_2000": "17.427 * -atan2(r - 1.19, p - 0.08) - 7.565",
+    "feo_lawrence_2002": "5.7 * (-0.147 + 0.372 * s - 0.036 * s * s) + 2.15",
+    "feo_wilcox_2005": "-137.97 * (0.9834 * p + 0.1813 * r) + 57.46",
+    "feo_zhang_2013": "17.83 * -atan2(r - 1.26, p - 0.01) - 6.82",
+    "omat_lucey_2000": "sqrt((p - 0.08)^2 + (r - 1.19)^2)",
+    "omat_wilcox_2005": "0.1813 * p - 0.9834 * r",
+    "tio2_lucey_2000": "CASE WHEN r >= 0.42 THEN 3.708 * pow(atan2(r - 0.42, p), 5.979) END",
+}
+
+
+@register(
+    views.sql(
+        """
+    WITH p AS (SELECT x, y, 0.1 + a / 200 AS p, 0.1 + a / 200 + b / 1000 AS q FROM bands), r AS (SELECT *, q / p AS r, -(q / p - 1.22) / (p - 0.04) AS s FROM p)
+    SELECT x, y, """
+        + ", ".join(f"round({e}, 5) AS {k}" for k, e in _LUNAR.items())
+        + " FROM r"
+    )
+)
+def lunar_contents(spark, sf_dir):
+    p = 0.1 + F.col("a") / 200
+    return rounded(_bands(spark, sf_dir).select("x", "y", *[surface.lunar_content(k, p, p + F.col("b") / 1000).alias(k) for k in _LUNAR]), 5)
+
+
+@register(
+    views.sql("""
+    SELECT x, y, round(CASE WHEN b + d = 0 THEN -1 ELSE -0.2848 * a - 0.2435 * b - 0.5436 * b + 0.7243 * d + 0.0840 * c - 0.1800 * (c / 2) END, 5) AS gvi,
+           round(CASE WHEN b + d = 0 THEN -1 ELSE sin(1.0) * d / nullif(cos(1.0) * b, 0) END, 5) AS pvi FROM bands
+    """)
+)
+def soil_line_indices(spark, sf_dir):
+    a, b, c, d = map(F.col, "abcd")
+    return rounded(_bands(spark, sf_dir).select("x", "y", surface.green_vegetation(a, b, b, d, c, c / 2).alias("gvi"), surface.perpendicular_vegetation(b, d).alias("pvi")), 5)
