@@ -198,10 +198,35 @@ class Suffixes:
         order = np.lexsort([starts, owner[which, 1], owner[which, 0], hashes, group[which]])
         h, g = hashes[order], group[which][order]
         again = np.concatenate([[False], (h[1:] == h[:-1]) & (g[1:] == g[:-1])])
+        at = self.left - (span[which, 0] + left[which] - starts)
+        now = np.flatnonzero(again)
+        wrong = now[~same_bytes(text, which[order[now - 1]], which[order[now]], at[order[now - 1]], at[order[now]], w)]
+        if len(wrong):  # different windows with one hash: these are told apart by their bytes
+            run = np.cumsum(~again)
+            seen = set()
+            for k in np.flatnonzero(np.isin(run, run[wrong])).tolist():
+                row, first = which[order[k]], at[order[k]]
+                key = (int(run[k]), text[row, first : first + w].tobytes())
+                again[k] = key in seen
+                seen.add(key)
         later = order[again]
         return intervals(owner[which[later]], starts[later], w)
 
 
+def same_bytes(text: np.ndarray, a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, window: int) -> np.ndarray:
+    """Whether the windows of rows ``a`` and ``b`` hold the same bytes. Windows of two rows that start at one place share one comparison of the rows."""
+    out = np.zeros(len(a), bool)
+    level = at_a == at_b
+    pairs, which = np.unique(a[level] * len(text) + b[level], return_inverse=True)
+    low, high = pairs // max(len(text), 1), pairs % max(len(text), 1)
+    sums = np.zeros((len(pairs), text.shape[1] + 1), np.uint8)  # at most 255 columns
+    for k in range(0, len(pairs), 4096):
+        np.cumsum(text[low[k : k + 4096]] != text[high[k : k + 4096]], axis=1, dtype=np.uint8, out=sums[k : k + 4096, 1:])
+    first = at_a[level]
+    out[level] = sums[which, first] == sums[which, first + window]
+    return out
+
+
 def intervals(owner: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
     """Rows ``id, hash, start, end`` of the bytes that the windows cover, windows one after the other as one."""
     order = np.lexsort([starts, owner[:, 1], owner[:, 0]])
@@ -368,8 +393,8 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     runs, front-coded (length of the prefix shared with the row before, and what follows it) and exchanged
     by the hash of their anchor. Merging tasks combine the runs with a loser tree that never compares a known common prefix
     again; equal suffixes end up side by side, where all but the earliest go, and so do suffixes of the same anchor,
-    whose windows are compared one by one. Byte rows decide what is the same suffix; whether two windows round the same anchor are
-    equal is decided by a 64-bit hash of their bytes, not by the bytes themselves.
+    whose windows are compared one by one. A 64-bit hash of their bytes says which windows may be equal; the bytes themselves
+    decide, as they do for suffixes.
 
     Anchors with more than ``FREQUENT`` occurrences (a line in every third document) are sampled again by grams nearly as
     long as the window, which unrelated neighbours of a frequent line don't share, and map tasks send equal suffixes only

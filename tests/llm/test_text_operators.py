@@ -281,6 +281,22 @@ def plain_substrings(rows, w):
     return out
 
 
+def test_windows_with_one_hash_are_told_apart(monkeypatch):
+    """Where the hash says nothing, the bytes alone give the same result."""
+    shared = say(40, 30)
+    docs = [(say(41 + k, 20) + shared + say(51 + k % 3, 20)).encode() for k in range(12)]
+    suffixes = suffix_dedup.Suffixes(100)
+    (rows, _, who, spans), *_ = suffixes.of(((k, 0, d) for k, d in enumerate(docs)), 1, np.zeros(0, np.uint64))
+    owner = np.column_stack([who, who])
+    grams = [r[1 : 1 + suffix_dedup.GRAM].tobytes() for r in rows]
+    group = np.array([sorted(set(grams)).index(g) for g in grams])
+    want = suffixes.resolve(rows, owner, spans, group)
+    assert len(want) >= 11
+    _, up, down = suffix_dedup._tables()
+    monkeypatch.setattr(suffix_dedup, "_tables", lambda: (np.ones(256, np.uint64), up, down))
+    assert (suffixes.resolve(rows, owner, spans, group) == want).all()
+
+
 def test_suffix_dedup(docs, none, monkeypatch):
     for frequent in (1, 200):  # all anchors by the longer gram, and none
         monkeypatch.setattr(suffix_dedup, "FREQUENT", frequent)
