@@ -48,7 +48,16 @@ def weighted_sum(spark, sf_dir):
     return rounded(decision.weighted_sum(table(spark, sf_dir, "part"), "p_partkey", _P))
 
 
-@register()
+@register(
+    """
+    WITH RECURSIVE r(k, a, b, c, s) AS (
+        SELECT 0, 1 / 3.0::DOUBLE, 1 / 3.0::DOUBLE, 1 / 3.0::DOUBLE, 3.0::DOUBLE
+        UNION ALL SELECT k + 1, u / (u + v + w), v / (u + v + w), w / (u + v + w), u + v + w
+        FROM (SELECT k, a + 3 * b + 5 * c AS u, a / 3 + b + 2 * c AS v, a / 5 + b / 2 + c AS w FROM r WHERE k < 60)),
+    e AS (SELECT * FROM r WHERE k = 60), n AS (SELECT unnest(['c0', 'c1', 'c2']) AS criterion, unnest([a, b, c]) AS w, (s - 3) / 2 / 0.58 AS ratio FROM e)
+    SELECT criterion, round(w, 6) AS weight, round(ratio, 6) AS consistency_ratio FROM n
+    """
+)
 def hierarchy_weights(spark, sf_dir):
     weights, ratio = decision.comparison_weights([[1, 3, 5], [1 / 3, 1, 2], [1 / 5, 1 / 2, 1]])
     return rounded(spark.createDataFrame([(f"c{i}", w, ratio) for i, w in enumerate(weights)], "criterion string, weight double, consistency_ratio double"))

@@ -75,6 +75,17 @@ def class_statistics(spark, sf_dir):
     return out.withColumns({c: F.round(F.col(c) + 1e-9, n) for c, n in digits.items()})
 
 
-@register()
+@register(
+    f"""
+    WITH RECURSIVE cells AS ({views.SQL["cells"]}), classes AS ({views.SQL["classes"]}),
+    f(x, y, class) USING KEY (x, y) AS (
+        SELECT x, y, class FROM classes WHERE class <> 2
+        UNION SELECT x, y, class FROM (
+            SELECT c.x, c.y, n.class, count(*) AS votes FROM classes c JOIN recurring.f n ON n.x BETWEEN c.x - 1 AND c.x + 1 AND n.y BETWEEN c.y - 1 AND c.y + 1
+            WHERE c.class = 2 AND NOT EXISTS (SELECT 1 FROM recurring.f o WHERE o.x = c.x AND o.y = c.y) GROUP BY ALL)
+        QUALIFY row_number() OVER (PARTITION BY x, y ORDER BY votes DESC, class) = 1)
+    SELECT c.x, c.y, coalesce(f.class, 2) AS class FROM classes c LEFT JOIN f ON f.x = c.x AND f.y = c.y
+    """
+)
 def fill_category(spark, sf_dir):
     return fitting.fill_category(views.classes(table(spark, sf_dir, "lineitem")), "class", 2)

@@ -90,7 +90,23 @@ def flow_accumulation(spark, sf_dir):
     return graph.flow_accumulation(_tree(spark, sf_dir), "id", "to", "size")
 
 
-@register()
+#: A node has an order of at least k if two of its tributaries, or of those of a node above it, have one of at least k - 1.
+_ORDERS = 24
+_STRAHLER = ", ".join(
+    [
+        "o1 AS (SELECT id AS pos FROM t)",
+        *[f"o{k} AS MATERIALIZED (SELECT DISTINCT pos FROM d WHERE id IN (SELECT up FROM t WHERE id IN (SELECT pos FROM o{k - 1}) GROUP BY up HAVING count(*) > 1))" for k in range(2, _ORDERS + 1)],
+        "o AS (" + " UNION ALL ".join(f"SELECT pos, {k} AS k FROM o{k}" for k in range(1, _ORDERS + 1)) + ")",
+    ]
+)
+
+
+@register(
+    _DOWN
+    + f""", {_STRAHLER},
+    s AS (SELECT pos, count(*) AS shreve FROM d WHERE id NOT IN (SELECT up FROM t WHERE up IS NOT NULL) GROUP BY pos)
+    SELECT pos AS id, CAST(max(k) AS INT) AS strahler, shreve FROM o JOIN s USING (pos) GROUP BY pos, shreve"""
+)
 def stream_orders(spark, sf_dir):
     return graph.stream_orders(_tree(spark, sf_dir), "id", "to")
 
@@ -107,6 +123,15 @@ def order_statistics(spark, sf_dir):
     return rounded(graph.order_statistics(p, "strahler", "p_retailprice"))
 
 
-@register()
+@register(
+    f"""
+    WITH RECURSIVE p AS ({_POINTS}), e AS (SELECT t, a.vec_id AS a, b.vec_id AS b FROM p a JOIN p b ON a.vec_id <> b.vec_id JOIN (VALUES (0.002::DOUBLE), (0.01), (0.05)) v(t) ON sqrt((a.x - b.x)^2 + (a.y - b.y)^2) <= t),
+    r(t, a, root) USING KEY (t, a) AS (
+        SELECT DISTINCT t, a, a FROM e
+        UNION SELECT e.t, e.b, min(r.root) FROM r JOIN e ON r.t = e.t AND r.a = e.a JOIN recurring.r o ON o.t = e.t AND o.a = e.b WHERE r.root < o.root GROUP BY e.t, e.b),
+    g AS (SELECT t, root, count(*) AS n FROM r GROUP BY t, root)
+    SELECT v.t AS threshold, count(g.n) AS groups, coalesce(max(g.n), 0) AS largest FROM (VALUES (0.002::DOUBLE), (0.01), (0.05)) v(t) LEFT JOIN g ON g.t = v.t GROUP BY v.t
+    """
+)
 def percolation(spark, sf_dir):
     return graph.point_percolation(_points(spark, sf_dir), "vec_id", [0.002, 0.01, 0.05])

@@ -47,7 +47,17 @@ def proximity_index(spark, sf_dir):
     return rounded(graph.proximity_index(c, 6), 5)
 
 
-@register()
+@register(
+    f"""
+    WITH RECURSIVE cells AS ({views.SQL["cells"]}),
+    d(x, y, d) USING KEY (x, y) AS (
+        SELECT x, y, 0.0::DOUBLE FROM cells WHERE x = 3 AND y = 5
+        UNION SELECT g.x, g.y, min(d.d + sqrt((g.x - d.x)^2 + (g.y - d.y)^2) * (c.value + g.value) / 2) AS found
+        FROM d JOIN cells c ON c.x = d.x AND c.y = d.y JOIN cells g ON g.x BETWEEN d.x - 1 AND d.x + 1 AND g.y BETWEEN d.y - 1 AND d.y + 1 AND (g.x <> d.x OR g.y <> d.y)
+        LEFT JOIN recurring.d o ON o.x = g.x AND o.y = g.y GROUP BY g.x, g.y, o.d HAVING o.d IS NULL OR found < o.d - 1e-12)
+    SELECT x, y, round(d, 4) AS d FROM d
+    """
+)
 def cost_distance(spark, sf_dir):
     c = views.cells(table(spark, sf_dir, "lineitem"))
     return rounded(graph.cost_distance(c, "value", c.where("x = 3 AND y = 5")), 4)
