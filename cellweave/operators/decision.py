@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellweave.operators.ordered import running
+
 
 def _shares(weights: Mapping[str, float]) -> dict[str, float]:
     total = sum(weights.values())
@@ -33,12 +35,8 @@ def promethee(df: DataFrame, key: str, weights: Mapping[str, float]) -> DataFram
     """
     w = _shares(weights)
     long = df.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.lit(s).alias("w"), F.col(c).cast("double").alias("v")) for c, s in w.items()])).alias("p")).select(key, "p.*").where("v IS NOT NULL")
-    values = long.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
-    run = Window.partitionBy("c").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("c")
-    cum = values.select(
-        "c", "v", "n", F.coalesce(F.sum("n").over(run), F.lit(0)).alias("nb"), F.coalesce(F.sum(F.col("n") * F.col("v")).over(run), F.lit(0.0)).alias("sb"), F.sum("n").over(whole).alias("nt"), F.sum(F.col("n") * F.col("v")).over(whole).alias("st")
-    )
+    values = long.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"))
+    cum = running(values, ["c"], "v", ["n", "s"]).withColumnsRenamed({"_b_n": "nb", "_b_s": "sb", "_t_n": "nt", "_t_s": "st"})
     na, sa = F.col("nt") - F.col("nb") - F.col("n"), F.col("st") - F.col("sb") - F.col("n") * F.col("v")
     flows = cum.select("c", "v", (F.col("nb") * F.col("v") - F.col("sb")).alias("up"), (sa - na * F.col("v")).alias("down"))
     got = long.join(flows, ["c", "v"]).groupBy(key).agg(*[(F.sum(F.col("w") * F.col(c)) / len(w)).alias(n) for c, n in (("up", "positive"), ("down", "negative"))])
@@ -60,8 +58,7 @@ def electre(df: DataFrame, key: str, weights: Mapping[str, float], most: int | N
     kinds = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
     long = kinds.select("n", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.lit(s).alias("w"), F.col(c).alias("v")) for c, s in zip(names, w.values(), strict=True)])).alias("p")).select("n", "p.*").where("v IS NOT NULL")
     values = long.groupBy("c", "w", "v").agg(F.sum("n").alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy("c").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = values.withColumns({"below": below, "all": F.sum("n").over(Window.partitionBy("c"))}).select("c", "v", (F.col("w") * (2 * F.col("below") + F.col("n") - F.col("all"))).alias("s"))
+    ranks = running(values, ["c"], "v", ["n"]).select("c", "v", (F.col("w") * (2 * F.col("_b_n") + F.col("n") - F.col("_t_n"))).alias("s"))
     a, b = (kinds.select(*[F.col(c).alias(f"{e}{c}") for c in names], F.col("n").alias(f"{e}n")) for e in "ab")
     gap = lambda x, y: F.greatest(F.lit(0.0), *[F.col(f"{x}{c}") - F.col(f"{y}{c}") for c in names])
     disc = a.crossJoin(b).groupBy(*[f"a{c}" for c in names]).agg(F.sum(F.col("bn") * (gap("a", "b") - gap("b", "a"))).alias("discordance"))
@@ -105,10 +102,9 @@ def environmental_similarity(reference: DataFrame, other: DataFrame, key: str, v
     ref = long(reference, []).groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
     new = long(other, [key])
     points = ref.unionByName(new.select("c", "v").distinct().withColumn("n", F.lit(0).cast("long"))).groupBy("c", "v").agg(F.sum("n").alias("n"))
-    before = Window.partitionBy("c").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("c")
-    f = 100 * F.coalesce(F.sum("n").over(before), F.lit(0)) / F.sum("n").over(whole)
-    ranked = points.select("c", "v", f.alias("f"), F.min(F.when(F.col("n") > 0, F.col("v"))).over(whole).alias("lo"), F.max(F.when(F.col("n") > 0, F.col("v"))).over(whole).alias("hi"))
+    ends = ref.groupBy("c").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    f = 100 * F.col("_b_n") / F.col("_t_n")
+    ranked = running(points, ["c"], "v", ["n"]).join(F.broadcast(ends), "c").select("c", "v", f.alias("f"), "lo", "hi")  # a row per variable
     span = F.col("hi") - F.col("lo")
     s = F.when(F.col("f") == 0, F.try_divide(100 * (F.col("v") - F.col("lo")), span)).when(F.col("f") <= 50, 2 * F.col("f")).when(F.col("f") < 100, 2 * (100 - F.col("f"))).otherwise(F.try_divide(100 * (F.col("hi") - F.col("v")), span))
     scored = new.join(ranked.select("c", "v", s.alias("s")), ["c", "v"])

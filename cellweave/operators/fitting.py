@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellweave.operators.ordered import running
+
 
 def project_demand(observed: DataFrame, projected: DataFrame, region: str, year: str, population: str, developed: str) -> DataFrame:
     """Developed cells per region and projected year, by the best of three curves over population, and their yearly growth.
@@ -111,9 +113,9 @@ def class_statistics(df: DataFrame, cls: str, a: object, b: object, features: Se
     one, two = F.when(F.col("first"), F.col("v")), F.when(~F.col("first"), F.col("v"))
     m = long.groupBy("feature").agg(*[f(e).alias(f"{n}_{k}") for k, e in (("a", one), ("b", two)) for n, f in (("n", F.count), ("mean", F.avg), ("stddev", F.stddev_samp))])
     steps = long.groupBy("feature", "v").agg(F.count(one).alias("na"), F.count(two).alias("nb"))
-    w, whole = Window.partitionBy("feature").orderBy("v"), Window.partitionBy("feature")
-    gap = F.abs(F.try_divide(F.sum("na").over(w), F.sum("na").over(whole)) - F.try_divide(F.sum("nb").over(w), F.sum("nb").over(whole)))
-    ks = steps.select("feature", gap.alias("_gap")).groupBy("feature").agg(F.max("_gap").alias("ks"))
+    upto = lambda c: F.try_divide(F.col(f"_b_{c}") + F.col(c), F.col(f"_t_{c}"))
+    gap = F.abs(upto("na") - upto("nb"))
+    ks = running(steps, ["feature"], "v", ["na", "nb"]).select("feature", gap.alias("_gap")).groupBy("feature").agg(F.max("_gap").alias("ks"))
     error = F.sqrt(F.pow("stddev_a", F.lit(2)) / F.col("n_a") + F.pow("stddev_b", F.lit(2)) / F.col("n_b"))
     return m.join(ks, "feature").withColumn("t", F.try_divide(F.col("mean_a") - F.col("mean_b"), error))
 

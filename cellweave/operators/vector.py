@@ -135,14 +135,14 @@ def match_histograms(pixels: DataFrame, image: str, value: str) -> DataFrame:
     target = mean.select(F.col(value).alias("to"), F.round(F.sum("n").over(Window.orderBy(value)) / F.sum("n").over(Window.partitionBy()), 6).alias("target"))
     # the nearest of a sorted list: put both in one order and look to either side
     both = cdf.select(image, value, "cdf", F.lit(None).cast("struct<target:double,to:bigint>").alias("t")).unionByName(
-        pixels.select(image).distinct().join(F.broadcast(target)).select(image, F.lit(None).cast(pixels.schema[value].dataType).alias(value), F.col("target").alias("cdf"), F.struct("target", F.col("to").cast("long").alias("to")).alias("t"))
+        pixels.select(image).distinct().crossJoin(target).select(image, F.lit(None).cast(pixels.schema[value].dataType).alias(value), F.col("target").alias("cdf"), F.struct("target", F.col("to").cast("long").alias("to")).alias("t"))
     )  # a row per grey value
     before = Window.partitionBy(image).orderBy("cdf", F.col("t").isNull()).rowsBetween(Window.unboundedPreceding, 0)
     after = Window.partitionBy(image).orderBy("cdf", F.col("t").isNotNull()).rowsBetween(0, Window.unboundedFollowing)
     seen = both.withColumns({"_a": F.last("t", True).over(before), "_b": F.first("t", True).over(after)}).where(F.col("t").isNull())
     first = target.groupBy(F.col("target").alias("_k")).agg(F.min("to").alias("_first"))
     pick = F.when(F.col("_b").isNull() | (F.abs(F.col("_a.target") - F.col("cdf")) <= F.abs(F.col("_b.target") - F.col("cdf"))), F.col("_a.target")).otherwise(F.col("_b.target"))
-    return seen.withColumn("_k", pick).join(F.broadcast(first), "_k").select(image, value, F.col("_first").cast("long").alias("matched"))
+    return seen.withColumn("_k", pick).join(first, "_k").select(image, value, F.col("_first").cast("long").alias("matched"))
 
 
 def to_columns(df: DataFrame, keys: Sequence[str], name: str, value: Column) -> DataFrame:

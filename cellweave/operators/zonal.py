@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellweave.operators.ordered import percentile_columns, running
+
 
 def univar(cells: DataFrame, zones: Sequence[str], value: str) -> DataFrame:
     """Univariate statistics of ``value`` in each zone; null cells are counted and otherwise skipped."""
@@ -49,15 +51,16 @@ def moments(cells: DataFrame, zones: Sequence[str], value: str) -> DataFrame:
 
 
 def quartiles(cells: DataFrame, zones: Sequence[str], value: str, percents: Sequence[float] = (25, 50, 75)) -> DataFrame:
-    """Exact interpolated percentiles by zone; Spark keeps counts by value, so repeated values cost nothing more."""
-    return cells.groupBy(*zones).agg(*[F.percentile(value, F.lit(p / 100)).alias(f"perc_{p:g}".replace(".", "_")) for p in percents])
+    """Exact interpolated percentiles by zone, null where a zone has no value; all of them come from one sorted histogram."""
+    counts = cells.groupBy(*zones, value).agg(F.count(value).alias("_n"))  # a null's count is 0
+    shares = {f"perc_{p:g}".replace(".", "_"): p / 100 for p in percents}
+    return running(counts, zones, value, ["_n"]).groupBy(*zones).agg(*percentile_columns(value, "_n", shares))
 
 
 def boxplot(cells: DataFrame, zones: Sequence[str], value: str, reach: float = 1.5) -> DataFrame:
     """Quartiles, whiskers, notches and the number of outliers by zone; whiskers end ``reach`` interquartile ranges out."""
-    q = cells.where(F.col(value).isNotNull()).groupBy(*zones).agg(
-        F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), *[F.percentile(value, F.lit(p)).alias(k) for k, p in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))]
-    )
+    counts = running(cells.where(F.col(value).isNotNull()).groupBy(*zones, value).agg(F.count(F.lit(1)).alias("_n")), zones, value, ["_n"])
+    q = counts.groupBy(*zones).agg(F.sum("_n").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), *percentile_columns(value, "_n", {"q1": 0.25, "q2": 0.5, "q3": 0.75}))
     iqr = F.col("q3") - F.col("q1")
     limits = q.withColumns(
         {
@@ -67,15 +70,17 @@ def boxplot(cells: DataFrame, zones: Sequence[str], value: str, reach: float = 1
             "notch_high": F.col("q2") + 1.57 * iqr / F.sqrt("n"),
         }
     )
-    outside = cells.join(limits, list(zones)).where((F.col(value) < F.col("lower")) | (F.col(value) > F.col("upper")))
-    counted = outside.groupBy(*zones).agg(F.count(F.lit(1)).alias("outliers"))
-    return limits.join(counted, list(zones), "left").withColumn("outliers", F.coalesce("outliers", F.lit(0)))
+    ends = limits.select(*[F.col(z).alias(f"_z{i}") for i, z in enumerate(zones)], F.col("lower").alias("_lower"), F.col("upper").alias("_upper"))
+    same = [F.col(z).eqNullSafe(F.col(f"_z{i}")) for i, z in enumerate(zones)]
+    outside = (F.col(value) < F.col("_lower")) | (F.col(value) > F.col("_upper"))
+    counted = counts.join(ends, same).groupBy(*[f"_z{i}" for i in range(len(zones))]).agg(F.coalesce(F.sum(F.when(outside, F.col("_n"))), F.lit(0)).alias("outliers"))
+    return limits.join(counted, same).select(*limits.columns, "outliers")
 
 
 def class_proportions(cells: DataFrame, zone: str, cls: str, percent: bool = False, decimals: int = 4) -> DataFrame:
     """Share of each class in each zone, absent classes with 0, and whether the class is the zone's mode (ties to the smallest)."""
     counts = cells.groupBy(zone, cls).agg(F.count(F.lit(1)).alias("n"))
-    every = cells.select(zone).distinct().crossJoin(F.broadcast(cells.select(cls).distinct()))  # the list of classes is a legend
+    every = cells.select(zone).distinct().crossJoin(cells.select(cls).distinct())
     full = every.join(counts, every[zone].eqNullSafe(counts[zone]) & every[cls].eqNullSafe(counts[cls]), "left").select(every[zone], every[cls], F.coalesce("n", F.lit(0)).alias("n"))
     w = Window.partitionBy(zone)
     best = F.min_by(F.struct(cls), F.struct(-F.col("n"), F.col(cls).isNull(), F.col(cls))).over(w)[cls]
@@ -86,7 +91,7 @@ def confusion(pairs: DataFrame, classified: str, reference: str) -> DataFrame:
     """Counts for each pair of classes, with 0 for pairs that don't occur; both sides have the same classes."""
     counts = pairs.where(F.col(classified).isNotNull() & F.col(reference).isNotNull()).groupBy(F.col(classified).alias("classified"), F.col(reference).alias("reference")).agg(F.count(F.lit(1)).alias("n"))
     names = counts.select(F.explode(F.array("classified", "reference")).alias("c")).distinct()
-    grid = names.select(F.col("c").alias("classified")).crossJoin(F.broadcast(names.select(F.col("c").alias("reference"))))  # classes are few
+    grid = names.select(F.col("c").alias("classified")).crossJoin(names.select(F.col("c").alias("reference")))
     return grid.join(counts, ["classified", "reference"], "left").select("classified", "reference", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -117,7 +122,7 @@ def weighted_kappa(matrix: DataFrame, power: int = 1) -> DataFrame:
     seen = matrix.agg(F.sum(w * F.col("n")).alias("o"), F.sum("n").alias("total"))
     row = matrix.groupBy("classified").agg(F.sum("n").alias("r"))
     col = matrix.groupBy("reference").agg(F.sum("n").alias("k"))
-    chance = row.crossJoin(F.broadcast(col)).agg(F.sum(w * F.col("r") * F.col("k")).alias("e"))  # classes are few
+    chance = row.crossJoin(col).agg(F.sum(w * F.col("r") * F.col("k")).alias("e"))
     return seen.crossJoin(chance).select((1 - F.try_divide(F.col("o") * F.col("total"), F.col("e"))).alias("kappa"))
 
 
@@ -165,9 +170,11 @@ def niche_similarity(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def environmental_bias(df: DataFrame, value: str, sample: Column) -> DataFrame:
     """Distance of the sample's median from that of all cells, in median absolute deviations."""
-    m = df.agg(F.percentile(value, F.lit(0.5)).alias("_all"), F.percentile(F.when(sample, F.col(value)), F.lit(0.5)).alias("_part"))
-    spread = df.crossJoin(F.broadcast(m)).groupBy("_all", "_part").agg(F.percentile(F.abs(F.col(value) - F.col("_all")), F.lit(0.5)).alias("mad"))  # one row
-    return spread.select(F.col("_all").alias("median_all"), F.col("_part").alias("median_sample"), "mad", F.try_divide(F.abs(F.col("_all") - F.col("_part")), F.col("mad")).alias("bias"))
+    counts = running(df.groupBy(value).agg(F.count(value).alias("_n"), F.count(F.when(sample, F.col(value))).alias("_s")), [], value, ["_n", "_s"])
+    m = counts.agg(*percentile_columns(value, "_n", {"_all": 0.5}), *percentile_columns(value, "_s", {"_part": 0.5}))
+    gaps = counts.crossJoin(F.broadcast(m.select("_all"))).groupBy(F.abs(F.col(value) - F.col("_all")).alias("_gap")).agg(F.sum("_n").alias("_n"))  # one row
+    mad = running(gaps, [], "_gap", ["_n"]).agg(*percentile_columns("_gap", "_n", {"mad": 0.5}))
+    return m.crossJoin(mad).select(F.col("_all").alias("median_all"), F.col("_part").alias("median_sample"), "mad", F.try_divide(F.abs(F.col("_all") - F.col("_part")), F.col("mad")).alias("bias"))  # one row each
 
 
 def shift_information(df: DataFrame, keys: Sequence[str], date: str, cls: str) -> DataFrame:

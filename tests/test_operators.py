@@ -5,6 +5,7 @@ import math
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -396,3 +397,22 @@ def test_points_in_areas(spark):
 
 def test_rounds_for_comparison_are_not_nudged():
     assert catalog.nudged("round(a - b, 9) + round(round(c, 6), 2)") == "round(a - b, 9) + round((round((c) + 1e-09, 6)) + 1e-09, 2)"
+
+
+def test_percentiles_over_several_ranges(spark):
+    rng = np.random.default_rng(5)
+    rows = [(None if k == 3 else int(k), None if rng.random() < 0.1 else float(v)) for k, v in zip(rng.integers(0, 4, 600), rng.integers(-40, 40, 600), strict=True)] + [(9, None)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)  # so that zones do spread over ranges
+    try:
+        df = spark.createDataFrame(rows, "z int, v double")
+        got = {r.z: r for r in zonal.quartiles(df, ["z"], "v", (0, 25, 50, 90, 100)).collect()}
+        boxes = {r.z: r for r in zonal.boxplot(df, ["z"], "v", 0.2).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert set(got) == {None, 0, 1, 2, 9} and set(boxes) == {None, 0, 1, 2}
+    assert list(got[9])[1:] == [None] * 5
+    for z in boxes:
+        v = np.array([b for a, b in rows if a == z and b is not None])
+        assert list(got[z])[1:] == pytest.approx(np.percentile(v, (0, 25, 50, 90, 100)))
+        q1, q3 = np.percentile(v, (25, 75))
+        assert boxes[z].n == len(v) and boxes[z].outliers == ((v < q1 - 0.2 * (q3 - q1)) | (v > q3 + 0.2 * (q3 - q1))).sum()
