@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellweave.functions import fuzzy, indices
-from cellweave.operators import decision, focal, graph, series, surface, tables, temporal, zonal
+from cellweave.operators import decision, focal, graph, series, sites, surface, tables, temporal, zonal
 from cellweave.plans import catalog
 from cellweave.sources import files
 
@@ -416,3 +416,33 @@ def test_percentiles_over_several_ranges(spark):
         assert list(got[z])[1:] == pytest.approx(np.percentile(v, (0, 25, 50, 90, 100)))
         q1, q3 = np.percentile(v, (25, 75))
         assert boxes[z].n == len(v) and boxes[z].outliers == ((v < q1 - 0.2 * (q3 - q1)) | (v > q3 + 0.2 * (q3 - q1))).sum()
+
+
+def test_flood_prone_keeps_large_areas(spark):
+    wet = {(x, y) for x in range(4) for y in range(3)} | {(8, 8)}
+    cells = spark.createDataFrame([(x, y, 1e6 if (x, y) in wet else 0.0, 0.5 if (x, y) in wet else 60.0) for x in range(10) for y in range(10)], "x long, y long, acc double, slope double")
+    got = {(r.x, r.y) for r in sites.flood_prone(cells, "acc", "slope", 300.0, 10).collect()}  # 11 cells are a square kilometre
+    assert got == wet - {(8, 8)}
+
+
+def test_boxes_that_hold_every_point(spark):
+    p = spark.createDataFrame([(1.0, 1.0), (1.0, 1.0), (9.0, 9.0), (None, 2.0)], "x double, y double")
+    b = spark.createDataFrame([("all", 0.0, 10.0, 0.0, 10.0), ("edge", 1.0, 9.0, 1.0, 9.0), ("one", 0.0, 5.0, 0.0, 5.0), ("none", 2.0, 3.0, 2.0, 3.0)], "k string, x1 double, x2 double, y1 double, y2 double")
+    assert rows(sites.boxes_holding(p, b, "k", 4.0, every=True), "k") == [("all", 2), ("edge", 2)]
+    assert rows(sites.boxes_holding(p, b, "k", 4.0, every=False), "k") == [("all", 2), ("edge", 2), ("one", 1)]
+
+
+def test_rules_rain_and_folds(spark):
+    df = spark.createDataFrame([(1, 5.0, 1.0), (2, None, 9.0), (3, 0.0, 0.0)], "k int, a double, b double")
+    rules = [("low", [("a", "<", 6.0), ("b", "<", 2.0)]), ("high", [("b", ">", 8.0)]), ("low", [("a", "=", 0.0)])]
+    assert rows(sites.rule_classes(df, ["k"], rules), "k", "class") == [(1, "low"), (2, "high"), (3, "low")]
+    rain = {r.k: r.rain_20 for r in sites.design_rainfall(df, "k", {20: "a"}, 40.0, "b", 0.5).collect()}
+    assert rain[1] == -1 and rain[2] == -1 and rain[3] == 0
+    assert sites.design_rainfall(df, "k", {20: "a"}, 40.0).where("k = 1").first().rain_20 == pytest.approx(5 * 0.3 * 40**0.197)
+    with pytest.raises(ValueError):
+        sites.design_rainfall(df, "k", {2: "a"}, 1440)
+    many = sites.folds(spark.range(2000), "id", 4)
+    assert sorted(n for _, n in many.groupBy("fold").count().collect())[0] > 400
+    assert many.exceptAll(sites.folds(spark.range(2000).repartition(7), "id", 4)).count() == 0
+    line = sites.regression_residuals(df, ["k"], "a", "b").collect()
+    assert len(line) == 2 and all(abs(r.residual) < 1e-9 for r in line)
