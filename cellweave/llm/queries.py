@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from cellweave.llm.common import shared_path
 from cellweave.llm.exact_dedup import exact_dedup
+from cellweave.llm.filter_audit import filter_audit
 from cellweave.llm.jaccard_join import jaccard_components
 from cellweave.llm.langid import identify_language
 from cellweave.llm.line_dedup import line_dedup
 from cellweave.llm.mixing import mix_sources
+from cellweave.llm.passage_dedup import passage_dedup
 from cellweave.llm.quality import quality_classifier
+from cellweave.llm.resampling import importance_resample
 from cellweave.llm.sentencepiece_codec import encode_documents
 from cellweave.llm.suffix_dedup import substring_dedup
 from cellweave.llm.topk import exact_top_k
@@ -178,3 +181,100 @@ SELECT doc_id, size, source_size, target, ((whole + CASE WHEN rest > 0 AND upto
        (whole + CASE WHEN rest > 0 AND upto - size / 2.0 <= rest THEN 1 ELSE 0 END)::INTEGER AS passes
 FROM c
 """
+
+
+@query
+def op11_importance_resampling(spark, sf_dir):
+    return importance_resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+# DuckDB has no CRC-32; it is folded over the bytes of each distinct feature, its table of 256 entries made by the rule.
+ORACLE_SQL["op11_importance_resampling"] = r"""
+WITH RECURSIVE e AS (
+    SELECT i AS n, i AS c, 0 AS k FROM range(256) t(i)
+    UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM e WHERE k < 8
+), crc AS (SELECT list(c ORDER BY n) AS tab FROM e WHERE k = 8),
+w AS (
+    SELECT 'd' AS side, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+    UNION ALL
+    SELECT 'b', NULL, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
+), f AS (
+    SELECT side, doc_id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS feature FROM w
+), u AS (
+    SELECT side, doc_id, feature, count(*) AS n FROM f GROUP BY ALL
+), h AS (
+    SELECT feature, xor(list_reduce(list_transform(range(0, strlen(feature)), lambda i: ('0x' || substr(hex(feature), 2 * i + 1, 2))::BIGINT),
+        lambda c, b: xor(c >> 8, tab[1 + (xor(c, b) & 255)]), 4294967295), 4294967295) % 10000 AS bucket
+    FROM (SELECT DISTINCT feature FROM u), crc
+), b AS (
+    SELECT i AS bucket, coalesce(sum(n) FILTER (side = 'd'), 0) AS s, coalesce(sum(n) FILTER (side = 'b'), 0) AS t
+    FROM range(10000) r(i) LEFT JOIN (SELECT side, bucket, n FROM u JOIN h USING (feature)) x ON x.bucket = i GROUP BY 1
+), g AS (
+    SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM b
+), d AS (
+    SELECT doc_id, sum(n)::BIGINT AS n_features, floor(sum(n * gain) / sum(n))::BIGINT AS weight FROM u JOIN h USING (feature) JOIN g USING (bucket) WHERE side = 'd' GROUP BY doc_id
+), s AS (
+    SELECT w.doc_id, len(ws) AS words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+           coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || w.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+    FROM w LEFT JOIN d ON d.doc_id = w.doc_id WHERE side = 'd'
+), r AS (
+    SELECT doc_id, n_features, weight, score, words >= 20 AS fit, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) AS k, 25 * count(*) OVER (PARTITION BY words >= 20) // 100 AS drawn FROM s
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND k <= drawn THEN k END AS rank FROM r
+"""
+
+
+@query
+def op12_filter_audit(spark, sf_dir):
+    return filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+ORACLE_SQL["op12_filter_audit"] = r"""
+WITH l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+t AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+           coalesce(doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')), false) AS e
+    FROM documents
+), m AS (
+    SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+           CASE WHEN len(ws) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 'B' ELSE '' END
+           || CASE WHEN 100 * len(regexp_extract_all(text, '[A-Z]')) > 5 * length(text) THEN 'C' ELSE '' END
+           || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN e THEN 'E' ELSE '' END AS fails
+    FROM t LEFT JOIN l USING (doc_id)
+), c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (
+    SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM x a, x b, x c, x d, x e
+    WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS f, left(filter_order, step - 1) AS before FROM o, range(1, 6) r(step)),
+k AS (
+    SELECT part, filter_order, step, f, n, good, toxic, contains(fails, f) AS mine, fails = f AS alone, len(translate(fails, before, '')) < len(fails) AS earlier
+    FROM c, s
+), y AS (
+    SELECT part, filter_order, step, any_value(f) AS f, sum(CASE WHEN NOT mine AND NOT earlier THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN mine AND NOT earlier THEN n ELSE 0 END)::BIGINT AS removed,
+           sum(CASE WHEN mine AND earlier THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN alone THEN n ELSE 0 END)::BIGINT AS unique_fails,
+           sum(CASE WHEN mine AND NOT earlier THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN mine AND NOT earlier THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+    FROM k GROUP BY part, filter_order, step
+)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, f)::BIGINT AS shapley FROM y
+"""
+
+
+@query
+def op13_passage_dedup(spark, sf_dir):
+    return passage_dedup(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL["op13_passage_dedup"] = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 48, 1))) AS pos FROM t),
+g AS (SELECT doc_id, pos, md5(array_to_string(ws[pos:pos + 49], ' ')) AS win FROM p),
+r AS (SELECT doc_id, pos, doc_id > min(doc_id) OVER (PARTITION BY win) AS again FROM g),
+m AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 50)) AS pos FROM r WHERE again),
+w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM t),
+k AS (
+    SELECT doc_id, count(*) AS n_words, count(m.pos) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (m.pos IS NULL) AS kept
+    FROM w LEFT JOIN m USING (doc_id, pos) GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN k USING (doc_id)
+"""
