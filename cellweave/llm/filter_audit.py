@@ -24,11 +24,13 @@ def _steps() -> list[dict]:
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """``id, of, total, distinct``: words of the rows of one id and text, exploded, counted by word and then by document.
+    """``id, of, total, distinct``: words of each id and text, exploded, counted by word and then by document.
 
-    A word's rows of one document are one row per task before they travel, and a long text's words spread over tasks.
+    Texts travel once, to where their words are counted, and rows that repeat id and text become one before; words, which are several times as
+    large with their keys, don't travel.
     """
-    words = texts.select("id", "of", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''")
+    one = texts.groupBy("id", "of").agg(F.first("text").alias("text"))
+    words = one.select("id", "of", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''")
     each = words.groupBy("id", "of", "word").agg(F.count("*").alias("n"))
     return each.groupBy("id", "of").agg(F.sum("n").alias("total"), F.count("*").alias("distinct"))
 
@@ -73,7 +75,6 @@ def filter_audit(
         "id", "of", "part", F.sha2("text", 256).alias("sha"), (100 * capitals.cast("long") > max_capitals * F.length("text").cast("long")).alias("c"), F.col("text").rlike(marks).alias("d")
     ).groupBy("id", "of", "part", "sha", "c", "d").agg(F.count("*").alias("rows"))
     flags = materialize(flags, "flags")
-    copies = flags.groupBy(F.col("id").alias("id2"), F.col("of").alias("of2")).agg(F.sum("rows").alias("copies")).where("copies > 1")
     first = materialize(flags.groupBy("sha").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("sha", "first"), "first")
     first_flags = flags.join(first.hint("merge"), "sha", "left").withColumn("e", F.coalesce(F.col("id") > F.col("first"), F.lit(False))).drop("sha", "first")
 
@@ -81,10 +82,10 @@ def filter_audit(
     label = label.where("label_id is not null").groupBy("label_id").agg(F.max("good").alias("good"), F.max("toxic").alias("toxic"))
     same = F.col("id").eqNullSafe(F.col("id2")) & (F.col("of") == F.col("of2"))
     words = words.withColumnsRenamed({"id": "id2", "of": "of2"})
-    joined = first_flags.join(words.hint("merge"), same, "left").drop("id2", "of2").join(copies.hint("merge"), same, "left")
+    joined = first_flags.join(words.hint("merge"), same, "left")
     joined = joined.join(label.hint("merge"), F.col("id") == F.col("label_id"), "left")
 
-    total = F.coalesce("total", F.lit(0)) / F.coalesce("copies", F.lit(1))  # all copies' words are in the sum
+    total = F.coalesce("total", F.lit(0))
     fails = {"A": total < min_words, "B": 100 * F.coalesce("distinct", F.lit(0)) < min_distinct * total, "C": F.col("c"), "D": F.col("d"), "E": F.col("e")}
     mask = sum((F.when(fails[c], BITS[c]).otherwise(0) for c in LETTERS), F.lit(0))
     kinds = {"n": F.lit(True), "good": F.coalesce("good", F.lit(False)), "toxic": F.coalesce("toxic", F.lit(False))}
