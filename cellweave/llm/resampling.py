@@ -46,12 +46,12 @@ def _cut(longest: int):
     return cut
 
 
-def _chunks(texts: DataFrame, longest: int) -> DataFrame:
-    """``doc_id, of, chunk, text, owned``: short texts as they are (chunk and owned null), long ones cut and dealt out, so that one text may fill many tasks."""
+def _chunks(texts: DataFrame, longest: int) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, of, chunk, text, owned``: short texts as they are (chunk and owned null), and long ones cut and dealt out, so that one text may fill many tasks."""
     long = F.octet_length("text") > LONG_BYTES
     kinds = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, of long, chunk int, text binary, owned int"
     cut = materialize(texts.where(long).mapInArrow(_cut(longest), kinds).repartition("doc_id", "of", "chunk"), "chunks")
-    return texts.where(~long).select("doc_id", "of", F.lit(None).cast("int").alias("chunk"), "text", F.lit(None).cast("int").alias("owned")).unionByName(cut)
+    return texts.where(~long).select("doc_id", "of", F.lit(None).cast("int").alias("chunk"), "text", F.lit(None).cast("int").alias("owned")), cut
 
 
 def _histogram(chunks: DataFrame, longest: int, buckets: int) -> np.ndarray:
@@ -128,17 +128,16 @@ def importance_resample(
     Returns ``doc_id, n_features, weight, score, rank, n_words``; ``rank`` is null where not drawn.
     """
     text = F.coalesce(docs[f"`{text_col}`"], F.lit(""))
-    chunks = _chunks(docs.select(docs[f"`{id_col}`"].alias("doc_id"), F.xxhash64(text).alias("of"), text.cast("binary").alias("text")), longest)
+    short, cut = _chunks(docs.select(docs[f"`{id_col}`"].alias("doc_id"), F.xxhash64(text).alias("of"), text.cast("binary").alias("text")), longest)
     wanted = F.coalesce(target[f"`{target_col}`"], F.lit(""))
     aims = _chunks(target.select(F.lit(0).alias("doc_id"), F.xxhash64(wanted).alias("of"), wanted.cast("binary").alias("text")), longest)
-    gain = gains(_histogram(chunks, longest, buckets), _histogram(aims, longest, buckets))
+    gain = gains(_histogram(short.unionByName(cut), longest, buckets), _histogram(aims[0].unionByName(aims[1]), longest, buckets))
 
-    weighed = _weighed(chunks, gain, longest)
     sums = ["n_words", "n_features", "gain"]
-    each = weighed.where("chunk is not null").groupBy("doc_id", "of", "chunk").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in sums])  # rows that repeat id and text
+    each = _weighed(cut, gain, longest).groupBy("doc_id", "of", "chunk").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in sums])  # rows that repeat id and text
     long = each.groupBy("doc_id", "of").agg(F.max("copies").cast("int").alias("copies"), *[F.sum(c).alias(c) for c in sums])
     long = long.select("doc_id", *sums, F.explode(F.sequence(F.lit(1), "copies"))).drop("col")
-    whole = weighed.where("chunk is null").select("doc_id", *sums).unionByName(long)
+    whole = _weighed(short, gain, longest).select("doc_id", *sums).unionByName(long)
     n, total = F.col("n_features"), F.col("gain")
     weight = F.when(n > 0, ((total - F.pmod(total, n)) / n).cast("long")).otherwise(F.lit(0).cast("long"))
     scored = whole.select("doc_id", "n_features", weight.alias("weight"), (weight + _noise(F.col("doc_id"), seed)).alias("score"), "n_words")
