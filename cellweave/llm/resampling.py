@@ -17,7 +17,7 @@ from cellweave.llm.common import materialize
 #: A word, in UTF-8: ASCII digits and small letters, and every byte beyond ASCII.
 FEATURE_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Texts of more bytes are cut into chunks that own so many starting positions each.
-LONG_BYTES, CHUNK_WORDS = 1 << 17, 8192
+LONG_BYTES, CHUNK_WORDS = 1 << 15, 4096
 
 
 def _hashes(words: list[bytes], owned: int, longest: int) -> np.ndarray:
