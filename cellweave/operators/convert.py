@@ -77,7 +77,7 @@ def voxels(points: DataFrame, grid: DataFrame, value: str) -> DataFrame:
     return at.join(g, ["_x", "_y", "_z"], "left").drop("_x", "_y", "_z")
 
 
-def colour(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+def colour(edges: DataFrame) -> DataFrame:
     """Numbers from 1 for the nodes of ``a, b`` so that neighbours differ, by independent sets.
 
     In each round the nodes whose hash is the least among their uncoloured neighbours take the smallest number that no
@@ -86,9 +86,7 @@ def colour(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     both = materialize(edges.where("a <> b").select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.*").distinct(), "colour")
     done = None
     left = materialize(both.select("u").distinct(), "colour")
-    for _ in range(rounds):
-        if not left.take(1):
-            return done.select(F.col("u").alias("node"), "colour")
+    while left.take(1):
         place = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("n"))
         open_ = both.join(left, "u", "left_semi").join(left.select(F.col("u").alias("v")), "v", "left_semi")
         beaten = open_.where(place("v") < place("u")).select("u").distinct()
@@ -102,7 +100,7 @@ def colour(edges: DataFrame, rounds: int = 1000) -> DataFrame:
         new = materialize(new, "colour")
         done = new if done is None else done.unionByName(new)
         left = materialize(left.join(new.select("u"), "u", "left_anti"), "colour")
-    raise ValueError("more rounds are needed")
+    return left.select(F.col("u").alias("node"), F.lit(1).alias("colour")) if done is None else done.select(F.col("u").alias("node"), "colour")
 
 
 def first_valid(df: DataFrame, columns: Sequence[str]) -> Column:

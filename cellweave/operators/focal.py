@@ -110,22 +110,6 @@ def forest_fragmentation(cells: DataFrame, forest: str, size: int = 3) -> DataFr
     return out.select("x", "y", "pf", "pff", cls.alias("class"))
 
 
-def inverse_distance(cells: DataFrame, points: DataFrame, value: str, k: int, radius: int) -> DataFrame:
-    """Each cell's mean of the ``k`` nearest points within ``radius`` cells, weighted by inverse squared distance; a point on the cell is its value.
-
-    Points are dealt to squares of that size and each cell looks into nine of them, so no cell meets all points.
-    """
-    square = lambda c: F.floor(F.col(c) / radius)
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in offsets(1)]))
-    dealt = points.select(F.col("x").alias("px"), F.col("y").alias("py"), F.col(value).alias("_v"), around.alias("m")).select("px", "py", "_v", (square("px") + F.col("m.i")).alias("sx"), (square("py") + F.col("m.j")).alias("sy"))
-    d2 = F.pow((F.col("x") - F.col("px")).cast("double"), 2) + F.pow((F.col("y") - F.col("py")).cast("double"), 2)
-    met = cells.select("x", "y", square("x").alias("sx"), square("y").alias("sy")).join(dealt, ["sx", "sy"]).withColumn("_d2", d2).where(F.col("_d2") <= radius * radius)
-    near = met.withColumn("_k", F.row_number().over(Window.partitionBy("x", "y").orderBy("_d2", "px", "py", "_v"))).where(F.col("_k") <= k)
-    hit = F.max_by("_v", F.when(F.col("_d2") == 0, -F.col("_k")))
-    weight = F.when(F.col("_d2") > 0, 1 / F.when(F.col("_d2") > 0, F.col("_d2")))
-    return near.groupBy("x", "y").agg(F.when(F.min("_d2") == 0, hit).otherwise(F.sum(F.col("_v") * weight) / F.sum(weight)).alias(value))
-
-
 def flip(cells: DataFrame, width: int, height: int, horizontal: bool = True, vertical: bool = False) -> DataFrame:
     """The mirrored grid."""
     x: Column = F.lit(width - 1) - F.col("x") if horizontal else F.col("x")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.operators.focal import neighbours
+from cellweave.operators.nearest import k_nearest
 from cellweave.sources.shared import discard, materialize
 
 ROWS_PER_TASK, LEAST_TASKS = 100_000, 8
@@ -86,43 +87,15 @@ def _places(points: DataFrame, key: str) -> DataFrame:
     return p.where(F.col(key).isNotNull() & finite("x") & finite("y"))
 
 
-def _nearest_within(some: DataFrame, points: DataFrame, key: str, radius: float) -> DataFrame:
-    """The nearest other point of each of ``some`` that has one within ``radius``, by squares of that size."""
-    square = lambda c: F.floor(F.col(c) / radius).cast("long")
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    p = some.select(F.col(key).alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), around.alias("m")).select("a", "ax", "ay", (square("ax") + F.col("m.i")).alias("sx"), (square("ay") + F.col("m.j")).alias("sy"))
-    q = points.select(F.col(key).alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), square("x").alias("sx"), square("y").alias("sy"))
-    d = F.sqrt(F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2))
-    met = p.join(q, ["sx", "sy"]).where("a <> b").withColumn("d", d).where(F.col("d") <= radius)
-    return met.groupBy(F.col("a").alias(key)).agg(F.min(F.struct("d", "b")).alias("m")).select(key, F.col("m.b").alias("nearest"), F.col("m.d").alias("distance"))
-
-
-def nearest_neighbours(points: DataFrame, key: str, radius: float) -> DataFrame:
-    """Each point's nearest other point (ties to the smallest key), by squares of ``radius`` at first.
-
-    Points that have none within the radius are searched again with one twice as large, until none is left or the radius
-    spans all points. Points without finite coordinates take no part.
-    """
-    every = materialize(_places(points, key), "points")
-    span = every.agg((F.max("x") - F.min("x") + F.max("y") - F.min("y")).alias("s")).first()["s"] or 0.0
-    left, out = every, None
-    while True:
-        got = materialize(_nearest_within(left, every, key, radius), "nearest")
-        out = got if out is None else out.unionByName(got)
-        if radius > span:
-            return out
-        left = materialize(left.join(got, key, "left_anti"), "left")
-        if not left.take(1):
-            return out
-        radius *= 2
+def nearest_neighbours(points: DataFrame, key: str) -> DataFrame:
+    """Each point's nearest other point (ties to the smallest key), however far; points without finite coordinates take no part."""
+    p = _places(points, key)
+    return k_nearest(p, p.withColumnRenamed(key, "nearest"), 1, [key], "nearest", other=True).select(key, "nearest", "distance")
 
 
-def clark_evans(points: DataFrame, key: str, radius: float, area: float) -> DataFrame:
-    """Mean nearest-neighbour distance against the one expected of random points, and its standard score, over all points.
-
-    ``radius`` is where the search for neighbours begins.
-    """
-    nn = _places(points, key).select(key).distinct().join(nearest_neighbours(points, key, radius), key, "left")
+def clark_evans(points: DataFrame, key: str, area: float) -> DataFrame:
+    """Mean nearest-neighbour distance against the one expected of random points, and its standard score, over all points."""
+    nn = _places(points, key).select(key).distinct().join(nearest_neighbours(points, key), key, "left")
     n = F.count(F.lit(1))
     expected = F.try_divide(F.lit(0.5), F.sqrt(n / area))
     error = F.sqrt(F.try_divide(4 - F.pi(), 4 * F.pi() * n * n / area))
@@ -261,22 +234,22 @@ def proximity_index(clumped: DataFrame, most: int, least: float = 0.0) -> DataFr
     return area.join(part, "clump", "left").select("clump", "area", F.coalesce("proximity", F.lit(0.0)).alias("proximity"), "nearest", F.coalesce("neighbours", F.lit(0)).alias("neighbours"))
 
 
-def cost_distance(cells: DataFrame, cost: str, sources: DataFrame, rounds: int = 10_000) -> DataFrame:
+def cost_distance(cells: DataFrame, cost: str, sources: DataFrame) -> DataFrame:
     """Least cumulative cost from the sources over 8 neighbours; a step costs the mean of both cells times its length.
 
-    Only cells whose cost fell in a round send to their neighbours in the next; cells without a cost can't be crossed.
+    Only cells whose cost fell in a round send to their neighbours in the next, as many rounds as it takes; each round's table replaces the last one's. Cells without a
+    cost can't be crossed.
     """
     moves = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
     ground = materialize(cells.where(F.col(cost).isNotNull()).select("x", "y", F.col(cost).cast("double").alias("c")), "cost")
     now = materialize(ground.join(sources.select("x", "y").distinct(), ["x", "y"], "left_semi").withColumns({"d": F.lit(0.0), "hot": F.lit(True)}), "cost")
     deal = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit((i * i + j * j) ** 0.5).alias("l")) for i, j in moves]))
-    for _ in range(rounds):
-        if not now.where("hot").take(1):
-            return now.select("x", "y", "d")
+    while now.where("hot").take(1):
         sent = now.where("hot").select("x", "y", F.col("c").alias("_c"), F.col("d").alias("_d"), deal.alias("m")).select((F.col("x") + F.col("m.i")).alias("x"), (F.col("y") + F.col("m.j")).alias("y"), "_c", "_d", F.col("m.l").alias("l"))
         got = sent.join(ground, ["x", "y"]).groupBy("x", "y").agg(F.max("c").alias("c"), F.min(F.col("_d") + F.col("l") * (F.col("_c") + F.col("c")) / 2).alias("_new"))
         old = now.select("x", "y", F.col("c").alias("_oc"), "d")
         both = old.join(got, ["x", "y"], "full")
         fell = F.col("_new").isNotNull() & (F.col("d").isNull() | (F.col("_new") < F.col("d") - 1e-12))
-        now = materialize(both.select("x", "y", F.coalesce("_oc", "c").alias("c"), F.when(fell, F.col("_new")).otherwise(F.col("d")).alias("d"), fell.alias("hot")), "cost")
-    raise ValueError("more rounds are needed")
+        last, now = now, materialize(both.select("x", "y", F.coalesce("_oc", "c").alias("c"), F.when(fell, F.col("_new")).otherwise(F.col("d")).alias("d"), fell.alias("hot")), "cost")
+        discard(last)
+    return now.select("x", "y", "d")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.sources.shared import materialize
@@ -34,6 +34,15 @@ def running(values: DataFrame, keys: Sequence[str], value: str, sums: Sequence[s
     return inside.join(heads, same).select(*values.columns, *before, *[f"_t_{c}" for c in sums])
 
 
+def ranked(rows: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """``rows`` with their place in ``order``, from 1: dealt to ranges, written, numbered within a range and raised by the sizes of the ranges before it."""
+    dealt = materialize(rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranges")
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # as many rows as ranges
+    heads = dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).select("_p", before.alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return dealt.withColumn("_i", inside).join(heads, "_p").select(*rows.columns, (F.col("_before") + F.col("_i")).alias(name))
+
+
 def percentile_columns(value: str, n: str, shares: Mapping[str, float]) -> list:
     """Aggregates over rows of ``running`` that give the interpolated percentile at each share of the ``n`` values."""
     v, start, end = F.col(value), F.col(f"_b_{n}"), F.col(f"_b_{n}") + F.col(n)

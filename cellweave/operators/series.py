@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,22 +95,70 @@ def reference_quantile(v: Column, references: Column) -> Column:
     )
 
 
-def theil_sen(df: DataFrame, keys: Sequence[str], t: str, v: str, max_length: int = 2000) -> DataFrame:
-    """Median slope (the upper one) and the Mann-Kendall sum of each key's series.
+#: Series of up to so many values have all their slopes in memory at once; longer ones are passed over in blocks of as many slopes.
+SLOPES_AT_ONCE = 2_000_000
 
-    Pairs of a series are formed inside its row, so the shuffle carries each value once; a series longer than
-    ``max_length`` is an error, as its pairs grow with the square.
+
+def _slopes(t: np.ndarray, v: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """Slopes of all pairs of different times, later less earlier, in blocks, with the sum of the signs of their rises. Pairs of one time have no slope, but a sign."""
+    n = len(t)
+    step = max(1, SLOPES_AT_ONCE // max(n, 1))
+    for at in range(0, n, step):
+        rows = slice(at, min(at + step, n))
+        dt, dv = t[None, at:] - t[rows, None], v[None, at:] - v[rows, None]
+        later = np.arange(at, n)[None, :] > np.arange(n)[rows, None]
+        some = later & (dt != 0)
+        yield dv[some] / dt[some], int(np.sign(dv[later]).sum())
+
+
+def middle_slope(t: np.ndarray, v: np.ndarray) -> tuple[float | None, int]:
+    """The median slope (the upper one of two) and the Mann-Kendall sum of a series in the order of time.
+
+    The bits of a double, turned so that they sort as it does, are narrowed down 16 at a time by histograms of all slopes, so a long series takes time
+    with the square of its length, as its slopes do, but memory in proportion to it.
     """
-    grouped = df.where(F.col(t).isNotNull() & F.col(v).isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(t).cast("double").alias("t"), F.col(v).cast("double").alias("v")))).alias("s"))
-    grouped = grouped.withColumn("s", F.when(F.size("s") <= max_length, F.col("s")).otherwise(F.raise_error(F.lit(f"a series has more than {max_length} values"))))
-    each = F.flatten(F.transform("s", lambda a, i: F.transform(F.filter("s", lambda b, j: j > i), lambda b: F.struct(F.try_divide(b["v"] - a["v"], b["t"] - a["t"]).alias("m"), F.signum(b["v"] - a["v"]).alias("k")))))
-    slopes = F.sort_array(F.filter(F.transform("p", lambda p: p["m"]), lambda m: m.isNotNull()))
-    return grouped.withColumn("p", each).select(
-        *keys,
-        F.size("s").alias("n"),
-        F.try_element_at(slopes, F.floor(F.size(slopes) / 2).cast("int") + 1).alias("slope"),
-        F.aggregate("p", F.lit(0.0), lambda s, p: s + p["k"]).cast("long").alias("mann_kendall"),
-    )
+    if len(t) * (len(t) - 1) // 2 <= SLOPES_AT_ONCE:
+        parts = list(_slopes(t, v))
+        slopes, kendall = np.concatenate([np.zeros(0), *[s for s, _ in parts]]), sum(k for _, k in parts)
+        return (float(np.partition(slopes, len(slopes) // 2)[len(slopes) // 2]) if len(slopes) else None), kendall
+    prefix, rank = np.uint64(0), None
+    for level in range(4):
+        shift = np.uint64(48 - 16 * level)
+        counts, kendall = np.zeros(1 << 16, np.int64), 0
+        for s, k in _slopes(t, v):
+            bits = (s + 0.0).view(np.int64)
+            keys = np.where(bits < 0, ~bits, bits | np.int64(-(2**63))).view(np.uint64)
+            if level:
+                keys = keys[keys >> (shift + np.uint64(16)) == prefix]
+            counts += np.bincount((keys >> shift & np.uint64(0xFFFF)).astype(np.int64), minlength=1 << 16)
+            kendall += k
+        if rank is None:
+            if not counts.sum():
+                return None, kendall
+            rank = int(counts.sum()) // 2
+        ends = np.cumsum(counts)
+        at = int(np.searchsorted(ends, rank, "right"))
+        rank -= int(ends[at] - counts[at])
+        prefix = prefix << np.uint64(16) | np.uint64(at)
+    bits = prefix.view(np.int64)
+    return float((bits ^ np.int64(-(2**63)) if bits < 0 else ~bits).view(np.float64)), kendall
+
+
+def theil_sen(df: DataFrame, keys: Sequence[str], t: str, v: str) -> DataFrame:
+    """Median slope (the upper one) and the Mann-Kendall sum of each key's series, of any length; null slope with fewer than two times.
+
+    A series' values travel once, to one task, which passes over the slopes of its pairs in blocks (``middle_slope``); no pair becomes a row.
+    """
+    rows = df.where(F.col(t).isNotNull() & F.col(v).isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(t).cast("double").alias("t"), F.col(v).cast("double").alias("v")))).alias("s"))
+    rows = rows.select(F.struct(*keys).alias("k"), F.transform("s", lambda x: x["t"]).alias("t"), F.transform("s", lambda x: x["v"]).alias("v"))
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [middle_slope(a.values.to_numpy(), b.values.to_numpy()) for a, b in zip(batch.column(1), batch.column(2), strict=True)]
+            n = np.diff(batch.column(1).offsets.to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array([m for m, _ in found], pa.float64()), pa.array([k for _, k in found], pa.int64())], ["k", "n", "slope", "mann_kendall"])
+
+    return rows.mapInArrow(fit, f"k {rows.schema['k'].dataType.simpleString()}, n int, slope double, mann_kendall long").select("k.*", "n", "slope", "mann_kendall")
 
 
 def newest(df: DataFrame, keys: Sequence[str], t: str, v: str, oldest: bool = False) -> DataFrame:

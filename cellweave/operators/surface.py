@@ -151,8 +151,8 @@ def overlapping_boxes(areas: DataFrame, key: str, ring: str, side: float) -> Dat
 
 
 def attributes_to_cells(zones: DataFrame, attributes: DataFrame, key: str, columns: Sequence[str], digits: int = 0) -> DataFrame:
-    """A whole-number column for each numeric attribute, scaled by ten to the ``digits``, at the cells of each key."""
-    scaled = attributes.select(key, *[F.round(F.col(c) * 10**digits).cast("long").alias(c) for c in columns])
+    """A whole-number column for each numeric attribute, scaled by ten to the ``digits`` in decimals (4564.275 becomes 456428, not 456427.5 less a bit of binary), at the cells of each key."""
+    scaled = attributes.select(key, *[F.round(F.col(c).cast("decimal(38,10)") * 10**digits).cast("long").alias(c) for c in columns])
     return zones.select("x", "y", key).join(scaled, key, "left").select("x", "y", key, *columns)
 
 

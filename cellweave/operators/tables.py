@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellweave.operators.ordered import ranked
 
 def lookup_join(left: DataFrame, right: DataFrame, on: str, right_on: str, columns: Sequence[str], order: str | None = None) -> DataFrame:
     """Adds ``columns`` of ``right``; rows without a match get nulls, of several matches the first by ``order`` (or by all columns) counts."""
@@ -49,11 +50,11 @@ def recode(value: Column, rules: Sequence[tuple[float, float, float]], default:
 
 
 def sort_points(df: DataFrame, column: str, key: str, ascending: bool = False) -> DataFrame:
-    """Rank by a numeric column, highest first unless ``ascending``; nulls last, ties by ``key``."""
+    """All rows with their ``place`` by a numeric column, highest first unless ``ascending``; nulls last, ties by ``key``. Rows are ranked in ranges, not in one task."""
     if df.schema[column].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint", "float", "double") and not df.schema[column].dataType.simpleString().startswith("decimal"):
         raise ValueError(f"{column} is not numeric")
     order = F.col(column).asc_nulls_last() if ascending else F.col(column).desc_nulls_last()
-    return df.orderBy(order, key)
+    return ranked(df, [order, F.col(key)], "place")
 
 
 def stratified_sample(df: DataFrame, category: str, n: Mapping[object, int] | int, key: str, seed: int = 0) -> DataFrame:

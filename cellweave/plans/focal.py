@@ -107,16 +107,3 @@ def terrain_position(spark, sf_dir):
 def forest_fragmentation(spark, sf_dir):
     forest = _cells(spark, sf_dir).select("x", "y", (F.col("value") > 24).alias("forest"))
     return rounded(focal.forest_fragmentation(forest, "forest", 3))
-
-
-@register(
-    views.sql("""
-    WITH p AS (SELECT x, y, value AS v FROM cells WHERE (x * 7 + y * 13) % 11 = 0),
-    d AS (SELECT c.x, c.y, p.v, (c.x - p.x)^2 + (c.y - p.y)^2 AS d2, row_number() OVER (PARTITION BY c.x, c.y ORDER BY (c.x - p.x)^2 + (c.y - p.y)^2, p.x, p.y, p.v) AS k
-          FROM cells c JOIN p ON (c.x - p.x)^2 + (c.y - p.y)^2 <= 64)
-    SELECT x, y, round(CASE WHEN min(d2) = 0 THEN max(v) FILTER (d2 = 0) ELSE sum(v / nullif(d2, 0)) / sum(1 / nullif(d2, 0)) END, 6) AS value FROM d WHERE k <= 6 GROUP BY x, y
-    """)
-)
-def inverse_distance(spark, sf_dir):
-    c = _cells(spark, sf_dir)
-    return rounded(focal.inverse_distance(c, c.where("(x * 7 + y * 13) % 11 = 0"), "value", 6, 8))

@@ -57,22 +57,22 @@ def _points(spark, sf_dir):
 @register(
     f"""
     WITH p AS ({_POINTS}), d AS (SELECT a.vec_id, b.vec_id AS nearest, sqrt((a.x - b.x)^2 + (a.y - b.y)^2) AS distance FROM p a JOIN p b ON a.vec_id <> b.vec_id)
-    SELECT vec_id, nearest, round(distance, 9) AS distance FROM d WHERE distance <= 0.25 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d.distance, nearest) = 1
+    SELECT vec_id, nearest, round(distance, 9) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d.distance, nearest) = 1
     """
 )
 def nearest_neighbours(spark, sf_dir):
-    return rounded(graph.nearest_neighbours(_points(spark, sf_dir), "vec_id", 0.25), 9)
+    return rounded(graph.nearest_neighbours(_points(spark, sf_dir), "vec_id"), 9)
 
 
 @register(
     f"""
-    WITH p AS ({_POINTS}), d AS (SELECT a.vec_id, min(sqrt((a.x - b.x)^2 + (a.y - b.y)^2)) AS d FROM p a JOIN p b ON a.vec_id <> b.vec_id GROUP BY 1), n AS (SELECT count(*) AS n, avg(d) AS o FROM d WHERE d <= 0.25),
+    WITH p AS ({_POINTS}), d AS (SELECT a.vec_id, min(sqrt((a.x - b.x)^2 + (a.y - b.y)^2)) AS d FROM p a JOIN p b ON a.vec_id <> b.vec_id GROUP BY 1), n AS (SELECT count(*) AS n, avg(d) AS o FROM d),
     e AS (SELECT n, o, 0.5 / sqrt(n / 1.0) AS e, sqrt((4 - pi()) / (4 * pi() * n * n)) AS s FROM n)
     SELECT n, round(o, 6) AS observed, round(e, 6) AS expected, round(o / e, 6) AS ratio, round((o - e) / s, 4) AS score FROM e
     """
 )
 def clark_evans(spark, sf_dir):
-    return rounded(graph.clark_evans(_points(spark, sf_dir), "vec_id", 0.25, 1.0).withColumn("score", F.round(F.col("score") + 1e-9, 4)))
+    return rounded(graph.clark_evans(_points(spark, sf_dir), "vec_id", 1.0).withColumn("score", F.round(F.col("score") + 1e-9, 4)))
 
 
 def _tree(spark, sf_dir):

@@ -99,11 +99,19 @@ def test_seasons(spark):
     assert rows(series.islands(s, ["k"], "t", "v", 1, max_gap=1), "start") == [(1, 2, 7, 3)]
 
 
-def test_theil_sen_refuses_long_series(spark):
-    s = spark.createDataFrame([(1, t, float(t)) for t in range(5)], "k int, t int, v double")
-    assert rows(series.theil_sen(s, ["k"], "t", "v"), "k") == [(1, 5, 1.0, 10)]
-    with pytest.raises(Exception, match="more than 3"):
-        series.theil_sen(s, ["k"], "t", "v", 3).collect()
+def test_theil_sen_of_series_of_any_length(spark, monkeypatch):
+    s = spark.createDataFrame([(1, t, float(t)) for t in range(5)] + [(2, 7, 1.0), (3, 1, 4.0), (3, 1, 2.0), (4, 2, None)], "k int, t int, v double")
+    assert rows(series.theil_sen(s, ["k"], "t", "v"), "k") == [(1, 5, 1.0, 10), (2, 1, None, 0), (3, 2, None, 1)]
+    assert series.theil_sen(s.limit(0), ["k"], "t", "v").count() == 0
+    rng = np.random.default_rng(3)
+    for n in (2, 3, 40, 61):
+        t, v = np.sort(rng.integers(0, 50, n)).astype(float), rng.integers(-9, 9, n) * 0.37
+        slopes = sorted((v[j] - v[i]) / (t[j] - t[i]) for i in range(n) for j in range(i + 1, n) if t[i] != t[j])
+        want = slopes[len(slopes) // 2] if slopes else None, sum(int(np.sign(v[j] - v[i])) for i in range(n) for j in range(i + 1, n))
+        assert series.middle_slope(t, v) == want
+        with monkeypatch.context() as m:  # histograms instead of all slopes at once
+            m.setattr(series, "SLOPES_AT_ONCE", 7)
+            assert series.middle_slope(t, v) == want
 
 
 def test_instants_fall_into_half_open_intervals(spark):
@@ -325,13 +333,13 @@ def test_isolated_points_have_neighbours(spark):
     at = [(1, 0.0, 0.0), (2, 0.1, 0.0), (3, 5.0, 0.0), (4, 5.0, 40.0), (5, -300.0, 0.0)]
     p = spark.createDataFrame([*at, (6, None, 1.0), (7, 1.0, float("nan"))], "k long, x double, y double")
     want = {k: min((math.hypot(x - u, y - v), j) for j, u, v in at if j != k) for k, x, y in at}
-    got = {r.k: (r.distance, r.nearest) for r in graph.nearest_neighbours(p, "k", 0.25).collect()}
+    got = {r.k: (r.distance, r.nearest) for r in graph.nearest_neighbours(p, "k").collect()}
     assert got == {k: (pytest.approx(d), j) for k, (d, j) in want.items()}
-    (r,) = graph.clark_evans(p, "k", 0.25, 100.0).collect()
+    (r,) = graph.clark_evans(p, "k", 100.0).collect()
     assert (r.n, r.observed) == (5, pytest.approx(sum(d for d, _ in want.values()) / 5))
     assert r.ratio == pytest.approx(r.observed / (0.5 / math.sqrt(5 / 100)))
-    assert graph.nearest_neighbours(p.where("k = 1"), "k", 0.25).count() == 0
-    assert graph.clark_evans(p.where("k = 1"), "k", 0.25, 100.0).first().n == 1
+    assert graph.nearest_neighbours(p.where("k = 1"), "k").count() == 0
+    assert graph.clark_evans(p.where("k = 1"), "k", 100.0).first().n == 1
 
 
 def test_columns_come_from_the_data(spark):
