@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.llm.common import materialize, unused
@@ -22,17 +22,25 @@ def columns_of(docs: DataFrame) -> list[str]:
     return [f"`{c}`" for c in docs.columns]
 
 
+def aside(docs: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with every column but those that a stage uses under a name that no operator knows, and the columns as they were."""
+    names = {c: c if c in used else f"_column_{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), [F.col(n).alias(c) for c, n in names.items()]
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier rejects go."""
-    scored = quality_classifier(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored.where("quality_keep").select(*columns_of(docs))
+    """Documents that the co-trained classifier rejects go; other columns keep their values, also those named as the classifier's."""
+    renamed, back = aside(docs, "doc_id", "text", "lang", "source", "n_chars")
+    scored = quality_classifier(renamed, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.where("quality_keep").select(*back)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated runs of lines go from the texts; ``n_chars`` follows. Every document stays, if with an empty text."""
-    cut = line_dedup(docs)
+    """Later repeated runs of lines go from the texts; ``n_chars`` follows. Every document stays, if with an empty text; other columns keep their values, whatever their names."""
+    renamed, back = aside(docs, "doc_id", "text", "n_chars")
+    cut = line_dedup(renamed)
     n_chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return cut.select(*[n_chars.alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    return cut.select(*[n_chars.alias("n_chars") if c == "n_chars" else b for c, b in zip(docs.columns, back, strict=True)])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
