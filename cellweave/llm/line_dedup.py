@@ -69,7 +69,7 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     Counts and first positions are partial aggregates before they travel, so a run in a third of all documents is one
     row per task; joins on hot keys are between written tables, which adaptive execution splits. The texts are read twice
     and shuffled once. Null and empty texts stay as they are; rows that repeat both id and text are one document, whose
-    copies get the same result; null ids count as smallest; an empty table gives no rows. All columns stay, whatever their names.
+    copies get the same result; ids must be whole numbers, null ones count as smallest; an empty table gives no rows. All columns stay, whatever their names.
 
     Returns the columns of ``docs`` with the new text, then ``n_lines`` and ``n_removed``. Columns of these names are replaced.
     """

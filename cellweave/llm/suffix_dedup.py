@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import materialize
+from cellweave.llm.common import discard, materialize
 
 #: A suffix is sampled where a gram of so many bytes is the smallest in some window; frequent ones are sampled again by the longer gram.
 GRAM, LONG_GRAM = 32, 96
@@ -401,18 +401,21 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     once. Texts travel twice: once to find the stretches at repeated anchors, which alone are sorted, once to be cut.
 
     Null and empty texts have no bytes; texts shorter than the window stay whole; texts are hashed in pieces, so very
-    long ones need no more memory than their bytes and figures; rows of one id and text are one document; null ids count as
-    smallest; an empty table gives no rows. Other columns are ignored.
+    long ones need no more memory than their bytes and figures; rows of one id and text are one document; ids must be whole numbers, null
+    ones count as smallest; an empty table gives no rows. Other columns are ignored, whatever their names.
 
     Returns ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``.
     """
     spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), text.alias("text"))
+    text, id_ = F.coalesce(docs[f"`{text_col}`"], F.lit("")).cast("binary"), docs[f"`{id_col}`"]
+    own = docs.select(id_.alias("doc_id"), F.coalesce(id_.cast("long"), F.lit(-(2**63))).alias("id"), text.alias("text"))
     own = own.withColumns({"sha": F.sha2("text", 256), "n_bytes": F.octet_length("text").cast("long")}).withColumn("of", F.xxhash64("sha"))
     table = materialize(own.drop("text"), "texts")
     copies = table.groupBy("sha", "n_bytes").agg(F.min("id").alias("first"))
-    whose = materialize(table.join(materialize(copies, "copies"), ["sha", "n_bytes"]), "firsts")
+    copies = materialize(copies, "copies")
+    whose = materialize(table.join(copies, ["sha", "n_bytes"]), "firsts")
+    for done in (table, copies):
+        discard(done)
     firsts = whose.where((F.col("id") == F.col("first")) & (F.col("n_bytes") >= window)).select("id", "of").distinct()
 
     def sampler(gram: int):
@@ -447,15 +450,21 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                     columns = [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(level, pa.int32()), pa.array(start, pa.int64()), pa.array(raw, pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, ["id", "of", "level", "start", "bytes"])
 
-    listed_texts = own.select("id", "of", "text").join(materialize(listed, "listed").hint("merge"), ["id", "of"]).dropDuplicates(["id", "of"])
+    listed = materialize(listed, "listed")
+    for done in (anchors, counts):
+        discard(done)
+    listed_texts = own.select("id", "of", "text").join(listed.hint("merge"), ["id", "of"]).dropDuplicates(["id", "of"])
     parts = materialize(listed_texts.select("id", "of", "text", "shared", "frequent").mapInArrow(stretch, "id long, of long, level int, start long, bytes binary"), "stretches")
 
+    discard(listed)
     again = materialize(parts.where("level = 2").select("id", "of", "bytes").mapInArrow(sampler(LONG_GRAM), "id long, of long, anchors array<long>"), "anchors")
     each = again.select("id", "of", F.explode("anchors").alias("anchor"))
     counts = materialize(each.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "counts")
-    listed = each.join(counts, "anchor").groupBy("id", "of").agg(F.collect_set("anchor").alias("long"))
+    listed = materialize(each.join(counts, "anchor").groupBy("id", "of").agg(F.collect_set("anchor").alias("long")), "listed")
+    for done in (again, counts):
+        discard(done)
     columns = ["id", "of", "level", "start", "bytes", "long"]
-    placed = parts.where("level = 1").withColumn("long", F.array().cast("array<bigint>")).select(columns).unionByName(parts.where("level = 2").join(materialize(listed, "listed"), ["id", "of"]).select(columns))
+    placed = parts.where("level = 1").withColumn("long", F.array().cast("array<bigint>")).select(columns).unionByName(parts.where("level = 2").join(listed, ["id", "of"]).select(columns))
 
     suffixes = Suffixes(window)
     row_bytes = 2 * window
@@ -499,6 +508,8 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     exchanged = placed.mapInArrow(runs, "bucket int, run binary").repartition(buckets, "bucket")
     spans = exchanged.mapInArrow(merge, "id long, of long, start long, end long")
     removed = materialize(spans.groupBy("id", "of").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")), "removed")
+    for done in (parts, listed):
+        discard(done)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "of", "n_removed", "n_spans", "kept"]
@@ -517,6 +528,7 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     results = own.select("id", "of", "text").join(removed.hint("merge"), ["id", "of"]).dropDuplicates(["id", "of"]).select("id", "of", "text", "starts", "ends").mapInArrow(cut, "id long, of long, n_removed long, n_spans long, kept string")
     results = materialize(results, "results")
+    discard(removed)
     copy = (F.col("id") != F.col("first")) & (F.col("n_bytes") >= window)
     return whose.join(results, ["id", "of"], "left").select(
         "doc_id",

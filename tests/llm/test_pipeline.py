@@ -3,8 +3,10 @@
 from collections import Counter
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from test_text_operators import frame, plain_components, texts
 
+from cellweave.llm import suffix_dedup
 from cellweave.llm.mixing import mix_sources
 from cellweave.llm.sentencepiece_codec import load_codec
 
@@ -52,3 +54,21 @@ def test_run_on_awkward_rows(spark, sf_dir, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {1, 3, 7, 9} & {r.doc_id for r in got}
     assert all(r.n_tokens == len(r.ids) for r in got)
+
+
+def test_stages_keep_columns_named_as_theirs(spark, sf_dir):
+    names = ["n_removed", "n_lines", "quality_keep", "quality_score", "component_id", "passes", "size", "_column_0", "odd.name"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 60")
+    docs = docs.select("*", *[(F.col("doc_id") * 10 + k).alias(n) for k, n in enumerate(names)])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns
+        for r in out.collect():
+            assert [r[n] for n in names] == [r.doc_id * 10 + k for k in range(len(names))]
+
+
+def test_quoted_names(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 40")
+    odd = docs.withColumnsRenamed({"doc_id": "d.id", "text": "a text"})
+    plain = suffix_dedup.substring_dedup(docs).collect()
+    assert sorted(suffix_dedup.substring_dedup(odd, id_col="d.id", text_col="a text").collect()) == sorted(plain)
