@@ -121,19 +121,29 @@ def class_statistics(df: DataFrame, cls: str, a: object, b: object, features: Se
 
 
 def fill_category(cells: DataFrame, cls: str, category: int) -> DataFrame:
-    """Cells of a category take the most frequent class round them (ties to the smallest), round by round from the outside in, until none is left that other classes reach."""
-    from cellweave.operators.focal import neighbours, offsets
-    from cellweave.sources.shared import materialize
+    """Cells of a category take the most frequent class round them (ties to the smallest), round by round from the outside in, until none is left that other classes reach.
 
-    now = materialize(cells.select("x", "y", F.when(F.col(cls) != category, F.col(cls)).alias(cls), F.col(cls).isNotNull().alias("_in")), "fill")
-    left = None
+    A cell is filled as soon as it has a neighbour with a class, so those that decide on it were all filled in the round before: only open cells and the last
+    round's are carried, and the rest isn't read again.
+    """
+    from cellweave.operators.focal import offsets
+    from cellweave.sources.shared import discard, materialize
+
+    here = F.col(cls)
+    start = materialize(cells.select("x", "y", F.when(here != category, here).alias(cls), here.isNotNull().alias("_in")), "fill")
+    open_ = materialize(start.where(here.isNull() & F.col("_in")).select("x", "y"), "open")
+    rim, done = start.where(here.isNotNull()).select("x", "y", cls), start.where(here.isNotNull() | ~F.col("_in")).select("x", "y", cls)
+    deal = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in offsets(1, centre=False)]))
+    rounds = 0
     while True:
-        count = now.where(F.col(cls).isNull() & F.col("_in")).count()
-        if count == 0 or count == left:
+        dealt = rim.withColumn("m", deal).select((F.col("x") + F.col("m.i")).alias("x"), (F.col("y") + F.col("m.j")).alias("y"), cls)
+        votes = dealt.join(open_, ["x", "y"], "left_semi").groupBy("x", "y", cls).agg(F.count(F.lit(1)).alias("n"))
+        new = materialize(votes.groupBy("x", "y").agg(F.min_by(cls, F.struct(-F.col("n"), here)).alias(cls)), "filled")
+        if not new.take(1):
             break
-        left = count
-        near = neighbours(now, offsets(1, centre=False), [cls, "_in"]).where(F.col(cls).isNull() & F.col("_in") & F.col(f"n_{cls}").isNotNull())
-        votes = near.groupBy("x", "y", f"n_{cls}").agg(F.count(F.lit(1)).alias("n"))
-        new = votes.groupBy("x", "y").agg(F.min_by(f"n_{cls}", F.struct(-F.col("n"), F.col(f"n_{cls}"))).alias("_new"))
-        now = materialize(now.join(new, ["x", "y"], "left").select("x", "y", F.coalesce(cls, "_new").alias(cls), "_in"), "fill")
-    return now.select("x", "y", F.when(F.col("_in"), F.coalesce(F.col(cls), F.lit(category))).alias(cls))
+        rim, done, last, rounds = new, done.unionByName(new), open_, rounds + 1
+        open_ = materialize(open_.join(new, ["x", "y"], "left_anti"), "open")
+        discard(last)
+        if rounds % 20 == 0:  # else the plan names a table for each round
+            done = materialize(done, "done")
+    return done.unionByName(open_.withColumn(cls, F.lit(category).cast(start.schema[cls].dataType)))

@@ -8,6 +8,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellweave.operators.surface import in_squares, levelled, levels_of, squares
+
 #: For each return period in years, the two coefficients under 40, under 120 and under 1440 minutes.
 RAIN_COEFFICIENTS = {
     2: ((0.166, 0.701), (0.237, 0.803), (0.235, 0.801)),
@@ -116,12 +118,13 @@ def folds(df: DataFrame, key: str, count: int, seed: str = "") -> DataFrame:
 def boxes_holding(points: DataFrame, boxes: DataFrame, key: str, side: float, every: bool) -> DataFrame:
     """Boxes (``x1, x2, y1, y2``, with their edges) that hold every point, or else any, and how many distinct places they hold.
 
-    Boxes are dealt to the squares of ``side`` that they touch; places that meet there are counted before they leave them.
+    Boxes are dealt to the squares that they touch, of ``side`` or of a larger size that fits them, four at most; places look into their square of each
+    size in use, and those that meet a box there are counted before they leave it.
     """
-    square = lambda c: F.floor(F.col(c) / side).cast("long")
-    dealt = boxes.withColumn("_i", F.explode(F.sequence(square("x1"), square("x2")))).withColumn("_j", F.explode(F.sequence(square("y1"), square("y2"))))
+    corners = ("x1", "x2", "y1", "y2")
+    boxed = levelled(boxes, side, corners)
     places = points.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select("x", "y").distinct()
-    met = places.withColumns({"_i": square("x"), "_j": square("y")}).join(dealt, ["_i", "_j"]).where("x BETWEEN x1 AND x2 AND y BETWEEN y1 AND y2")
+    met = in_squares(places, side, levels_of(boxed) or [0]).join(squares(boxed, side, corners), ["_l", "_sx", "_sy"]).where("x BETWEEN x1 AND x2 AND y BETWEEN y1 AND y2")
     held = met.groupBy(key).agg(F.count(F.lit(1)).alias("held"))
     if not every:
         return held

@@ -119,35 +119,69 @@ def _boxes(areas: DataFrame, ring: str) -> DataFrame:
     return areas.withColumns({"_x1": F.array_min(coordinate("x")), "_x2": F.array_max(coordinate("x")), "_y1": F.array_min(coordinate("y")), "_y2": F.array_max(coordinate("y"))})
 
 
-def _squares(side: float) -> Column:
-    square = lambda c: F.floor(F.col(c) / side).cast("long")
-    of = lambda a, b: F.sequence(square(a), square(b))
-    return F.flatten(F.transform(of("_x1", "_x2"), lambda i: F.transform(of("_y1", "_y2"), lambda j: F.struct(i.alias("sx"), j.alias("sy")))))
+def levelled(boxes: DataFrame, side: float, corners: Sequence[str] = ("_x1", "_x2", "_y1", "_y2")) -> DataFrame:
+    """Boxes with their level ``_l``: the number of times that ``side`` is doubled until a square is as wide as the box."""
+    x1, x2, y1, y2 = (F.col(c).cast("double") for c in corners)
+    extent = F.greatest(x2 - x1, y2 - y1)
+    return boxes.withColumn("_l", F.when(extent > side, F.ceil(F.log2(extent / side))).otherwise(0).cast("int"))
+
+
+def _square(c: Column, side: float, level: Column) -> Column:
+    return F.floor(c.cast("double") / (side * F.pow(F.lit(2.0), level))).cast("long")
+
+
+def squares(boxes: DataFrame, side: float, corners: Sequence[str] = ("_x1", "_x2", "_y1", "_y2")) -> DataFrame:
+    """A row for each square ``_sx, _sy`` of its level ``_l`` that a box touches: four at most if the level is the box's own or a coarser one."""
+    x1, x2, y1, y2 = (_square(F.col(c), side, F.col("_l")) for c in corners)
+    return boxes.withColumn("_sx", F.explode(F.sequence(x1, x2))).withColumn("_sy", F.explode(F.sequence(y1, y2)))
+
+
+def levels_of(boxes: DataFrame) -> list[int]:
+    """The levels that boxes have, at most one for each doubling."""
+    return sorted(r[0] for r in boxes.select("_l").distinct().collect())
+
+
+def in_squares(points: DataFrame, side: float, levels: Sequence[int]) -> DataFrame:
+    """Points once for each level, with their square of it."""
+    at = points.withColumn("_l", F.explode(F.array(*map(F.lit, levels))))
+    return at.withColumns({"_sx": _square(F.col("x"), side, F.col("_l")), "_sy": _square(F.col("y"), side, F.col("_l"))})
 
 
 def points_in_areas(points: DataFrame, areas: DataFrame, ring: str, side: float) -> DataFrame:
     """Each point beside every area that it lies in; areas may overlap, and their rings are closed arrays of ``x, y``.
 
-    Areas are dealt to the squares of ``side`` that their bounding boxes touch and points to theirs, so only these meet; boxes
-    decide next, then the parity of the ring's edges that a ray from the point crosses. A point on an edge may count either way.
+    An area is dealt to the squares that its bounding box touches, of ``side`` or of as many times twice the side as it is wide, so there are four at most; points
+    are dealt to their square of each size in use. Boxes decide next, then the parity of the ring's edges that a ray from the point crosses. A point
+    on an edge may count either way.
     """
     rest = [c for c in areas.columns if c != ring]
     edges = F.zip_with(F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    dealt = _boxes(areas, ring).where(F.size(ring) > 3).select(*rest, "_x1", "_x2", "_y1", "_y2", edges.alias("_edges"), F.explode(_squares(side)).alias("_s")).select("*", F.col("_s.sx").alias("_sx"), F.col("_s.sy").alias("_sy")).drop("_s")
-    p = points.withColumns({"_sx": F.floor(F.col("x") / side).cast("long"), "_sy": F.floor(F.col("y") / side).cast("long")})
+    boxed = levelled(_boxes(areas, ring).where(F.size(ring) > 3), side)
+    levels = levels_of(boxed)
+    if not levels:
+        return points.join(areas.drop(ring).limit(0), F.lit(False))
+    dealt = squares(boxed.select(*rest, "_x1", "_x2", "_y1", "_y2", "_l", edges.alias("_edges")), side)
     px, py = F.col("x").cast("double"), F.col("y").cast("double")
     crosses = lambda e: ((e["a"]["y"] > py) != (e["b"]["y"] > py)) & (px < (e["b"]["x"] - e["a"]["x"]) * (py - e["a"]["y"]) / (e["b"]["y"] - e["a"]["y"]) + e["a"]["x"])
-    met = p.join(dealt, ["_sx", "_sy"]).where(px.between(F.col("_x1"), F.col("_x2")) & py.between(F.col("_y1"), F.col("_y2")))
+    met = in_squares(points, side, levels).join(dealt, ["_l", "_sx", "_sy"]).where(px.between(F.col("_x1"), F.col("_x2")) & py.between(F.col("_y1"), F.col("_y2")))
     return met.where(F.size(F.filter("_edges", crosses)) % 2 == 1).select(*points.columns, *rest)
 
 
 def overlapping_boxes(areas: DataFrame, key: str, ring: str, side: float) -> DataFrame:
-    """Pairs ``a < b`` of areas whose bounding boxes overlap, met by squares; each pair in the square of its common corner only."""
-    dealt = _boxes(areas.select(key, ring), ring).select(F.col(key).alias("k"), "_x1", "_x2", "_y1", "_y2", F.explode(_squares(side)).alias("s"))
-    end = lambda n: dealt.select("s", F.col("k").alias(n), *[F.col(f"_{c}").alias(f"{n}{c}") for c in ("x1", "x2", "y1", "y2")])
-    met = end("a").join(end("b"), "s").where("a < b AND ax1 <= bx2 AND bx1 <= ax2 AND ay1 <= by2 AND by1 <= ay2")
-    corner = (F.floor(F.greatest("ax1", "bx1") / side) == F.col("s.sx")) & (F.floor(F.greatest("ay1", "by1") / side) == F.col("s.sy"))
-    return met.where(corner).select("a", "b")
+    """Pairs ``a < b`` of areas whose bounding boxes overlap.
+
+    A box lives in the squares of its own size, four at most, and visits those of every larger size in use, so two boxes meet in squares of the larger
+    one's size; a pair counts in the square of its common corner only.
+    """
+    boxed = levelled(_boxes(areas.select(F.col(key).alias("k"), ring), ring), side).select("k", "_x1", "_x2", "_y1", "_y2", "_l")
+    levels = levels_of(boxed)
+    if not levels:
+        return areas.select(F.col(key).alias("a"), F.col(key).alias("b")).limit(0)
+    visits = boxed.withColumn("_own", F.col("_l")).withColumn("_l", F.explode(F.array(*map(F.lit, levels)))).where("_l >= _own")
+    end = lambda df, n: squares(df, side).select("_l", "_sx", "_sy", F.col("k").alias(n), *[F.col(f"_{c}").alias(f"{n}{c}") for c in ("x1", "x2", "y1", "y2")], *(["_own"] if n == "v" else []))
+    met = end(boxed, "r").join(end(visits, "v"), ["_l", "_sx", "_sy"]).where("r <> v AND rx1 <= vx2 AND vx1 <= rx2 AND ry1 <= vy2 AND vy1 <= ry2 AND (_own < _l OR r < v)")
+    corner = (_square(F.greatest("rx1", "vx1"), side, F.col("_l")) == F.col("_sx")) & (_square(F.greatest("ry1", "vy1"), side, F.col("_l")) == F.col("_sy"))
+    return met.where(corner).select(F.least("r", "v").alias("a"), F.greatest("r", "v").alias("b"))
 
 
 def attributes_to_cells(zones: DataFrame, attributes: DataFrame, key: str, columns: Sequence[str], digits: int = 0) -> DataFrame:

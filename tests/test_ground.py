@@ -477,3 +477,60 @@ def test_indices_of_a_graph(spark):
     e = spark.createDataFrame([(1, 2), (2, 1), (3, 2), (4, 4)], "a long, b long")
     assert tuple(networks.graph_indices(nodes, "k", "s", e).first()) == (5, 2, 3, 0.2, 3, pytest.approx(5 / 3), 6.0, 5.0)
     assert networks.graph_indices(nodes.limit(0), "k", "s", e.limit(0)).first().nodes == 0
+
+
+# --- areas of all sizes
+
+
+def boxes_of_all_sizes(seed, n=80):
+    r = random.Random(seed)
+    out = []
+    for i in range(n):
+        w, h = (4 ** r.uniform(-2, 6) for _ in range(2))
+        x, y = r.uniform(-500, 500), r.uniform(-500, 500)
+        out.append((i, round(x, 3), round(x + w, 3), round(y, 3), round(y + h, 3)))
+    return [*out, (n, 0.0, 4000.0, 0.0, 4000.0), (n + 1, 8.0, 8.0, 8.0, 8.0), (n + 2, 8.0, 12.0, 4.0, 8.0)]
+
+
+def test_large_areas_touch_few_squares(spark):
+    boxes = boxes_of_all_sizes(1)
+    df = spark.createDataFrame(boxes, "k int, _x1 double, _x2 double, _y1 double, _y2 double")
+    dealt = surface.squares(surface.levelled(df, 4.0), 4.0)
+    assert dealt.count() <= 4 * len(boxes)
+    ring = "array(named_struct('x', _x1, 'y', _y1), named_struct('x', _x2, 'y', _y1), named_struct('x', _x2, 'y', _y2), named_struct('x', _x1, 'y', _y2), named_struct('x', _x1, 'y', _y1)) AS ring"
+    areas = df.selectExpr("k", ring)
+    pairs = {(a[0], b[0]) for a, b in itertools.combinations(boxes, 2) if a[1] <= b[2] and b[1] <= a[2] and a[3] <= b[4] and b[3] <= a[4]}
+    got = [(r.a, r.b) for r in surface.overlapping_boxes(areas, "k", "ring", 4.0).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == pairs
+    r = random.Random(3)
+    at = [(i, r.uniform(-500, 900), r.uniform(-500, 900)) for i in range(150)]
+    points = spark.createDataFrame([*at, (999, None, 1.0)], "id int, x double, y double")
+    inside = {(i, b[0]) for i, x, y in at for b in boxes if b[1] < x < b[2] and b[3] < y < b[4]}
+    assert {(p.id, p.k) for p in surface.points_in_areas(points, areas, "ring", 4.0).collect()} == inside
+    assert surface.points_in_areas(points, areas.limit(0), "ring", 4.0).count() == 0
+    assert surface.overlapping_boxes(areas.limit(0), "k", "ring", 4.0).count() == 0
+
+
+def test_categories_are_filled_from_outside(spark):
+    from cellweave.operators import fitting
+
+    r = random.Random(11)
+    z = [[0 if 2 <= x < 11 and 2 <= y < 10 else r.choice([1, 2, 2, 3, None]) for x in range(13)] for y in range(12)]
+    z[5][5] = 7
+    at = {(x, y): v for y, row in enumerate(z) for x, v in enumerate(row)}
+    now = {p: None if v == 0 else v for p, v in at.items()}
+    while True:
+        new = {}
+        for p, v in at.items():
+            if v == 0 and now[p] is None:
+                seen_ = [now[q] for q in around(*p) if now.get(q) is not None]
+                if seen_:
+                    new[p] = min(set(seen_), key=lambda c: (-seen_.count(c), c))  # noqa: B023
+        if not new:
+            break
+        now |= new
+    cells = spark.createDataFrame([(x, y, v) for (x, y), v in at.items()], "x long, y long, c int")
+    assert {(c.x, c.y): c.c for c in fitting.fill_category(cells, "c", 0).collect()} == now
+    lonely = spark.createDataFrame([(0, 0, 0), (5, 5, None)], "x long, y long, c int")
+    assert sorted(tuple(c) for c in fitting.fill_category(lonely, "c", 0).collect()) == [(0, 0, 0), (5, 5, None)]
