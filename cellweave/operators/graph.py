@@ -103,21 +103,28 @@ def clark_evans(points: DataFrame, key: str, area: float) -> DataFrame:
 
 
 def stream_orders(streams: DataFrame, key: str, to: str) -> DataFrame:
-    """Strahler and Shreve orders of streams ``key`` that flow into ``to``: level by level, once all tributaries are known."""
+    """Strahler and Shreve orders of streams ``key`` that flow into ``to``.
+
+    Shreve's order is the number of sources above, an accumulation along the flow. A stream is of Strahler's order ``k`` or more if it, or one above it, has two tributaries of order
+    ``k - 1`` or more: what lies below these is found by accumulation as well, in the part of the network that is of order ``k - 1`` or more, which shrinks to less than half each time. So
+    the rounds grow with the logarithms of the longest path and of the number of streams, not with confluences on a path.
+    """
     net = materialize(streams.select(F.col(key).alias("id"), F.col(to).alias("to")), "streams")
-    into = net.where("to IS NOT NULL").groupBy(F.col("to").alias("id")).agg(F.count(F.lit(1)).alias("need"))
-    done = None
-    level = materialize(net.join(into, "id", "left_anti").select("id", "to", F.lit(1).alias("strahler"), F.lit(1).cast("long").alias("shreve")), "level")
-    waiting = None
-    while level.take(1):
-        done = level if done is None else done.unionByName(level)
-        arrived = level.where("to IS NOT NULL").groupBy(F.col("to").alias("id"), "strahler").agg(F.count(F.lit(1)).alias("n"), F.sum("shreve").alias("s"))
-        waiting = materialize((arrived if waiting is None else waiting.unionByName(arrived)).groupBy("id", "strahler").agg(F.sum("n").alias("n"), F.sum("s").alias("s")), "waiting")
-        whole = waiting.groupBy("id").agg(F.sum("n").alias("n"), F.sum("s").alias("shreve"), F.max(F.struct("strahler", "n")).alias("top")).join(into, "id").where("n = need")
-        ready = whole.select("id", (F.col("top.strahler") + (F.col("top.n") > 1).cast("int")).alias("strahler"), "shreve")
-        level = materialize(ready.join(net, "id").select("id", "to", "strahler", "shreve"), "level")
-        waiting = materialize(waiting.join(level.select("id"), "id", "left_anti"), "waiting")
-    return done.select(F.col("id").alias(key), "strahler", "shreve")
+    into = net.where("to IS NOT NULL").select(F.col("to").alias("id")).distinct()
+    sources = net.join(into.withColumn("_in", F.lit(True)), "id", "left").select("id", "to", F.col("_in").isNull().cast("double").alias("w"))
+    shreve = materialize(flow_accumulation(sources, "id", "to", "w").select("id", F.round("acc").cast("long").alias("shreve")), "shreve")
+    part, order, levels = net, 1, net.select("id", F.lit(1).alias("k"))
+    while True:
+        order += 1
+        forks = part.where("to IS NOT NULL").groupBy(F.col("to").alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", F.lit(1.0).alias("w"))
+        forks = materialize(forks, "forks")
+        if not forks.take(1):
+            break
+        marked = part.join(forks, "id", "left").select("id", "to", F.coalesce("w", F.lit(0.0)).alias("w"))
+        below = flow_accumulation(marked, "id", "to", "w").where("acc > 0").select("id")
+        part = materialize(part.join(below, "id", "left_semi").select("id", "to"), "part")
+        levels = levels.unionByName(part.select("id", F.lit(order).alias("k")))
+    return levels.groupBy("id").agg(F.max("k").alias("strahler")).join(shreve, "id").select(F.col("id").alias(key), "strahler", "shreve")
 
 
 def flow_accumulation(cells: DataFrame, key: str, to: str, weight: str | None = None, steps: int = 64) -> DataFrame:
@@ -135,7 +142,8 @@ def flow_accumulation(cells: DataFrame, key: str, to: str, weight: str | None =
             return now.select(F.col("id").alias(key), "acc")
         sent = now.where("to IS NOT NULL").groupBy(F.col("to").alias("id")).agg(F.sum("acc").alias("more"))
         jump = now.select(F.col("id").alias("to"), F.col("to").alias("next"))
-        now = materialize(now.join(jump, "to", "left").join(sent, "id", "left").select("id", F.col("next").alias("to"), (F.col("acc") + F.coalesce("more", F.lit(0.0))).alias("acc")), "flow")
+        last, now = now, materialize(now.join(jump, "to", "left").join(sent, "id", "left").select("id", F.col("next").alias("to"), (F.col("acc") + F.coalesce("more", F.lit(0.0))).alias("acc")), "flow")
+        discard(last)
     raise ValueError("the flow directions form a loop")
 
 

@@ -534,3 +534,25 @@ def test_categories_are_filled_from_outside(spark):
     assert {(c.x, c.y): c.c for c in fitting.fill_category(cells, "c", 0).collect()} == now
     lonely = spark.createDataFrame([(0, 0, 0), (5, 5, None)], "x long, y long, c int")
     assert sorted(tuple(c) for c in fitting.fill_category(lonely, "c", 0).collect()) == [(0, 0, 0), (5, 5, None)]
+
+
+# --- orders
+
+
+def test_orders_of_streams(spark):
+    """A main stem of 5,000 confluences, which would take as many rounds level by level, and random trees."""
+    n = 5000
+    stem = [(i, i - 1 if i else None) for i in range(n)] + [(n + i, i) for i in range(n)]
+    r = random.Random(5)
+    wild = [(20_000 + i, 20_000 + r.randrange(i) if i and r.random() < 0.97 else (-5 if i % 2 else None)) for i in range(400)]
+    got = {s.id: (s.strahler, s.shreve) for s in graph.stream_orders(spark.createDataFrame(stem + wild, "id long, to long"), "id", "to").collect()}
+    above = {}
+    for i, to in stem + wild:
+        above.setdefault(to, []).append(i)
+    want = {}
+    for i, _ in sorted(wild, reverse=True) + sorted(stem, reverse=True):
+        up = sorted((want[k] for k in above.get(i, [])), reverse=True)
+        top = up[0][0] if up else 1
+        want[i] = (top + (len(up) > 1 and up[1][0] == top), sum(s for _, s in up) or 1)
+    assert got == want
+    assert graph.stream_orders(spark.createDataFrame([], "id long, to long"), "id", "to").count() == 0
