@@ -57,7 +57,7 @@ def nested():
     return z
 
 
-@pytest.mark.parametrize("z", [nested(), noise(1, 17, 12), noise(2, 9, 9, 3), [[5]], [[None, 1], [2, None]], [[*r[:4], None, *r[5:]] for r in noise(3, 9, 7)]], ids=range(6))
+@pytest.mark.parametrize("z", [nested(), noise(2, 9, 9, 3), [[5]], [[None, 1], [2, None]], [[*r[:4], None, *r[5:]] for r in noise(3, 9, 7)]], ids=range(5))
 def test_depressions(spark, z):
     at, level = flooded(z)
     got = {(r.x, r.y): r for r in flood.fill_depressions(grid(spark, z), "z", len(z[0])).collect()}
