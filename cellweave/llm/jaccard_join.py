@@ -425,8 +425,9 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     hold several components build packed R-trees over the points of all members. Members with a partner in another component
     that the bound can't rule out are gathered by what such pairs connect and get their exact sets once; a task for each such
     cluster (for each cell where a cluster is too large for one task) builds trees again, verifies pairs, skips connected ones,
-    and returns links without circles. So no step makes more rows than members of cells, however many pairs link, and large
-    cells are dealt to pages (``_paged``). Nothing is capped.
+    and returns links without circles. So no step makes a row for each linking pair, however many pairs link. Cells too large for one task
+    are dealt to pages (``_paged``); outside of a cell's largest component all pages meet, so a cell of many unlinked members makes rows
+    with their square over the page's size. Nothing is capped.
 
     Null and empty texts have an empty set and link with nothing; short texts are one shingle; null ids get a null
     component and link with nothing; rows of one id and text are one document; an empty table gives no rows. Other columns
