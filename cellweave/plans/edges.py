@@ -13,13 +13,13 @@ _CANNY = f"""WITH RECURSIVE cells AS ({views.SQL["cells"]}),
     d AS (SELECT c.x, c.y, (e.v - w.v) / 2 AS gx, (n.v - z.v) / 2 AS gy FROM s c JOIN s e ON e.x = c.x + 1 AND e.y = c.y JOIN s w ON w.x = c.x - 1 AND w.y = c.y JOIN s n ON n.x = c.x AND n.y = c.y + 1 JOIN s z ON z.x = c.x AND z.y = c.y - 1),
     g AS MATERIALIZED (SELECT x, y, round(sqrt(gx^2 + gy^2), 9) AS m, degrees(atan2(gy, gx)) AS angle FROM d),
     w AS (SELECT *, [1, 1, 0, -1][1 + way] AS i, [0, 1, 1, 1][1 + way] AS j FROM (SELECT *, CAST(floor(((round(angle, 9) + 180) % 180 + 22.5) / 45) AS INT) % 4 AS way FROM g WHERE m > 0)),
-    r AS MATERIALIZED (SELECT w.x, w.y, w.m, w.angle, w.y * 64 + w.x AS id FROM w LEFT JOIN g a ON a.x = w.x + i AND a.y = w.y + j LEFT JOIN g b ON b.x = w.x - i AND b.y = w.y - j WHERE w.m > coalesce(a.m, 0) AND w.m >= coalesce(b.m, 0) AND w.m >= 0.5),
+    r AS MATERIALIZED (SELECT w.x, w.y, w.m, w.angle, w.y * 64 + w.x AS id FROM w LEFT JOIN g a ON a.x = w.x + i AND a.y = w.y + j LEFT JOIN g b ON b.x = w.x - i AND b.y = w.y - j WHERE w.m > coalesce(a.m, 0) AND w.m >= coalesce(b.m, 0) AND w.m >= 0.05),
     k(x, y, root) USING KEY (x, y) AS (SELECT x, y, id FROM r UNION SELECT b.x, b.y, min(a.root) FROM k a JOIN r b ON {_NEAR} JOIN recurring.k o ON o.x = b.x AND o.y = b.y WHERE a.root < o.root GROUP BY b.x, b.y),
-    c AS (SELECT r.*, root AS edge FROM r JOIN k USING (x, y) WHERE root IN (SELECT root FROM r JOIN k USING (x, y) WHERE m >= 1.2))"""
+    c AS (SELECT r.*, root AS edge FROM r JOIN k USING (x, y) WHERE root IN (SELECT root FROM r JOIN k USING (x, y) WHERE m >= 0.15))"""
 
 
 def _canny(spark, sf_dir):
-    return edges.canny(views.cells(table(spark, sf_dir, "lineitem")), "value", 64, 1.0, 0.5, 1.2)
+    return edges.canny(views.cells(table(spark, sf_dir, "lineitem")), "value", 64, 1.0, 0.05, 0.15)
 
 
 @register(_CANNY + " SELECT x, y, round(m, 4) AS magnitude, round(angle, 4) AS angle, edge FROM c")
