@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.llm.common import discard, materialize
@@ -20,6 +20,10 @@ from cellweave.operators.graph import connected_components
 PER_GROUP, LEAST_GROUPS = 4, 16
 #: Members of a cell or cluster, and tokens in them, that one task holds; larger cells are cut into pages, which meet in pairs.
 PAGE, PAGE_TOKENS = 1024, 1_000_000
+#: A cell with more pages than this outside of its largest component is split by further common tokens, if that makes fewer rows.
+PAGES_MET = 4
+#: Tokens kept beyond the prefix; cells are keyed by one common token and split by as many more at most.
+DEEPER = 2
 LEAF = 32
 WORDS_CACHED = 400_000
 #: Documents from which frequent tokens are learned, how many of them have a frequent token, and how many tokens are told apart at most.
@@ -73,15 +77,24 @@ def ordered(tokens: np.ndarray, frequent: np.ndarray, classes: np.ndarray) -> np
     return np.sort(tokens | np.where(known, classes[at], np.uint64(0)) << np.uint64(64 - CLASS_BITS))
 
 
-def prefix(tokens: np.ndarray, percent: int) -> np.ndarray:
+def prefix(tokens: np.ndarray, percent: int, more: int = 0) -> np.ndarray:
     """The first tokens, one more than may be missing in a partner: the first common token of two linked sets is in both prefixes.
 
+    With ``more`` tokens beyond these, as many further common tokens are in both as well, if the sets have them (``depth``).
     A set so small that only equal ones link with it needs none.
     """
     size = len(tokens)
     if size * (100 - percent) < percent:
         return tokens[:0]
-    return tokens[: size + 1 + -percent * size // 100]
+    return tokens[: size + 1 + more + -percent * size // 100]
+
+
+def depth(percent: int) -> int:
+    """By how many common tokens cells may be keyed: no more than the smallest sets with a prefix share with every partner."""
+    if percent >= 100:
+        return 1
+    least = -(-percent // (100 - percent))
+    return max(1, min(1 + DEEPER, -(-percent * least // 100)))
 
 
 def point(tokens: np.ndarray) -> np.ndarray:
@@ -239,7 +252,7 @@ def _signatures(n: int, percent: int, frequent: Broadcast):
                     sizes.append(len(tokens))
                     one.append(digest[0])
                     two.append(digest[1])
-                    keys.append(prefix(tokens, percent).view(np.int64))
+                    keys.append(prefix(tokens, percent, DEEPER).view(np.int64))
                     points.append(point(tokens).tobytes())
                 long = pa.int64()
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, long), pa.array(one, long), pa.array(two, long), pa.array(keys, pa.list_(long)), pa.array(points, pa.binary())], names)
@@ -247,7 +260,7 @@ def _signatures(n: int, percent: int, frequent: Broadcast):
     return run
 
 
-def _met(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+def _met(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
     """A join of two sides that grow with the documents, which is never broadcast."""
     return left.join(right.hint("merge"), on, how)
 
@@ -306,40 +319,95 @@ def _verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     return _met(_met(pairs, side("b"), "b"), side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(link, "a long, b long")
 
 
-def _paged(members: DataFrame, cells: DataFrame) -> DataFrame:
-    """Members ``key, node, n, root`` of the cells, once for each pair of pages ``low, high`` in which they meet others.
+def _prefix_size(percent: int) -> Column:
+    """The length of ``prefix`` for sets of ``n`` tokens that have one."""
+    return F.expr(f"cast(n + 1 - ({percent} * n + 99) div 100 AS int)")
+
+
+def _open_cells(members: DataFrame, *also: str) -> DataFrame:
+    """The cells ``key, level`` that hold several components, with their numbers of pages and the rows that ``_paged`` makes of them.
 
     A cell that one task can hold is one page. In larger ones the members of the component with most of them get pages of
     their own, which do not meet each other, so that a group of copies in which most is connected travels about twice at most.
     """
     count = lambda members, tokens: F.greatest(F.ceil(members / PAGE), F.ceil(tokens / PAGE_TOKENS)).cast("int")
     small = (F.col("members") <= PAGE) & (F.col("tokens") <= PAGE_TOKENS)
-    cells = cells.select(
-        "key",
-        F.when(~small, F.col("top.root")).alias("top"),
-        F.when(small, 0).otherwise(count(F.col("top.members"), F.col("top.tokens"))).alias("tops"),
-        F.when(small, 1).otherwise(count(F.col("members") - F.col("top.members"), F.col("tokens") - F.col("top.tokens"))).alias("others"),
+    each = members.groupBy("key", "level", *also, "root").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("tokens"))
+    most = F.max(F.struct("members", "tokens", "root")).alias("top")
+    cells = each.groupBy("key", "level", *also).agg(F.sum("members").alias("members"), F.sum("tokens").alias("tokens"), most, F.count(F.lit(1)).alias("roots"))
+    rest = F.col("members") - F.col("top.members")
+    paged = cells.where("roots > 1").withColumns(
+        {
+            "tops": F.when(small, 0).otherwise(count(F.col("top.members"), F.col("top.tokens"))),
+            "others": F.when(small, 1).otherwise(count(rest, F.col("tokens") - F.col("top.tokens"))),
+        }
     )
+    rows = F.when(F.col("tops") == 0, F.col("members")).otherwise(F.col("top.members") * F.col("others") + rest * (F.col("tops") + F.col("others")))
+    return paged.select("key", "level", *also, F.when(F.col("tops") > 0, F.col("top.root")).alias("top"), "tops", "others", rows.alias("rows"))
+
+
+def _paged(members: DataFrame, cells: DataFrame) -> DataFrame:
+    """Members ``key, level, node, n, root`` of the cells, once for each pair of pages ``low, high`` in which they meet others."""
     in_top = F.coalesce(F.col("root") == F.col("top"), F.lit(False))
     spread = F.xxhash64("node")
     page = F.when(in_top, F.pmod(spread, "tops")).otherwise(F.col("tops") + F.pmod(spread, "others")).cast("int")
     meets = F.sequence(F.when(in_top, F.col("tops")).otherwise(0), F.col("tops") + F.col("others") - 1)
-    met = _met(members, cells, "key").withColumn("page", page).withColumn("other", F.explode(meets))
+    met = _met(members, cells.select("key", "level", "top", "tops", "others"), ["key", "level"]).withColumn("page", page).withColumn("other", F.explode(meets))
     return met.select(
-        "key", F.least("page", "other").alias("low"), F.greatest("page", "other").alias("high"),
+        "key", "level", F.least("page", "other").alias("low"), F.greatest("page", "other").alias("high"),
         # the page that meets itself is whole; of two pages only pairs across count
         F.when(F.col("page") == F.col("other"), 2).otherwise((F.col("page") > F.col("other")).cast("int")).alias("side"),
         "node", "n", "root",
     )
 
 
+def _deeper(members: DataFrame, wide: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members of the cells ``wide``, once for each next token that they may have in common with a partner there.
+
+    Sets that link share ``level + 1`` tokens at least (``depth``), and the first of these are in both prefixes with ``level``
+    tokens more: a pair whose first common tokens name a cell meets in just one of the cells that come of it.
+    """
+    held = _met(_met(members, wide.select("key", "level"), ["key", "level"]), sets.select("node", "keys"), "node")
+    at = F.array_position("keys", F.col("last")).cast("int")
+    following = F.slice("keys", at + 1, F.greatest(F.lit(0), _prefix_size(percent) + F.col("level") - at))
+    each = held.select(F.col("key").alias("parent"), "level", "node", "n", "root", F.explode(following).alias("last"))
+    return each.select(F.xxhash64("parent", "last").alias("key"), (F.col("level") + 1).alias("level"), "parent", "last", "node", "n", "root")
+
+
+def _spread(placed: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The rows of ``_paged`` for members ``key, node, n, root``, and the written tables that they are read from.
+
+    A cell with many unlinked members would make rows with their square over the page's size. It is split by a further common
+    token, and what stays large by one more, wherever that halves the rows at least; members that share no further token with
+    another one then make no row.
+    """
+    members = placed.select("key", F.lit(1).alias("level"), F.col("key").alias("last"), "node", "n", "root")
+    cells = materialize(_open_cells(members), "open")
+    out, used = [], [cells]
+    for _ in range(1, depth(percent)):
+        wide = cells.where(F.col("others") > PAGES_MET)
+        if not wide.take(1):
+            break
+        deeper = materialize(_deeper(members, wide, sets, percent), "deeper")
+        inner = materialize(_open_cells(deeper, "parent"), "inner")
+        cost = inner.groupBy(F.col("parent").alias("key")).agg(F.sum("rows").alias("inner_rows"))
+        halved = materialize(_met(wide, cost, "key", "left").where(2 * F.coalesce("inner_rows", F.lit(0)) <= F.col("rows")).select("key"), "halved")
+        used += [deeper, inner, halved]
+        out.append(_paged(members, _met(cells, halved, "key", "left_anti")))
+        parents = halved.select(F.col("key").alias("parent"))
+        members, cells = _met(deeper, parents, "parent", "left_semi"), _met(inner, parents, "parent", "left_semi")
+    out.append(_paged(members, cells))
+    return functools.reduce(DataFrame.unionByName, out), used
+
+
 def _by_cell(rows: DataFrame, columns: list[str]) -> DataFrame:
-    return rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").select("key", "low", "high", *columns)
+    place = ["key", "level", "low", "high"]
+    return rows.repartition(*place).sortWithinPartitions(*place).select(*place, *columns)
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int], list[dict]]]:
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int, int], list[dict]]]:
     rows = (r for batch in batches for r in batch.to_pylist())
-    for place, group in itertools.groupby(rows, key=lambda r: (r["key"], r["low"], r["high"])):
+    for place, group in itertools.groupby(rows, key=lambda r: (r["key"], r["level"], r["low"], r["high"])):
         yield place, list(group)
 
 
@@ -362,7 +430,7 @@ def _near(members: DataFrame, percent: int) -> DataFrame:
 
     ``label`` is a member that such pairs connect it with, the same one for all that are connected.
     """
-    names = ["key", "low", "high", "side", "node", "root", "label"]
+    names = ["key", "level", "low", "high", "side", "node", "root", "label"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for place, held in _groups(batches):
@@ -371,17 +439,17 @@ def _near(members: DataFrame, percent: int) -> DataFrame:
             x, y = forest_pairs([np.frombuffer(r["point"], np.uint8) for r in held], column("n"), column("root"), column("side"), percent)
             near = np.unique(np.concatenate([x, y]))
             if len(near):
-                fixed = [np.full(len(near), v, t) for v, t in zip(place, (np.int64, np.int32, np.int32), strict=True)]
+                fixed = [np.full(len(near), v, t) for v, t in zip(place, (np.int64, np.int32, np.int32, np.int32), strict=True)]
                 found = [*fixed, column("side").astype(np.int32)[near], node[near], column("root")[near], node[labels(len(held), x, y)][near]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names)
 
-    return _by_cell(members, ["side", "node", "n", "root", "point"]).mapInArrow(run, "key long, low int, high int, side int, node long, root long, label long")
+    return _by_cell(members, ["side", "node", "n", "root", "point"]).mapInArrow(run, "key long, level int, low int, high int, side int, node long, root long, label long")
 
 
 def _gathered(near: DataFrame, sets: DataFrame) -> DataFrame:
     """The rows of ``near``, with those of clusters that one task can hold once for each node instead of once for each cell.
 
-    A cluster is what possible pairs connect over all cells. Larger clusters stay in their cells; ``low`` is -1 for a cluster.
+    A cluster is what possible pairs connect over all cells. Larger clusters stay in their cells; ``level`` is 0 for a cluster.
     """
     clusters = connected_components(near.select(F.col("node").alias("a"), F.col("label").alias("b")))
     named = materialize(_met(clusters.select("node", F.col("root").alias("cluster")), sets.select("node", "n"), "node"), "clusters")
@@ -391,7 +459,7 @@ def _gathered(near: DataFrame, sets: DataFrame) -> DataFrame:
     once = F.col("cluster").isNotNull()
     return _met(near, held, "node").select(
         F.when(once, F.col("cluster")).otherwise(F.col("key")).alias("key"),
-        *(F.when(once, -1).otherwise(F.col(c)).alias(c) for c in ("low", "high")),
+        *(F.when(once, 0).otherwise(F.col(c)).alias(c) for c in ("level", "low", "high")),
         F.when(once, 2).otherwise(F.col("side")).alias("side"),
         "node",
         "root",
@@ -402,9 +470,9 @@ def _spanning(near: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     """Links between components, fewer than members in each cluster, cell or pair of pages, that connect all that links there connect."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (key, low, _), held in _groups(batches):
+        for (key, level, _, _), held in _groups(batches):
             sets = [np.frombuffer(r["tokens"], np.uint64) for r in held]
-            found = spanning_links(None if low < 0 else key % 2**64, sets, [r["root"] for r in held], np.array([r["side"] for r in held]), percent)
+            found = spanning_links(key % 2**64 if level == 1 else None, sets, [r["root"] for r in held], np.array([r["side"] for r in held]), percent)
             yield pa.RecordBatch.from_arrays([pa.array([held[p[k]]["node"] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return _by_cell(_met(near, tokens, "node"), ["side", "node", "root", "tokens"]).mapInArrow(run, "a long, b long")
@@ -426,8 +494,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     that the bound can't rule out are gathered by what such pairs connect and get their exact sets once; a task for each such
     cluster (for each cell where a cluster is too large for one task) builds trees again, verifies pairs, skips connected ones,
     and returns links without circles. So no step makes a row for each linking pair, however many pairs link. Cells too large for one task
-    are dealt to pages (``_paged``); outside of a cell's largest component all pages meet, so a cell of many unlinked members makes rows
-    with their square over the page's size. Nothing is capped.
+    are dealt to pages (``_paged``); outside of a cell's largest component all pages meet, so cells with many unlinked members are first
+    split by a second and third common token, which linked sets have in common as well, wherever that halves the rows (``_spread``). Nothing is capped.
 
     Null and empty texts have an empty set and link with nothing; short texts are one shingle; null ids get a null
     component and link with nothing; rows of one id and text are one document; an empty table gives no rows. Other columns
@@ -444,7 +512,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     sets = materialize(by_set.agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"), F.first("point").alias("point")).withColumn("node", F.monotonically_increasing_id()), "sets")
     discard(made)
 
-    in_cell = sets.select("node", F.explode("keys").alias("key"))
+    in_cell = sets.select("node", F.explode(F.slice("keys", F.lit(1), _prefix_size(percent))).alias("key"))
     cells = materialize(in_cell.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("cell")).where("cell > 1"), "cells")
     members = materialize(_met(in_cell, cells, "key").select("key", "cell", "a", "node"), "members")
     discard(cells)
@@ -471,12 +539,10 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     # Pairs with a cell's smallest node are settled now.
     placed = _met(members.where("cell > 2 AND node <> a").select("key", "node"), now, "node")
-    each = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("tokens"))
-    most = F.max(F.struct("members", "tokens", "root")).alias("top")
-    open_ = materialize(each.groupBy("key").agg(F.sum("members").alias("members"), F.sum("tokens").alias("tokens"), most, F.count(F.lit(1)).alias("roots")).where("roots > 1"), "open")
-    near = materialize(_near(_met(_paged(placed, open_), sets.select("node", "point"), "node"), percent), "near")
-    discard(members)
-    discard(open_)
+    paged, used = _spread(placed, sets, percent)
+    near = materialize(_near(_met(paged, sets.select("node", "point"), "node"), percent), "near")
+    for table in (members, *used):
+        discard(table)
     if near.take(1):
         found, known = near, tokens
         near = materialize(_gathered(found, sets), "near")

@@ -137,6 +137,68 @@ def test_jaccard_chains_and_pages(spark, monkeypatch):
         assert got == plain_components(rows, n, percent)
 
 
+def test_jaccard_splits_large_cells(spark, monkeypatch):
+    """Texts that share a passage and nothing else, with near copies among them: cells are split by a second and third token."""
+    for name, value in (("PAGE", 4), ("PAGES_MET", 1), ("FREQUENT_IN_SAMPLE", 10**6)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    deepest, plain = [], jaccard_join._open_cells
+    monkeypatch.setattr(jaccard_join, "_open_cells", lambda members, *also: deepest.append(also) or plain(members, *also))
+    rng, rows = random.Random(9), []
+    passage = say(20, 25).split()
+    for i in range(220):
+        w = [f"own{rng.random()}" for _ in range(60)]
+        rows.append((i, " ".join([*w, *passage])))
+        if i % 3 == 0:
+            w[rng.randrange(60)] = "other"
+            rows.append((1000 + i, " ".join([*w, *passage])))
+    for n, percent in ((3, 90), (5, 80)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(frame(spark, rows), words=n, percent=percent).collect()}
+        want = plain_components(rows, n, percent)
+        assert got == want
+        assert len({c for _, c in want.values()}) < len(rows)
+    assert ("parent",) in deepest
+
+
+@pytest.mark.parametrize("members", [5000, 20000])
+def test_unlinked_members_of_a_cell_make_rows_in_proportion(spark, members):
+    """One token in all sets, a second one in pairs of them, all others their own; and sets that share all their first tokens."""
+    size = 40
+    own = F.transform(F.sequence(F.lit(3), F.lit(jaccard_join.DEEPER + size + 1 - 36)), lambda k: F.xxhash64("id", k))
+    sets = spark.range(members).select(F.col("id").alias("node"), F.lit(size).cast("long").alias("n"), F.concat(F.array(F.lit(1).cast("long"), F.floor(F.col("id") / 2) + 10), own).alias("keys"))
+    placed = sets.select(F.lit(1).cast("long").alias("key"), "node", "n", F.col("node").alias("root"))
+    rows = jaccard_join._spread(placed, sets, 90)[0].collect()
+    assert len(rows) == members
+    cells = defaultdict(list)
+    for r in rows:
+        cells[r.key, r.level, r.low, r.high].append(r.node)
+    assert {tuple(sorted(c)) for c in cells.values()} == {(k, k + 1) for k in range(0, members, 2)}
+    same = sets.withColumn("keys", F.transform(F.sequence(F.lit(1), F.lit(7)), lambda k: k.cast("long")))
+    rows = jaccard_join._spread(placed, same, 90)[0]
+    pages = -(-(members - 1) // jaccard_join.PAGE)  # one member is the largest component
+    assert rows.count() == pages + (members - 1) * (1 + pages)  # a split would make more
+    assert rows.select("level").distinct().collect() == [(1,)]
+
+
+def test_prefix_holds_further_common_tokens():
+    assert [jaccard_join.depth(p) for p in (10, 50, 60, 80, 90, 99, 100)] == [1, 1, 2, 3, 3, 3, 1]
+    rng = np.random.default_rng(4)
+    for percent in (60, 80, 90):
+        seen = 0
+        for _ in range(400):
+            x = np.unique(rng.integers(0, 10**6, rng.integers(2, 60)).astype(np.uint64))
+            drop = rng.random(len(x)) < (100 - percent) / 150
+            y = np.unique(np.concatenate([x[~drop], rng.integers(0, 10**6, int(drop.sum()) // 2).astype(np.uint64)]))
+            both = np.intersect1d(x, y)
+            if 100 * len(both) < percent * len(np.union1d(x, y)) or not len(jaccard_join.prefix(x, percent)) or not len(jaccard_join.prefix(y, percent)):
+                continue
+            for more in range(jaccard_join.depth(percent)):
+                seen += 1
+                for s in (x, y):
+                    assert set(both[: more + 1].tolist()) <= set(jaccard_join.prefix(s, percent, more).tolist())
+                assert len(both) > more
+        assert seen > 50
+
+
 def test_tree_loses_no_pair():
     rng = np.random.default_rng(1)
     sets = [set(rng.integers(0, 3000, rng.integers(20, 60)).tolist()) for _ in range(150)]
