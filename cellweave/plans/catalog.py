@@ -57,5 +57,5 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[(F.round(F.col(f"`{c}`") + NUDGE, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
-for _part in ("zonal", "tables", "cellwise", "series", "temporal", "focal", "decision", "graph", "terrain", "vector", "climate", "fitting", "learning", "convert", "surface", "sites", "flood", "nearest", "horizon", "regions", "networks", "edges", "signals"):
+for _part in ("zonal", "tables", "cellwise", "series", "temporal", "focal", "decision", "graph", "terrain", "vector", "climate", "fitting", "learning", "convert", "surface", "sites", "flood", "nearest", "horizon", "regions", "networks", "edges", "signals", "rough"):
     importlib.import_module(f"cellweave.plans.{_part}")
