@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellweave.operators import graph, nearest
 from cellweave.operators.flood import HALF, ends
 from cellweave.operators.focal import neighbours
 from cellweave.sources.shared import discard, materialize
@@ -147,3 +148,19 @@ def superpixels(cells: DataFrame, bands: Sequence[str], step: int, compactness:
         last, held = held, materialize(held.join(best, ["x", "y"], "left").select("x", "y", *bands, F.coalesce("n", "k").alias("k")), "held")
         discard(last)
     return held.select("x", "y", F.concat_ws("_", "k.fx", "k.fy").alias("superpixel"))
+
+
+def zero_to_null(cells: DataFrame, value: str, width: int) -> DataFrame:
+    """Zeros around a picture become null, zeros within it the value of the nearest cell that has another one.
+
+    Around it are the clumps of zeros, by sides, that hold a corner of all cells' bounding box. Of cells equally near the one
+    with the smallest number ``y * width + x`` counts, ``x`` being below ``width``. Nulls stay null, and a grid without other values becomes null.
+    """
+    zeros = graph.clumps(cells.where(F.col(value) == 0).select("x", "y", value), value, width)
+    box = cells.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))  # one row
+    at_corner = F.col("x").isin(F.col("x0"), F.col("x1")) & F.col("y").isin(F.col("y0"), F.col("y1"))
+    outer = zeros.crossJoin(F.broadcast(box)).where(at_corner).select("clump").distinct()
+    inner = zeros.join(outer, "clump", "left_anti").select("x", "y")
+    given = cells.where(F.col(value) != 0).select("x", "y", F.col(value).alias("_near"), (F.col("y") * width + F.col("x")).alias("_cell"))
+    near = nearest.k_nearest(inner, given, 1, ["x", "y"], "_cell", columns=["_near"]).select("x", "y", "_near")
+    return cells.join(near, ["x", "y"], "left").withColumn(value, F.when(F.col(value) != 0, F.col(value)).otherwise(F.col("_near"))).drop("_near")

@@ -1,10 +1,10 @@
-"""Dominance-based rough sets against all pairs of rows."""
+"""Dominance-based rough sets against all pairs of rows, and zeros around a picture."""
 
 import random
 
 import pytest
 
-from cellweave.operators import rough
+from cellweave.operators import regions, rough
 
 KIND = "a int, b int, c double, grade int, other string"
 
@@ -45,3 +45,16 @@ def test_no_rows(spark):
     assert bounds.count() == 0
     assert rough.approximations(bounds, "grade").count() == 0
     assert rough.quality(bounds).first().quality is None
+
+
+def test_zeros_around_and_within(spark):
+    picture = ["0011", "0102", "3N00", "3340"]  # N is null; three zeros hold the corner (0, 0), four do not
+    rows = [(x, y, None if v == "N" else int(v)) for y, line in enumerate(picture) for x, v in enumerate(line)]
+    rows += [(x, y, 0 if (x, y) == (6, 2) else 7 + x) for x in (5, 6, 7) for y in (1, 2, 3)] + [(9, 3, 5)]
+    got = {(r.x, r.y): r.z for r in regions.zero_to_null(spark.createDataFrame(rows, "x int, y int, z int"), "z", 16).collect()}
+    # of cells equally near the one with the smallest number counts
+    want = {(x, y): z or None for x, y, z in rows} | {(2, 1): 1, (2, 2): 4, (3, 2): 2, (3, 3): 4, (6, 2): 13}
+    assert got == want
+    blank = spark.createDataFrame([(x, y, 0) for x in range(3) for y in range(3)], "x int, y int, z int")
+    assert {r.z for r in regions.zero_to_null(blank, "z", 8).collect()} == {None}
+    assert regions.zero_to_null(blank.limit(0), "z", 8).count() == 0
