@@ -181,18 +181,24 @@ def variogram(points: DataFrame, value: str, side: float, lag: float, bins: int,
 
     Points are gathered into squares of ``side``, and squares meet those up to ``bins * lag`` away. The sums of values, of squares and the
     count of two squares give the sum of squared differences of all their points' pairs, so no pair of points is made; the distance is that of the squares' numbers, and pairs within one square have distance 0, bin 0.
+    Squares are dealt to tiles of half that reach and copied to the tiles around, so pairs of squares are made within a tile and summed there; they are never shuffled or broadcast.
     """
     names = [f"c{i}" for i in range(len(at))]
     v = F.col("v")
     p = _placed(points, at, F.lit(0), F.col(value).cast("double").alias("v")).where(_finite("v"))
     s = p.groupBy(*[F.floor(F.col(c) / side).cast("long").alias(c) for c in names]).agg(F.count(F.lit(1)).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q"))
     s = materialize(s, "squares")
-    reach = math.ceil(bins * lag / side)
-    moves = [tuple(x - reach for x in m) for m in np.ndindex(*[2 * reach + 1] * len(at))]
-    moves = [m for m in moves if m > (0,) * len(at) and math.hypot(*m) * side < bins * lag]
-    deal = F.explode(F.array(*[F.struct(*[F.lit(x).alias(c) for x, c in zip(m, names, strict=True)], F.lit(math.hypot(*m) * side).alias("d")) for m in moves]))
-    dealt = s.withColumn("m", deal).select(*[(F.col(c) + F.col(f"m.{c}")).alias(c) for c in names], F.col("m.d").alias("d"), F.col("n").alias("n2"), F.col("s").alias("s2"), F.col("q").alias("q2"))
-    apart = s.join(dealt, names).select(F.floor(F.col("d") / lag).cast("int").alias("bin"), "d", (F.col("n") * F.col("n2")).alias("pairs"), (F.col("n2") * F.col("q") + F.col("n") * F.col("q2") - 2 * F.col("s") * F.col("s2")).alias("squared"))
+    tile = math.ceil(bins * lag / side / 2)
+    tiles = {f"t{i}": F.floor(F.col(c) / tile).cast("long") for i, c in enumerate(names)}
+    moves = [m for m in np.ndindex(*[5] * len(at)) if m[0] > 1]  # the other square is ahead
+    deal = F.explode(F.array(*[F.struct(*[F.lit(x - 2).alias(t) for x, t in zip(m, tiles, strict=True)]) for m in moves]))
+    dealt = s.withColumns(tiles).withColumn("m", deal).select(*[(F.col(t) - F.col(f"m.{t}")).alias(t) for t in tiles], *[F.col(c).alias(f"o{c}") for c in names], F.col("n").alias("n2"), F.col("s").alias("s2"), F.col("q").alias("q2"))
+    ahead = F.lit(False)
+    for c in reversed(names):
+        ahead = (F.col(f"o{c}") > F.col(c)) | ((F.col(f"o{c}") == F.col(c)) & ahead)
+    apart = F.sqrt(sum((F.pow(F.col(f"o{c}") - F.col(c), 2) for c in names), F.lit(0.0))) * side
+    met = s.withColumns(tiles).join(dealt.hint("merge"), [*tiles]).where(ahead).withColumn("d", apart).where(F.col("d") < bins * lag)  # a broadcast would hold every copy
+    apart = met.select(F.floor(F.col("d") / lag).cast("int").alias("bin"), "d", (F.col("n") * F.col("n2")).alias("pairs"), (F.col("n2") * F.col("q") + F.col("n") * F.col("q2") - 2 * F.col("s") * F.col("s2")).alias("squared"))
     inside = s.where("n > 1").select(F.lit(0).alias("bin"), F.lit(0.0).alias("d"), (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("pairs"), (F.col("n") * F.col("q") - F.col("s") * F.col("s")).alias("squared"))
     return apart.unionByName(inside).groupBy("bin").agg(F.sum("pairs").alias("pairs"), (F.sum(F.col("d") * F.col("pairs")) / F.sum("pairs")).alias("distance"), (F.greatest(F.sum("squared"), F.lit(0.0)) / (2 * F.sum("pairs"))).alias("gamma"))
 

@@ -194,6 +194,27 @@ def test_variogram_is_that_of_all_pairs(spark):
     assert got == {k: (len(x), pytest.approx(np.mean([d for d, _ in x])), pytest.approx(np.mean([g for _, g in x]))) for k, x in want.items()}
 
 
+def test_variogram_makes_no_row_for_each_pair_of_squares(spark):
+    """Pairs of squares were rows of a broadcast table, as many as squares times the 1,400 within reach of each."""
+    p = spark.range(900).selectExpr("id", "id % 30 - 15.0D AS x", "id div 30 - 15.0D AS y", "cast(id * 37 % 101 AS double) AS v")
+    g = nearest.variogram(p, "v", 0.5, 1.5, 10)
+    assert "Broadcast" not in g._jdf.queryExecution().executedPlan().toString()
+    got = {r.bin: (r.pairs, r.gamma) for r in g.collect()}
+    x, y, v = (np.array(c) for c in zip(*((r.x, r.y, r.v) for r in p.collect()), strict=True))
+    i, j = np.triu_indices(900, 1)
+    d = np.hypot(x[i] - x[j], y[i] - y[j])
+    for k in range(10):
+        near = (d < 15) & (d // 1.5 == k)
+        assert got.get(k, (0, None)) == (near.sum(), pytest.approx(((v[i] - v[j]) ** 2 / 2)[near].mean()) if near.any() else None)
+    cube = [(i, i % 6, i // 6 % 6, i // 36, float(i * 7 % 11)) for i in range(216)]
+    deep = nearest.variogram(spark.createDataFrame(cube, "id long, x long, y long, z long, v double"), "v", 1.0, 1.0, 3, ("x", "y", "z"))
+    want = {}
+    for a, b in itertools.combinations(cube, 2):
+        if (d := math.dist(a[1:4], b[1:4])) < 3:
+            want.setdefault(int(d), []).append((a[4] - b[4]) ** 2 / 2)
+    assert {r.bin: (r.pairs, r.gamma) for r in deep.collect()} == {k: (len(w), pytest.approx(np.mean(w))) for k, w in want.items()}
+
+
 def test_kriging(spark):
     r = random.Random(4)
     rows = [(i, r.random() * 10, r.random() * 10) for i in range(60)]
