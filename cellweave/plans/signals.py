@@ -124,10 +124,13 @@ def spatial_measures(spark, sf_dir):
     """)
 )
 def spatial_join(spark, sf_dir):
-    """Squares of eight bring points and areas together; the rest is one SQL text."""
+    """Squares of eight bring places and shapes together, each with all its points and areas; the rest is one SQL text."""
     text = f"""
-    WITH e AS (SELECT s_suppkey, g, ST_Cell(ST_Point(ST_MinX(g), ST_MinY(g)), 8D) AS low, ST_Cell(ST_Point(ST_MaxX(g), ST_MaxY(g)), 8D) AS high FROM ({_DIAMONDS})),
+    WITH d AS ({_DIAMONDS}),
+    e AS (SELECT g, ST_Cell(ST_Point(ST_MinX(g), ST_MinY(g)), 8D) AS low, ST_Cell(ST_Point(ST_MaxX(g), ST_MaxY(g)), 8D) AS high FROM (SELECT DISTINCT g FROM d)),
     a AS (SELECT *, explode(sequence(low.u, high.u)) AS u FROM e), b AS (SELECT *, explode(sequence(low.v, high.v)) AS v FROM a),
-    p AS (SELECT value, q, ST_Cell(q, 8D) AS c FROM (SELECT value, ST_Point(user_id % 64 + 0.31D, event_id % 64 + 0.17D) AS q FROM {{events}}))
-    SELECT s_suppkey, count(*) AS n, sum(value) AS total FROM p JOIN b ON b.u = c.u AND b.v = c.v WHERE ST_Contains(g, q) GROUP BY s_suppkey"""
+    q AS (SELECT q, count(*) AS n, sum(value) AS total FROM (SELECT value, ST_Point(user_id % 64 + 0.31D, event_id % 64 + 0.17D) AS q FROM {{events}}) GROUP BY q),
+    p AS (SELECT *, ST_Cell(q, 8D) AS c FROM q),
+    s AS (SELECT g, sum(n) AS n, sum(total) AS total FROM p JOIN b ON b.u = c.u AND b.v = c.v WHERE ST_Contains(g, q) GROUP BY g)
+    SELECT s_suppkey, sum(n) AS n, sum(total) AS total FROM d JOIN s USING (g) GROUP BY s_suppkey"""
     return rounded(_sql(spark, sf_dir, text, of=["supplier", "events"]), 4)

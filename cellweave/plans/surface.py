@@ -147,8 +147,7 @@ _DIAMONDS = "SELECT s_suppkey, s_suppkey * 7 % 56 + 4 AS cx, s_nationkey * 2 + 6
 )
 def points_in_areas(spark, sf_dir):
     p = views.points(table(spark, sf_dir, "events")).select("event_id", "value", (F.col("x") + 0.31).alias("x"), (F.col("y") + 0.17).alias("y"))
-    found = surface.points_in_areas(p, _diamonds(spark, sf_dir), "ring", 4.0)
-    return rounded(found.groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")), 4)
+    return rounded(surface.sums_in_areas(p, _diamonds(spark, sf_dir), "s_suppkey", "ring", "value", 4.0), 4)
 
 
 @register(f"WITH a AS ({_DIAMONDS}) SELECT p.s_suppkey AS a, q.s_suppkey AS b FROM a p JOIN a q ON p.s_suppkey < q.s_suppkey AND abs(p.cx - q.cx) <= p.r + q.r AND abs(p.cy - q.cy) <= p.r + q.r")

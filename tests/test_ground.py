@@ -533,6 +533,32 @@ def test_large_areas_touch_few_squares(spark):
     assert surface.overlapping_boxes(areas.limit(0), "k", "ring", 4.0).count() == 0
 
 
+def crowded(spark, folder):
+    """40,000 events at 32 places and 20,000 suppliers of six shapes: 100 million or more pairs, had they to be made."""
+    spark.range(40_000).selectExpr("id AS event_id", "id % 32 AS user_id", "TIMESTAMP '2024-01-01' AS ts", "cast(id % 5 AS double) AS value").write.parquet(f"{folder}/events.parquet")
+    spark.range(20_000).selectExpr("id * 24 + id % 3 AS s_suppkey", "cast(id % 2 AS int) AS s_nationkey", "0.0D AS s_acctbal").write.parquet(f"{folder}/supplier.parquet")
+    rows = spark.read.parquet(f"{folder}/events.parquet").selectExpr("user_id % 64 + 0.31D AS x", "event_id % 64 + 0.17D AS y", "value").groupBy("x", "y").agg(F.count("value").alias("n"), F.sum("value").alias("t")).collect()
+    want = {}
+    for k in (i * 24 + i % 3 for i in range(20_000)):
+        cx, cy, r = k * 7 % 56 + 4, k // 24 % 2 * 2 + 6, k % 3 + 1
+        if (cx, cy, r) not in want:
+            inside = [p for p in rows if abs(p.x - cx) + abs(p.y - cy) < r]
+            want[cx, cy, r] = sum(p.n for p in inside), sum(p.t for p in inside)
+        want[k] = want[cx, cy, r]
+    return {k: v for k, v in want.items() if isinstance(k, int) and v[0]}
+
+
+@pytest.mark.parametrize("name", ["points_in_areas", "spatial_join"])
+def test_points_at_one_place_meet_areas_of_one_ring_once(name, spark, tmp_path):
+    from cellweave.plans import catalog
+
+    want = crowded(spark, tmp_path)
+    df = catalog.QUERIES[name](spark, str(tmp_path))
+    assert {r.s_suppkey: (r.n, r.total) for r in df.collect()} == want
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan[plan.rindex("Join Inner") :].count("- Aggregate [") == 2  # places on one side, rings on the other
+
+
 def test_categories_are_filled_from_outside(spark):
     from cellweave.operators import fitting
 
