@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from cellweave.operators import temporal
 from cellweave.plans import views
 from cellweave.plans.catalog import register, rounded, table
+from cellweave.sources.shared import shared_path
 from cellweave.streaming import windows
 
 _REGISTRY = "SELECT s AS start_ts, lead(s) OVER (ORDER BY s) AS end_ts, row_number() OVER (ORDER BY s)::INT AS map FROM (SELECT DISTINCT date_trunc('month', o_orderdate)::TIMESTAMP AS s FROM orders)"
@@ -71,19 +72,26 @@ def equal_intervals(spark, sf_dir):
 
 
 def _streamed(spark, sf_dir, transform, name):
-    """Runs a streaming query over ``events`` to its end; the watermark of a day past the data closes all windows in the batch form."""
+    """Runs a streaming query over ``events`` to its end, in the shared folder: each batch writes the whole result so far, and the last one's counts."""
     records = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(records.schema).parquet(f"{sf_dir}/events*").withColumn("ts", F.col("ts").cast("timestamp"))
-    query = transform(stream).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    found, folder = transform(stream), shared_path(spark, name)
+    written = []
+
+    def write(batch, number):
+        path = f"{folder}/rows/{number}"
+        batch.write.mode("overwrite").parquet(path)
+        written.append(path)
+
+    query = found.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     try:
         query.awaitTermination()
     finally:
         query.stop()
-    out = spark.table(name)
+    out = spark.read.schema(found.schema).parquet(written[-1]) if written else spark.createDataFrame([], found.schema)
     return rounded(out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in out.columns if c.endswith("_ts")}), 3)
 
 
-
 @register("SELECT event_type, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS start_ts, round(avg(value), 3) AS mean, count(value) AS n FROM events GROUP BY 1, 2")
 def stream_tumbling(spark, sf_dir):
     return _streamed(spark, sf_dir, lambda s: windows.tumbling(s, ["event_type"], "ts", "value", "6 hours"), "stream_tumbling")

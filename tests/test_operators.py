@@ -399,6 +399,16 @@ def test_electre_of_two_makes_no_pairs(spark):
     assert out.agg(F.sum("discordance")).first()[0] == pytest.approx(0, abs=1)
 
 
+@pytest.mark.parametrize("name", ["stream_sessions", "stream_tumbling", "stream_sliding"])
+def test_streams_are_written_where_executors_write(spark, sf_dir, name):
+    """Rows were gathered in a table in the driver's memory."""
+    from cellweave.plans import catalog
+
+    df = catalog.QUERIES[name](spark, sf_dir)
+    assert df.inputFiles() and all("/cellweave/" in f for f in df.inputFiles())
+    assert not spark.catalog.tableExists(name)
+
+
 def test_focal_square_on_a_grid_with_holes(spark):
     cells = [(0, 0, 1.0), (1, 1, 10.0), (4, 0, 5.0), (5, 2, None), (9, 9, 2.0)]
     got = {(r.x, r.y): (r.sum, r.n, r.min, r.max, r.mean) for r in focal.focal(spark.createDataFrame(cells, "x int, y int, v double"), "v", 2).collect()}
