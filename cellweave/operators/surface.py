@@ -9,10 +9,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.operators.graph import patch_distances
+from cellweave.sources.shared import materialize
 
 #: Column and row step of the eight flow directions, counted anticlockwise from north-east.
 DIRECTIONS = ((1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0))
 
+#: Areas of one box that are listed in a row, and pairs that one task writes, roughly.
+PART, PAIRS_PER_TASK = 256, 2_000_000
+
 
 def tasselled_wetness(blue: Column, green: Column, red: Column, nir: Column, swir1: Column, swir2: Column) -> Column:
     """Wetness component of the tasselled cap of reflectance."""
@@ -181,18 +185,35 @@ def sums_in_areas(points: DataFrame, areas: DataFrame, key: str, ring: str, valu
 def overlapping_boxes(areas: DataFrame, key: str, ring: str, side: float) -> DataFrame:
     """Pairs ``a < b`` of areas whose bounding boxes overlap.
 
-    A box lives in the squares of its own size, four at most, and visits those of every larger size in use, so two boxes meet in squares of the larger
-    one's size; a pair counts in the square of its common corner only.
+    Equal boxes are one until their pairs are known. A box lives in the squares of its own size, four at most, and visits those of every larger size in use, so two boxes meet in squares of the larger
+    one's size; a pair counts in the square of its common corner only. The areas of a box are then listed in parts of about ``PART``, and pairs of parts are dealt evenly over
+    tasks, which write a row for each pair of areas: the rows may grow with the square of the areas, a task's don't.
     """
-    boxed = levelled(_boxes(areas.select(F.col(key).alias("k"), ring), ring), side).select("k", "_x1", "_x2", "_y1", "_y2", "_l")
+    corners = ["_x1", "_x2", "_y1", "_y2"]
+    each = materialize(_boxes(areas.select(F.col(key).alias("k"), ring), ring).where(F.col("k").isNotNull() & F.col("_x1").isNotNull() & F.col("_y1").isNotNull()).select("k", F.struct(*corners).alias("box")), "boxes")
+    counts = materialize(each.groupBy("box").agg(F.count(F.lit(1)).alias("n")), "counts")
+    boxed = levelled(counts.select("box", "n", "box.*"), side)
     levels = levels_of(boxed)
     if not levels:
         return areas.select(F.col(key).alias("a"), F.col(key).alias("b")).limit(0)
     visits = boxed.withColumn("_own", F.col("_l")).withColumn("_l", F.explode(F.array(*map(F.lit, levels)))).where("_l >= _own")
-    end = lambda df, n: squares(df, side).select("_l", "_sx", "_sy", F.col("k").alias(n), *[F.col(f"_{c}").alias(f"{n}{c}") for c in ("x1", "x2", "y1", "y2")], *(["_own"] if n == "v" else []))
+    end = lambda df, n: squares(df, side).select("_l", "_sx", "_sy", F.col("box").alias(n), F.col("n").alias(f"{n}n"), *[F.col(c).alias(f"{n}{c[1:]}") for c in corners], *(["_own"] if n == "v" else []))
     met = end(boxed, "r").join(end(visits, "v"), ["_l", "_sx", "_sy"]).where("r <> v AND rx1 <= vx2 AND vx1 <= rx2 AND ry1 <= vy2 AND vy1 <= ry2 AND (_own < _l OR r < v)")
     corner = (_square(F.greatest("rx1", "vx1"), side, F.col("_l")) == F.col("_sx")) & (_square(F.greatest("ry1", "vy1"), side, F.col("_l")) == F.col("_sy"))
-    return met.where(corner).select(F.least("r", "v").alias("a"), F.greatest("r", "v").alias("b"))
+    alone = counts.where("n > 1").select(F.col("box").alias("r"), F.col("box").alias("v"), F.col("n").alias("rn"), F.col("n").alias("vn"))
+    pairs = materialize(met.where(corner).select("r", "v", "rn", "vn").unionByName(alone), "pairs")
+    rows = pairs.agg(F.coalesce(F.sum(F.col("rn").cast("double") * F.col("vn")), F.lit(0.0))).first()[0]
+    parts = lambda n: F.ceil(F.col(n) / PART)
+    listed = each.join(counts, "box").groupBy("box", F.pmod(F.xxhash64("k"), parts("n")).alias("part")).agg(F.collect_list("k").alias("keys"))  # about PART each
+    listed = materialize(listed, "listed")
+    part = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), parts(f"{n}n") - 1))
+    dealt = pairs.withColumn("i", part("r")).withColumn("j", part("v")).where("r <> v OR i <= j")
+    for n, at in (("r", "i"), ("v", "j")):
+        dealt = dealt.join(listed.select(F.col("box").alias(n), F.col("part").alias(at), F.col("keys").alias(f"{n}k")), [n, at])
+    once = (F.col("r") == F.col("v")) & (F.col("i") == F.col("j"))
+    even = dealt.select(once.alias("once"), "rk", "vk").repartition(int(min(10_000, max(8, rows // PAIRS_PER_TASK))))
+    each_pair = even.select("once", "vk", F.explode("rk").alias("p")).select("once", "p", F.explode("vk").alias("q")).where("p < q OR NOT once AND q < p")
+    return each_pair.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
 
 
 def attributes_to_cells(zones: DataFrame, attributes: DataFrame, key: str, columns: Sequence[str], digits: int = 0) -> DataFrame:

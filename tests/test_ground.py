@@ -533,6 +533,16 @@ def test_large_areas_touch_few_squares(spark):
     assert surface.overlapping_boxes(areas.limit(0), "k", "ring", 4.0).count() == 0
 
 
+def test_pairs_of_equal_boxes_are_dealt_over_tasks(spark):
+    """3,000 areas of two boxes that overlap met in one square, so one task made all pairs."""
+    box = "array(named_struct('x', 0D, 'y', 0D), named_struct('x', 2D + id % 2, 'y', 0D), named_struct('x', 2D, 'y', 2D), named_struct('x', 0D, 'y', 0D)) AS ring"
+    pairs = surface.overlapping_boxes(spark.range(3000).selectExpr("id", box), "id", "ring", 4.0)
+    row = pairs.agg(F.count(F.lit(1)), F.countDistinct("a", "b"), F.count(F.when(F.col("a") < F.col("b"), 1))).first()
+    assert tuple(row) == (3000 * 2999 // 2,) * 3
+    sizes = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 4 and max(sizes) < 3000 * 2999 // 4
+
+
 def crowded(spark, folder):
     """40,000 events at 32 places and 20,000 suppliers of six shapes: 100 million or more pairs, had they to be made."""
     spark.range(40_000).selectExpr("id AS event_id", "id % 32 AS user_id", "TIMESTAMP '2024-01-01' AS ts", "cast(id % 5 AS double) AS value").write.parquet(f"{folder}/events.parquet")
